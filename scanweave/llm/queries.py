@@ -5,21 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scanweave.llm import simhash
+from scanweave.llm import bpe, decontaminate, lines, quality, simhash
 from scanweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines, how many went as boilerplate, and a digest of the text that stays."""
+    out = lines.line_dedup(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), kept.alias("kept_sha256"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text of each document."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
+    return bpe.digests(bpe.decode(encoded, bpe.pieces(spark, path)))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the least doc_id of its group of near duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of documents and benchmark items that overlap."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in the quality sample, with their log weight and Gumbel key."""
+    out = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_ngrams", "log_weight", "gumbel_key")
+
+
 def queries() -> dict[str, Query]:
-    own = [op4_simhash_near_dedup]
-    return {f.__name__: f for f in own}
+    own = [op1_line_dedup, op2_bpe, op4_simhash_near_dedup, op5_decontaminate, op7_quality_resample]
+    import corpus_pipeline
+
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": lines.ORACLE}
