@@ -1 +1,8 @@
 """Scan analytics on Spark: frames on a grid of scan axes, as DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
