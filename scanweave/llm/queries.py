@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanweave.llm import bpe, decontaminate, lines, quality, simhash
+from scanweave.llm import bpe, chat, decontaminate, lines, quality, simhash, tiff
 from scanweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, bpe.pieces(spark, path)))
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of each document's bytes, stored as TIFF and read back."""
+    return tiff.payload_digests(tiff.stored(table(spark, sf_dir, "documents")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint and the least doc_id of its group of near duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -39,6 +44,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each conversation's turns and of its text under the loss mask, read back from the training text."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    one = F.to_json(F.struct(said.alias("prompt"), said.alias("completion")))
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), one.alias("record"))
+    records = chat.turn_records(own).unionByName(extra)
+    turns = chat.canonical_turns(records, ("conv_id", "turn"))
+    return chat.conversation_digests(chat.formatted(turns))
+
+
 def op7_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in the quality sample, with their log weight and Gumbel key."""
     out = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -46,7 +62,9 @@ def op7_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_bpe, op4_simhash_near_dedup, op5_decontaminate, op7_quality_resample]
+    own = [
+        op1_line_dedup, op2_bpe, op3_tiff_media, op4_simhash_near_dedup, op5_decontaminate, op7_quality_resample, op9_chat_format,
+    ]
     import corpus_pipeline
 
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
