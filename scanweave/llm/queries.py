@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanweave.llm import bpe, chat, decontaminate, lines, quality, simhash, tiff
+from scanweave.llm import bpe, chat, decontaminate, lines, quality, simhash, tiff, toxicity
 from scanweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity score; every fourth document by the CRC-32 of its id is held out from learning."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=2).score(docs)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each conversation's turns and of its text under the loss mask, read back from the training text."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -63,7 +71,8 @@ def op7_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        op1_line_dedup, op2_bpe, op3_tiff_media, op4_simhash_near_dedup, op5_decontaminate, op7_quality_resample, op9_chat_format,
+        op1_line_dedup, op2_bpe, op3_tiff_media, op4_simhash_near_dedup, op5_decontaminate, op7_quality_resample,
+        op8_toxicity, op9_chat_format,
     ]
     import corpus_pipeline
 
