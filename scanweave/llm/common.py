@@ -23,12 +23,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only ``doc_id`` (long) and ``text`` (null: empty), whatever else ``docs`` has."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
+    """Only ``doc_id`` (long), ``text`` (null: empty) and the columns ``others``, whatever else ``docs`` has."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return docs.select(
         col(id_col).cast("long").alias("doc_id"),
         F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
+        *[col(c) for c in others],
     )
 
 

@@ -5,8 +5,8 @@ target text (documents labelled good), one of the raw text (every document).
 A document's log weight is the mean log ratio of its n-grams times an
 effective length, its key adds Gumbel noise, and the documents with the k
 largest keys are the sample. k is the number of documents whose log weight
-reaches what ``recall`` of the labelled target documents reach, so the sample
-is as large as the good part of the corpus.
+reaches what ``recall`` of the labelled target documents reach, less a margin,
+so the sample is as large as the good part of the corpus.
 
 The n-grams are unigrams and bigrams of words and punctuation, and bigrams and
 trigrams of word shapes, in ``BUCKETS`` buckets. The raw counts cover all
@@ -16,6 +16,7 @@ those with the least hash of their id.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,15 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from scanweave.llm.common import texts, written
+from scanweave.llm.common import col, texts, written
 
 BUCKETS = 1 << 17
 TARGET_ROWS = 50_000
 RECALL = 0.9999
 EFFECTIVE_LENGTH = 20.0
 TEMPERATURE = 0.05
+#: How far below the labelled target documents' least log weights a document may lie.
+MARGIN = 1.0
 SEED = 7
+PRIOR = 20.0
 _TOKEN = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
 _DIGITS = re.compile(rb"\d")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -118,8 +123,8 @@ def target_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> set[int]:
 def log_ratios(docs: DataFrame, target: set[int]) -> np.ndarray:
     """The log ratio of target to raw probability by bucket; ``docs(doc_id, text)``.
 
-    The target model is shrunk towards the raw one, so a bucket that the target rows never
-    show counts by how often they would have been expected to show it.
+    Both are smoothed by ``PRIOR`` occurrences, so a bucket counts by how often the target rows
+    would have been expected to show it, and rare ones hardly at all.
     """
     ids = docs.sparkSession.sparkContext.broadcast(target)
 
@@ -136,33 +141,32 @@ def log_ratios(docs: DataFrame, target: set[int]) -> np.ndarray:
     both[0][sums.bucket], both[1][sums.bucket] = sums.target, sums.raw
     if not both[0].sum():
         return np.zeros(BUCKETS)
-    raw = (both[1] + 1) / (both[1].sum() + BUCKETS)
-    weight = 4.0  # expected occurrences that one unit of the prior is worth
-    prior = raw * both[0].sum()
-    smooth = both[0] + weight * prior / (prior + weight)
-    expected = prior + weight * prior / (prior + weight)
-    return np.log(smooth / smooth.sum()) - np.log(expected / expected.sum())
+    expected = both[1] * (both[0].sum() / both[1].sum())
+    ratios = np.log(both[0] + PRIOR) - np.log(expected + PRIOR)
+    return ratios - math.log((both[0] + PRIOR).sum() / (expected + PRIOR).sum())
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray, length: float = EFFECTIVE_LENGTH) -> DataFrame:
-    """``doc_id, text_crc, n_ngrams, log_weight`` for each row of ``docs(doc_id, text)``; an empty text weighs 0."""
+def log_weights(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", length: float = EFFECTIVE_LENGTH) -> DataFrame:
+    """``docs`` with ``text_crc, n_ngrams, log_weight``; a null text is empty and an empty text weighs 0."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    place = docs.columns.index(text_col)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = shared.value
         for batch in batches:
             crcs, counts, found = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                at = ngram_buckets(text)
-                crcs.append(zlib.crc32(text))
+            for text in batch.column(place).cast(pa.binary()).to_pylist():
+                at = ngram_buckets(text or b"")
+                crcs.append(zlib.crc32(text or b""))
                 counts.append(len(at))
                 found.append(float(by[at].mean()) * length if len(at) else 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.float64())],
-                ["doc_id", "text_crc", "n_ngrams", "log_weight"],
+                [*batch.columns, pa.array(crcs, pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.float64())],
+                [*batch.schema.names, "text_crc", "n_ngrams", "log_weight"],
             )
 
-    return docs.mapInArrow(weigh, "doc_id long, text_crc long, n_ngrams long, log_weight double")
+    new = [StructField("text_crc", LongType()), StructField("n_ngrams", LongType()), StructField("log_weight", DoubleType())]
+    return docs.mapInArrow(weigh, StructType([*docs.schema.fields, *new]))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024, exact_below: int = 20_000) -> float:
@@ -189,6 +193,23 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024, exact_be
         low, high = new
 
 
+def _sampled(own: DataFrame, labels: DataFrame, target_rows: int, recall: float, temperature: float) -> DataFrame:
+    """The sampled rows of ``own(doc_id, text, ...)``, with its other columns but not the text."""
+    target = target_ids(labels, target_rows)
+    scored = log_weights(own, log_ratios(own.select("doc_id", "text"), target))
+    scored = written(scored.drop("text"), "weights")
+    known = own.sparkSession.createDataFrame([(i,) for i in sorted(target)], "doc_id long")
+    weights = scored.select("doc_id", "text_crc", "log_weight")
+    reached = weights.join(F.broadcast(known), "doc_id", "left_semi").agg(F.percentile("log_weight", F.lit(1 - recall))).first()[0]
+    k = weights.filter(F.col("log_weight") >= F.lit(float("-inf") if reached is None else reached - MARGIN)).count()
+    u = (F.pmod(F.xxhash64("doc_id", "text_crc", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    key = F.col("log_weight") - F.lit(temperature) * F.log(-F.log(u))
+    if not k:
+        return scored.withColumn("gumbel_key", key).limit(0)
+    least = kth_largest(weights.select(key.alias("gumbel_key")), "gumbel_key", k)
+    return scored.withColumn("gumbel_key", key).filter(F.col("gumbel_key") >= F.lit(least))
+
+
 def resample(
     docs: DataFrame,
     labels: DataFrame,
@@ -205,23 +226,19 @@ def resample(
     a null doc_id is like any other value; an empty table gives an empty result;
     other columns are not read.
     """
-    own = texts(docs, id_col, text_col)
-    target = target_ids(labels, target_rows)
-    scored = written(log_weights(own, log_ratios(own, target)), "weights")
-    known = own.sparkSession.createDataFrame([(i,) for i in sorted(target)], "doc_id long")
-    reached = scored.join(F.broadcast(known), "doc_id", "left_semi").agg(
-        F.percentile("log_weight", F.lit(1 - recall))
-    ).first()[0]
-    if reached is None:
-        reached = float("-inf")
-    k = scored.filter(F.col("log_weight") >= F.lit(reached)).count()
-    u = (F.pmod(F.xxhash64("doc_id", "text_crc", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(u)))
-    return keyed.filter(F.col("gumbel_key") >= F.lit(kth_largest(keyed, "gumbel_key", k))) if k else keyed.limit(0)
+    return _sampled(texts(docs, id_col, text_col), labels, target_rows, recall, temperature)
 
 
-def sampled_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns."""
-    kept = resample(docs, labels, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_crc").alias("__crc")).distinct()
-    own = F.col(f"`{id_col}`").cast("long"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
-    return docs.join(kept, own[0].eqNullSafe(F.col("__id")) & (own[1] == F.col("__crc")), "left_semi")
+def sampled_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    target_rows: int = TARGET_ROWS,
+    recall: float = RECALL,
+    temperature: float = TEMPERATURE,
+) -> DataFrame:
+    """The sampled rows of ``docs`` with all their columns, which travel beside the weights rather than being joined again."""
+    every = F.struct(*[col(c) for c in docs.columns]).alias("row")
+    own = texts(docs.select(every, col(id_col).alias("i"), col(text_col).alias("t")), "i", "t", "row")
+    return _sampled(own, labels, target_rows, recall, temperature).select("row.*")
