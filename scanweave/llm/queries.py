@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanweave.llm import bpe, chat, decontaminate, lines, quality, simhash, tiff, toxicity
+from scanweave.llm import bpe, chat, decontaminate, licenses, lines, quality, simhash, suffixes, tiff, toxicity
 from scanweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.formatted(turns))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes that a 200-byte string covers which occurs elsewhere, and a digest of the others."""
+    out = suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices of each document."""
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in the quality sample, with their log weight and Gumbel key."""
     out = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -71,8 +82,8 @@ def op7_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        op1_line_dedup, op2_bpe, op3_tiff_media, op4_simhash_near_dedup, op5_decontaminate, op7_quality_resample,
-        op8_toxicity, op9_chat_format,
+        op1_line_dedup, op2_bpe, op3_tiff_media, op4_simhash_near_dedup, op5_decontaminate, op6_suffix_dedup,
+        op7_quality_resample, op8_toxicity, op9_chat_format, op10_license_scan,
     ]
     import corpus_pipeline
 
