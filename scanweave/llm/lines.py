@@ -3,22 +3,28 @@
 Each line's hash gathers a HyperLogLog sketch of the sites that show it, in
 one aggregation whose partial sketches merge. Lines whose estimate lies within
 the sketch's error of the threshold get an exact distinct count; the others
-are decided by the estimate. Then each document loses its boilerplate lines by
-a join on the line's place.
+are decided by the estimate. Then each document loses its boilerplate lines:
+against a broadcast set if they are few, else by a join on the line's place.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from scanweave.llm.common import col, written
+from scanweave.llm.common import ARROW_ROWS, col, signed, written
 
 MIN_SITES = 8
 MAX_SHARE = 0.5
 LOG_K = 8
+#: Boilerplate lines, of 16 bytes each, that are broadcast at most.
+SHARED_LINES = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -58,6 +64,60 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, log_k: int = LOG_
     return sure.select(*keys).unionByName(exact.select(*keys))
 
 
+def _cut_in_place(docs: DataFrame, boiler: DataFrame, text_col: str, max_share: float) -> DataFrame:
+    """The text's boilerplate lines cut by a shared set of line hashes, with no shuffle of texts."""
+    rows = boiler.toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(set(zip(rows["line_hash"], rows["line_chars"], strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            place = batch.schema.get_field_index(text_col)
+            kept, lines, removed = [], [], []
+            for text in batch.column(place).to_pylist():
+                own = text.split("\n") if text is not None else []
+                bad = [
+                    bool(line) and (signed(xxhash.xxh64_intdigest(line.encode(), 42)), len(line)) in known and line.strip(" ") != ""
+                    for line in own
+                ]
+                cut = sum(len(line) for line, b in zip(own, bad, strict=True) if b)
+                cuts = any(bad) and cut <= max_share * (len(text) - len(own) + 1)
+                kept.append("\n".join(line for line, b in zip(own, bad, strict=True) if not b) if cuts else text)
+                lines.append(len(own))
+                removed.append(sum(bad) if cuts else 0)
+            columns = [pa.array(kept, pa.string()) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())],
+                [*batch.schema.names, "__lines", "__removed"],
+            )
+
+    fields = [*docs.schema.fields, StructField("__lines", LongType()), StructField("__removed", LongType())]
+    return docs.mapInArrow(run, StructType(fields))
+
+
+def _cut_by_join(docs: DataFrame, boiler: DataFrame, lines: DataFrame, id_col: str, text_col: str, max_share: float) -> DataFrame:
+    """The same by joins on the line's hash and the document's key, for sets of any size."""
+    hits = (
+        lines.join(boiler, ["line_hash", "line_chars"], "left_semi")
+        .groupBy(F.col("doc_id").alias("__id"), F.col("text_crc").alias("__crc"))
+        .agg(F.array_sort(F.collect_set("pos")).alias("__pos"))
+    )
+    crc = F.crc32(col(text_col).cast("binary"))
+    joined = docs.join(hits, col(id_col).cast("string").eqNullSafe(F.col("__id")) & (crc == F.col("__crc")), "left")
+    rows = F.split(col(text_col), "\n")
+    cut = F.transform("__pos", lambda p: F.char_length(F.element_at(rows, p + 1)))
+    share = F.aggregate(cut, F.lit(0), lambda a, x: a + x) > max_share * (F.char_length(col(text_col)) - F.size(rows) + 1)
+    gone = F.when(F.col("__pos").isNotNull() & ~share, F.col("__pos"))
+    kept = F.array_join(F.filter(rows, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    return (
+        joined.withColumn("__gone", gone)
+        .withColumn("__lines", F.when(col(text_col).isNull(), 0).otherwise(F.size(rows)).cast("long"))
+        .withColumn("__removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
+        .withColumn(text_col, F.when(F.col("__gone").isNull(), col(text_col)).otherwise(kept))
+        .select(*[col(c) for c in docs.columns], "__lines", "__removed")
+    )
+
+
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -65,44 +125,28 @@ def line_dedup(
     site_col: str = "source",
     min_sites: int = MIN_SITES,
     max_share: float = MAX_SHARE,
+    shared_lines: int = SHARED_LINES,
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut from the text, and ``__lines, __removed``, the numbers of lines.
 
     A document in which boilerplate has more than ``max_share`` of the lines'
     characters is a copy rather than a carrier of boilerplate: it stays whole
     and is left to near-dedup. Lines are cut at newlines and compared exactly;
-    blank lines are never boilerplate. A null text stays null and has no lines;
-    a null site counts as none; equal rows are treated equally; an empty table
+    blank lines are never boilerplate. Up to ``shared_lines`` boilerplate lines
+    are broadcast; more are joined. A null text stays null and has no lines; a
+    null site counts as none; equal rows are treated equally; an empty table
     gives an empty result; other columns pass through.
     """
-    crc: Column = F.crc32(col(text_col).cast("binary"))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     own = docs.select(
-        col(id_col).cast("string").alias("doc_id"), crc.alias("text_crc"),
+        col(id_col).cast("string").alias("doc_id"), F.crc32(col(text_col).cast("binary")).alias("text_crc"),
         col(site_col).cast("string").alias("site"), col(text_col).alias("text"),
     )
     lines = _lines(own)
     boiler = written(spread_lines(lines, min_sites), "boilerplate")
-    hits = (
-        lines.join(boiler, ["line_hash", "line_chars"], "left_semi")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_crc").alias("__crc"))
-        .agg(F.array_sort(F.collect_set("pos")).alias("__pos"))
-    )
-    joined = docs.join(hits, col(id_col).cast("string").eqNullSafe(F.col("__id")) & (crc == F.col("__crc")), "left")
-    rows = F.split(col(text_col), "\n")
-    cut = F.transform("__pos", lambda p: F.char_length(F.element_at(rows, p + 1)))
-    share = F.aggregate(cut, F.lit(0), lambda a, x: a + x) > max_share * (
-        F.char_length(col(text_col)) - F.size(rows) + 1
-    )
-    gone = F.when(F.col("__pos").isNotNull() & ~share, F.col("__pos"))
-    kept = F.array_join(F.filter(rows, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    return (
-        joined.withColumn("__gone", gone)
-        .withColumn("__lines", F.coalesce(F.size(rows), F.lit(0)).cast("long"))
-        .withColumn("__lines", F.when(col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("__lines")))
-        .withColumn("__removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
-        .withColumn(text_col, F.when(F.col("__gone").isNull(), col(text_col)).otherwise(kept))
-        .select(*[col(c) for c in docs.columns], "__lines", "__removed")
-    )
+    if boiler.count() <= shared_lines:
+        return _cut_in_place(docs, boiler, text_col, max_share)
+    return _cut_by_join(docs, boiler, lines, id_col, text_col, max_share)
 
 
 ORACLE = f"""
