@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NAMES = ("centre", "sigma", "amplitude", "offset")
-_ERF = np.vectorize(math.erf, otypes=[float])
+
+
+def _erf(values: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.erf, otypes=[float])(values)
 
 
 def _model(shape: str, x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -28,7 +31,7 @@ def _model(shape: str, x: np.ndarray, p: np.ndarray) -> np.ndarray:
     if shape == "lorentzian":
         return height / (1 + u * u) + offset
     if shape == "step":
-        return height * 0.5 * (1 + _ERF(u / math.sqrt(2))) + offset
+        return height * 0.5 * (1 + _erf(u / math.sqrt(2))) + offset
     raise ValueError(f"unknown shape {shape!r}")
 
 

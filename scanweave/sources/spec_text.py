@@ -21,7 +21,7 @@ def blocks_of(files: DataFrame) -> DataFrame:
     parts = files.select("path", F.posexplode(F.split("text", r"(?m)^#S ")).alias("at", "block")).filter("at > 0")
     lines = F.split("block", r"\r?\n")
     head = F.regexp_extract(lines[0], r"^(\d+)\s*(.*)$", 1), F.regexp_extract(lines[0], r"^(\d+)\s*(.*)$", 2)
-    found = parts.select("path", "at", head[0].cast("int").alias("scan"), head[1].alias("command"), lines.alias("lines"))
+    found = parts.select("path", "at", head[0].cast("int").alias("scan"), head[1].alias("command"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("lines"))
     last = F.row_number().over(Window.partitionBy("path", "scan").orderBy(F.desc("at")))
     return found.withColumn("__r", last).filter("__r = 1").drop("__r", "at")
 
