@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanweave import model
-from scanweave.functions import physics
-from scanweave.operators import combine, curves, fitting, imaging, pumpprobe, reductions, scans, scattering
+from scanweave.functions import crystal, physics
+from scanweave.operators import combine, curves, fitting, imaging, processing, pumpprobe, reductions, scans, scattering
 from scanweave.streaming import sessions, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -688,3 +688,107 @@ def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = reductions.com_map(pixels(spark, sf_dir, True), "label", 4.5)
     return fitting.kmeans(maps.select("y", "x", "com", "width"), ("com", "width"), 4).select("y", "x", "cluster")
 
+
+
+# Processing and crystals
+
+
+@query(f"""WITH {YEARS} SELECT p, yr, {r('log10(value)')} AS value, {r('sigma / (value * ln(10e0))', 9)} AS sigma FROM years""")
+def apply_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = processing.apply_function(yearly(spark, sf_dir), "log10")
+    return rounded(rounded(out, 6, "sigma"), 9, "value")
+
+
+@query(f"""WITH {DAILY} SELECT event_type, x, {r('(y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) * 100')} AS y FROM daily WINDOW w AS (PARTITION BY event_type)""")
+def normalize_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(processing.normalize(daily(spark, sf_dir), "y", "range", ("event_type",), 100.0))
+
+
+@query("""SELECT event_id, CASE WHEN value < 5 OR value > 50 THEN -1.0 ELSE value END AS value FROM events""")
+def clip_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return processing.clip_values(t(spark, sf_dir, "events").select("event_id", "value"), "value", 5.0, 50.0, -1.0)
+
+
+@query(f"""WITH {CELLS}, f AS (SELECT label, quantile_cont(v, 0.1) AS f FROM cells GROUP BY label) SELECT label, vec_id, y, x, {r('greatest(v, f)')} AS v FROM cells JOIN f USING (label)""")
+def threshold_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(processing.threshold_floor(pixels(spark, sf_dir), "v", 10.0, ("label",)))
+
+
+@query(f"""WITH {CELLS}, b AS (SELECT * FROM cells WHERE y >= 1 AND y < 5 AND x >= 2 AND x < 8), p AS (SELECT vec_id, quantile_cont(v, 0.9) AS p, median(v) AS m FROM b GROUP BY vec_id),
+    c AS (SELECT vec_id, CASE WHEN v > p THEN m ELSE v END AS v FROM b JOIN p USING (vec_id)), q AS (SELECT vec_id, quantile_cont(v, 0.1) AS p, median(v) AS m FROM c GROUP BY vec_id)
+    SELECT vec_id, {r('avg(CASE WHEN v < p THEN m ELSE v END)')} AS mean FROM c JOIN q USING (vec_id) GROUP BY vec_id""")
+def box_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(processing.box_mean(pixels(spark, sf_dir), (1, 5, 2, 8), "vec_id", True))
+
+
+@query(f"""WITH {DAILY}, e AS (SELECT event_type, min(x) AS a, max(x) AS b FROM daily GROUP BY event_type),
+    w AS (SELECT event_type, CASE WHEN g = 12 THEN b ELSE a + (b - a) * g / 12e0 END AS x FROM e, range(13) r(g)),
+    n AS (SELECT w.event_type, w.x, max(d.x) FILTER (d.x <= w.x) AS a, min(d.x) FILTER (d.x >= w.x) AS b FROM w JOIN daily d USING (event_type) GROUP BY w.event_type, w.x)
+    SELECT n.event_type, {r('n.x')} AS x, {r('CASE WHEN n.a = n.b THEN p.y ELSE p.y + (n.x - n.a) / (n.b - n.a) * (q.y - p.y) END', 4)} AS y
+    FROM n JOIN daily p ON p.event_type = n.event_type AND p.x = n.a JOIN daily q ON q.event_type = n.event_type AND q.x = n.b""")
+def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(processing.resample(daily(spark, sf_dir), 13, ("event_type",)), 4, "x"), 6, "y")
+
+
+@query(f"""SELECT p_partkey, {r('4 * pi() * sin(asin(12.398419843320026 / 12e0 / (2 * p_size))) / (12.398419843320026 / 12e0)')} AS q FROM part""")
+def convert_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = processing.convert_axis(F.col("p_size").cast("double"), "d", "q", 12.0)
+    return rounded(t(spark, sf_dir, "part").select("p_partkey", q.alias("q")))
+
+
+@query(f"""WITH {IMAGE}, n AS (SELECT a.label, a.y, a.x, any_value(a.v) AS v, count(*) AS n, sum(b.v * (b.x - a.x) * (2 - abs(b.y - a.y))) AS gx, sum(b.v * (b.y - a.y) * (2 - abs(b.x - a.x))) AS gy
+    FROM image a JOIN image b ON a.label = b.label AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.label, a.y, a.x)
+    SELECT label, y, x, {r('v')} AS v, {r('CASE WHEN n = 9 THEN sqrt(gx * gx + gy * gy) END')} AS edge FROM n""")
+def edge_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(processing.edge_strength(images(spark, sf_dir), "v", ("label",)))
+
+
+@query(f"""WITH {IMAGE} SELECT a.label, a.y, a.x, {r('any_value(a.v)')} AS v, {r('stddev_pop(b.v)')} AS local_std FROM image a JOIN image b ON a.label = b.label AND abs(a.y - b.y) <= 1
+    AND abs(a.x - b.x) <= 1 GROUP BY a.label, a.y, a.x""")
+def smoothness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(processing.smoothness(images(spark, sf_dir), "v", 3, ("label",)))
+
+
+@query(f"""WITH {IMAGE} SELECT label, y, x, {r('v')} AS v, {r('sum(v) OVER (PARTITION BY label, y ORDER BY x)')} AS sum FROM image""")
+def integrate_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(processing.integrate_displacement(images(spark, sf_dir), "v", ("label",)))
+
+
+@query(f"""WITH s AS (SELECT p_partkey, radians(p_size + 0e0) AS t, radians(p_size / 4e0) AS d FROM part), q AS (SELECT p_partkey, cos(d) * cos(t) - 1 AS a, cos(d) * sin(t) AS b, sin(d) AS c FROM s)
+    SELECT p_partkey, {r('2 * pi() * 12e0 / 12.398419843320026 * a')} AS qx, {r('2 * pi() * 12e0 / 12.398419843320026 * b')} AS qy, {r('2 * pi() * 12e0 / 12.398419843320026 * c')} AS qz,
+    {r('2 * pi() * 12e0 / 12.398419843320026 * sqrt(a * a + b * b + c * c)')} AS q FROM q""")
+def scattering_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("double")
+    v = crystal.scattering_vector(size, size / 4, 12.0)
+    turned = crystal.rotated(crystal.rotated(v, (0, 0, 1), size), (0, 0, 1), -size)
+    return rounded(t(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for c, n in zip(turned, ("qx", "qy", "qz"), strict=True)], crystal.norm(v).alias("q")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'cubic' WHEN p_size % 4 = 1 THEN 'tetragonal' WHEN p_size % 4 = 2 THEN 'hexagonal' ELSE 'monoclinic' END AS system,
+    round(CASE WHEN p_size % 4 = 0 THEN 27e0 WHEN p_size % 4 = 1 THEN 45e0 WHEN p_size % 4 = 2 THEN 45e0 * sqrt(0.75e0) ELSE 60e0 * sin(radians(100e0)) END, 6) + 0.0 AS volume FROM part""")
+def crystal_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    which = F.col("p_size") % 4
+    pick = lambda *v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), which + 1)
+    cell = (pick(3, 3, 3, 3), pick(3, 3, 3, 4), pick(3, 5, 5, 5), pick(90, 90, 90, 90), pick(90, 90, 90, 100), pick(90, 90, 120, 90))
+    return rounded(t(spark, sf_dir, "part").select("p_partkey", crystal.crystal_system(*cell).alias("system"), crystal.cell_volume(*cell).alias("volume")))
+
+
+@query(f"""SELECT p_partkey, {r('12.398419843320026 / (2 * 3.1356e0 * sin(radians(p_size)))')} AS energy, {r('sin(0.5e0 + p_size / 200e0) / sin(0.5e0 - p_size / 200e0)')} AS magnification,
+    {r('p_size / 200e0')} AS miscut, CAST(p_size // gcd(gcd(p_size, 12), 18) AS BIGINT) AS h, CAST(12 // gcd(gcd(p_size, 12), 18) AS BIGINT) AS k, CAST(18 // gcd(gcd(p_size, 12), 18) AS BIGINT) AS l FROM part""")
+def crystal_optics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("double")
+    mag = crystal.magnification(size / 200, 0.5)
+    h, k, l = crystal.reduce_indices(F.col("p_size").cast("long"), F.lit(12).cast("long"), F.lit(18).cast("long"))  # noqa: E741
+    own = t(spark, sf_dir, "part").select(
+        "p_partkey", crystal.mono_energy(size).alias("energy"), mag.alias("magnification"), crystal.miscut(mag, 0.5).alias("miscut"), h.alias("h"), k.alias("k"), l.alias("l")
+    )
+    return rounded(own)
+
+
+@query(f"""WITH i AS (SELECT h, k, l FROM range(-4, 5) a(h), range(-4, 5) b(k), range(-4, 5) c(l) WHERE (h <> 0 OR k <> 0 OR l <> 0) AND abs(h + k) % 2 = 0 AND abs(k + l) % 2 = 0),
+    d AS (SELECT *, round(1 / sqrt((h * h + k * k + l * l) / 5.431e0 ** 2), 6) AS d, 1 / sqrt((h * h + k * k + l * l) / 5.431e0 ** 2) AS e FROM i),
+    n AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY h DESC, k DESC, l DESC) AS o, count(*) OVER (PARTITION BY d) AS multiplicity FROM d)
+    SELECT d, h, k, l, multiplicity, {r('degrees(2 * asin(12.398419843320026 / 12e0 / (2 * e)))')} AS two_theta FROM n WHERE o = 1 AND 12.398419843320026 / 12e0 / (2 * e) <= 1""")
+def reflection_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = physics.reflections(spark, (5.431, 5.431, 5.431, 90.0, 90.0, 90.0), "F", 12.0, 4)
+    return rounded(crystal.families(own))
