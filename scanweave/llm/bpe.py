@@ -1,39 +1,57 @@
 """BPE encoding and decoding over a distinct-word table.
 
-Texts are split into words at blanks, which no token of the vocabulary spans.
+Texts are split into words at places which no token of the vocabulary spans.
 The words of all documents are counted, each distinct word is encoded once,
 and the ids come back by position: the ``HEAD`` most frequent words, a table
 of bounded size, are shared with all tasks, while occurrences of the others
 join the word table by the word and return to their document by its key and
-their place. Decoding maps each id to its piece by a join with the vocabulary.
+their place. A document itself moves as the squeezed ranks of its words. Decoding maps each id to its piece by a join with the vocabulary.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from scanweave.llm.common import texts, written
 
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Rows of the shared word table, and bytes of a word that may be in it.
 HEAD, HEAD_WORD_BYTES = 1 << 18, 64
-_FLUSH = 400_000
+_FLUSH, _MEMO = 200_000, 200_000
+_WIDE = re.compile("[^\x00-\u024f]")
 
 
-def words_of(text: str) -> list[str]:
+def chunks_of(text: str) -> list[str]:
     """The text cut at spaces, tabs and line ends; the tokenizer drops all blanks, so no id is lost.
 
-    Other blanks stay inside words and are left to the tokenizer.
+    Other blanks stay inside chunks and are left to the tokenizer. The tokenizer puts
+    letters in lower case, so Latin texts are put in lower case before; where special
+    tokens could arise from capitals, or a letter's lower case depends on its
+    neighbours, texts stay as they are.
     """
-    return [w for w in text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") if w]
+    if "<|" not in text and (text.isascii() or not _WIDE.search(text)):
+        text = text.lower()
+    return [c for c in text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") if c]
+
+
+def words_of(chunk: str) -> tuple[str, ...]:
+    """A chunk without the comma or full stop after its last letter, and that sign; the tokenizer splits there too."""
+    if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
+        return chunk[:-1], chunk[-1]
+    return (chunk,)
 
 
 def _tokenizer(path: str):
@@ -49,15 +67,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
-        both = [pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())]
-        return pa.RecordBatch.from_arrays(both, ["word", "n"])
+        by: Counter[str] = Counter()
+        for chunk, n in seen.items():
+            for word in words_of(chunk):
+                by[word] += n
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(by.keys(), pa.string()), pa.array(by.values(), pa.int64())], ["word", "n"])
 
     for batch in batches:
         for text in batch.column(1).to_pylist():
-            seen.update(words_of(text))
+            seen.update(chunks_of(text))
             if len(seen) > _FLUSH:
                 yield out()
-                seen.clear()
     yield out()
 
 
@@ -68,7 +89,7 @@ def word_table(own: DataFrame, path: str) -> DataFrame:
         tokenizer = _tokenizer(path)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+            ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"]
             )
@@ -77,99 +98,140 @@ def word_table(own: DataFrame, path: str) -> DataFrame:
     return counted.mapInArrow(encode, "word string, n long, ids array<int>")
 
 
-def _key(text: str) -> int:
-    return zlib.crc32(text.encode())
-
-
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
-    """``doc_id, ids array<int>`` for each row, as the tokenizers library encodes the whole text.
-
-    ``path`` is a tokenizer file whose pre-tokenizer drops blanks, readable on
-    every executor. Null texts are empty and have no ids; equal rows each give a
-    row; a null doc_id is carried along; an empty table gives an empty result;
-    other columns are not read.
-    """
+class _Coder:
+    """Ranks of a text's words in the shared table, from 1; 0 for a word of the tail."""
+
+    def __init__(self, head: list[str]):
+        self.rank = {w: (i + 1).to_bytes(3, "little") for i, w in enumerate(head)}
+        self.memo: dict[str, bytes] = {}
+
+    def code(self, text: str) -> tuple[bytes, list[str]]:
+        """Three bytes for each word, and the words of the tail in order."""
+        chunks = chunks_of(text)
+        parts = list(map(self.memo.get, chunks))
+        tail: list[str] = []
+        if None in parts:
+            if len(self.memo) > _MEMO:
+                self.memo.clear()
+            for i, part in enumerate(parts):
+                if part is None:
+                    words = words_of(chunks[i])
+                    missing = [w for w in words if w not in self.rank]
+                    parts[i] = b"".join(self.rank.get(w, b"\0\0\0") for w in words)
+                    if missing:
+                        tail += missing
+                    else:
+                        self.memo[chunks[i]] = parts[i]
+        return b"".join(parts), tail
+
+
+def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, head: int) -> tuple[DataFrame, Step]:
+    """``doc_id, codes, parts`` of each row, and the step that makes ``doc_id, ids`` of them in Arrow batches."""
     own = texts(docs, id_col, text_col)
+    context = own.sparkSession.sparkContext
     table = written(word_table(own, path), "words")
     short = table.filter(F.octet_length("word") <= HEAD_WORD_BYTES)
     top = short.orderBy(F.desc("n"), "word").limit(head).select("word", "ids").toArrow()
     ids = top.column("ids").combine_chunks()
-    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-    shared = own.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), offsets, flat))
-    cached: dict = {}
-
-    def ranks() -> dict[str, int]:
-        if "ranks" not in cached:
-            cached["ranks"] = {w: i for i, w in enumerate(shared.value[0])}
-        return cached["ranks"]
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ranks of a document's words, -1 for those of the tail, squeezed; and the tail's words with their places."""
-        of = ranks()
+    words = context.broadcast(top.column("word").to_pylist())
+    places = context.broadcast((np.concatenate([[0], ids.offsets.to_numpy()]), ids.values.to_numpy()))
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _Coder(words.value)
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            keys, found = [zlib.crc32(t.encode()) for t in raw], [coder.code(t)[1] for t in raw]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "key", "tail"]
+            )
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _Coder(words.value)
         for batch in batches:
-            keys, codes, places, tails = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                found = np.fromiter((of.get(w, -1) for w in words), dtype=np.int32, count=len(words))
-                at = np.flatnonzero(found < 0)
-                keys.append(_key(text))
-                codes.append(squeezed(found))
-                places.append(at.astype(np.int32))
-                tails.append([words[i] for i in at.tolist()])
+            raw = batch.column(1).to_pylist()
+            keys, found = [zlib.crc32(t.encode()) for t in raw], [squeezed(coder.code(t)[0]) for t in raw]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(codes, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.string()))],
-                ["doc_id", "key", "codes", "places", "tails"],
+                [batch.column(0), pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "key", "codes"]
             )
 
-    rows = written(own.mapInArrow(coded, "doc_id long, key long, codes binary, places array<int>, tails array<string>"), "coded")
-    keyed = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    tail = keyed.filter(F.size("tails") > 0).select("id", "key", F.inline(F.arrays_zip("places", "tails")).alias("place", "word"))
+    rest = own.mapInArrow(tails, "doc_id long, key long, tail array<string>")
     back = (
-        tail.join(table.select("word", "ids"), "word")
-        .groupBy("id", "key")
+        rest.select("doc_id", "key", F.posexplode("tail").alias("place", "word"))
+        .join(table.select("word", "ids"), "word")
+        .groupBy("doc_id", "key")
         .agg(F.collect_set(F.struct("place", "ids")).alias("parts"))
+        .withColumnsRenamed({"doc_id": "__id", "key": "__key"})
     )
-    joined = keyed.select("doc_id", "id", "key", "codes").join(back, ["id", "key"], "left")
+    coded = own.mapInArrow(codes, "doc_id long, key long, codes binary")
+    joined = coded.join(back, coded.doc_id.eqNullSafe(F.col("__id")) & (coded.key == F.col("__key")), "left")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, starts, values = shared.value
+        starts, values = places.value
         lengths = np.diff(starts)
         for batch in batches:
-            out = []
-            for codes, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                out.append(_filled(expanded(codes), parts or [], starts, lengths, values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return joined.select("doc_id", "codes", "parts").mapInArrow(filled, "doc_id long, ids array<int>")
+            found = []
+            for packed, parts in zip(batch.column(1).to_pylist(), _parts(batch.column(2)), strict=True):
+                found.append(_filled(expanded(packed), parts, starts, lengths, values))
+            offsets = np.concatenate([[0], np.cumsum(list(map(len, found)), dtype=np.int64)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
+    return joined.select("doc_id", "codes", "parts"), filled
 
-def squeezed(ranks: np.ndarray) -> bytes:
-    """Ranks as compressed byte planes, of which the upper ones are nearly empty."""
-    return zlib.compress((ranks + 1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), 1)
-
-
-def expanded(codes: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(codes), dtype=np.uint8).reshape(3, -1).astype(np.int32)
-    return (planes[0] | planes[1] << 8 | planes[2] << 16) - 1
 
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+    """``doc_id, ids array<int>`` for each row, as the tokenizers library encodes the whole text.
 
-def _filled(ranks: np.ndarray, parts: list[dict], starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """All ids in order: those of ranks from the shared table, the others from ``parts``."""
-    known = ranks >= 0
-    sizes = np.where(known, lengths[np.maximum(ranks, 0)] if len(lengths) else 0, 0).astype(np.int64)
-    for p in parts:
-        sizes[p["place"]] = len(p["ids"])
+    ``path`` is a tokenizer file whose pre-tokenizer drops blanks, readable on
+    every executor. Null texts are empty and have no ids; equal rows each give a
+    row; a null doc_id is carried along; an empty table gives an empty result;
+    other columns are not read.
+    """
+    rows, fill = _coded(docs, path, id_col, text_col, head)
+    return rows.mapInArrow(fill, "doc_id long, ids array<int>")
+
+
+def _parts(column: pa.ListArray) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """For each row, the places of its tail's words with their ids."""
+    rows = column.flatten()
+    places = rows.field("place").to_numpy()
+    ids = rows.field("ids")
+    starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    for n in sizes.tolist():
+        yield [(int(places[k]), flat[starts[k] : starts[k + 1]]) for k in range(at, at + n)]
+        at += n
+
+
+def squeezed(codes: bytes) -> bytes:
+    """Codes as compressed byte planes, of which the upper ones are nearly empty."""
+    return zlib.compress(np.frombuffer(codes, dtype=np.uint8).reshape(-1, 3).T.tobytes(), 1)
+
+
+def expanded(packed: bytes) -> np.ndarray:
+    """The ranks, 0 for the tail."""
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(3, -1).astype(np.int32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+
+def _filled(
+    ranks: np.ndarray, parts: list[tuple[int, np.ndarray]], starts: np.ndarray, lengths: np.ndarray, values: np.ndarray
+) -> np.ndarray:
+    """All ids in order: rank r's are ``values[starts[r] : starts[r + 1]]``, those of the k-th word of the tail are in ``parts``."""
+    sizes = lengths[ranks].astype(np.int64)
+    tail = np.flatnonzero(ranks == 0)
+    for k, ids in parts:
+        sizes[tail[k]] = len(ids)
     ends = np.cumsum(sizes)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
     begin = ends - sizes
-    where = np.flatnonzero(known)
-    if len(where):
-        own = sizes[where]
-        total = int(own.sum())
-        step = np.arange(total) - np.repeat(np.cumsum(own) - own, own)
-        out[np.repeat(begin[where], own) + step] = values[np.repeat(starts[ranks[where]], own) + step]
-    for p in parts:
-        out[begin[p["place"]] : ends[p["place"]]] = p["ids"]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+    where = np.flatnonzero(ranks)
+    own = sizes[where]
+    step = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    out[np.repeat(begin[where], own) + step] = values[np.repeat(starts[ranks[where]], own) + step]
+    for k, ids in parts:
+        out[begin[tail[k]] : ends[tail[k]]] = ids
     return out
 
 
@@ -181,23 +243,17 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(sorted(by.items()), "id int, piece string")
 
 
-def decode(encoded: DataFrame, vocabulary: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``: the pieces of the ids in order, one blank between them.
-
-    ``vocabulary(id, piece)`` has at most 2^20 ids, which is checked; it is joined to
-    the ids as a lookup by id in each Arrow batch. Ids that it lacks are
-    dropped, null or empty ids decode to the empty text.
-    """
+def _decoder(context: SparkContext, vocabulary: DataFrame, place: int) -> Step:
+    """The step that adds ``decoded`` to batches with ids at ``place``, by a lookup join with the vocabulary."""
     table = vocabulary.limit((1 << 20) + 1).toPandas()
     if len(table) > 1 << 20:
         raise ValueError("the vocabulary has more than 2^20 ids")
     by = np.full(int(table["id"].max()) + 1 if len(table) else 0, None, dtype=object)
     by[table["id"].to_numpy()] = table["piece"].to_numpy()
-    shared = encoded.sparkSession.sparkContext.broadcast(pa.array(by, pa.string()))
-    place = encoded.columns.index(ids_col)
+    shared = context.broadcast(by.tolist())
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = pa.array(shared.value, pa.string())
         for batch in batches:
             ids = batch.column(place)
             known = pc.list_flatten(ids)
@@ -206,31 +262,45 @@ def decode(encoded: DataFrame, vocabulary: DataFrame, ids_col: str = "ids") -> D
             found = pc.take(table, known)
             lengths = pc.fill_null(pc.list_value_length(ids), 0)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False))]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, found)
             if found.null_count:
-                keep = [[p for p in own if p is not None] for own in pa.ListArray.from_arrays(offsets, found).to_pylist()]
-                lists = pa.array(keep, pa.list_(pa.string()))
-            else:
-                lists = pa.ListArray.from_arrays(offsets, found)
+                lists = pa.array([[p for p in own if p is not None] for own in lists.to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(lists, " ")], [*batch.schema.names, "decoded"])
 
-    from pyspark.sql.types import StringType, StructField, StructType
+    return join
 
-    return encoded.mapInArrow(join, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
+def decode(encoded: DataFrame, vocabulary: DataFrame, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded``: the pieces of the ids in order, one blank between them.
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``doc_id, ids, decoded``."""
-    import hashlib
+    ``vocabulary(id, piece)`` has at most 2^20 ids, which is checked; each Arrow batch joins
+    its ids to it. Ids that it lacks are dropped, null or empty ids decode to the
+    empty text.
+    """
+    step = _decoder(encoded.sparkSession.sparkContext, vocabulary, encoded.columns.index(ids_col))
+    return encoded.mapInArrow(step, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            sums = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.string()), batch.column("decoded")],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded"],
-            )
 
-    rows = decoded.select("doc_id", "ids", "decoded").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded string")
-    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts_ = batch.column("ids"), batch.column("decoded").cast(pa.binary())
+        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+        sums = [hashlib.sha256(flat[a:b].data).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        decoded = [hashlib.sha256(t.as_buffer()).hexdigest() for t in texts_]
+        columns = [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def round_trip(docs: DataFrame, path: str, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: each text encoded and decoded, and both digested.
+
+    ``encode`` and ``decode`` one after the other in the same Arrow batch, so that neither
+    the ids nor the decoded texts leave the task.
+    """
+    rows, fill = _coded(docs, path, id_col, text_col, head)
+    unpack = _decoder(docs.sparkSession.sparkContext, vocabulary, 1)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _digested(unpack(fill(batches)))
+
+    return rows.mapInArrow(steps, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: whole texts travel in batches, so this bounds a Python worker's memory.
-ARROW_ROWS = 1000
+#: Bytes of one Arrow batch: whole texts travel in batches, so this bounds a Python worker's memory.
+ARROW_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
-    """Only ``doc_id`` (long), ``text`` (null: empty) and the columns ``others``, whatever else ``docs`` has."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``ARROW_BYTES`` or one row, if that is longer."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Only ``doc_id`` (long) and ``text`` (null: empty), whatever else ``docs`` has."""
+    bounded_batches(docs.sparkSession)
     return docs.select(
         col(id_col).cast("long").alias("doc_id"),
         F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
-        *[col(c) for c in others],
     )
 
 

@@ -27,7 +27,7 @@ from scanweave.llm.common import texts
 MASKS = ("11111", "1101011", "11010011", "101100101")
 WINDOW = 13
 SIMILARITY = 0.8
-BLOOM_BITS = 1 << 27
+BLOOM_BITS = 1 << 26
 PROBES = 3
 _WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +57,7 @@ def masked_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
 
 def probes(hashes: np.ndarray) -> list[np.ndarray]:
     """The ``PROBES`` bits of the filter for each hash."""
-    return [((hashes * np.uint64(2 * k + 1)) >> np.uint64(37 - 5 * k)) & np.uint64(BLOOM_BITS - 1) for k in range(PROBES)]
+    return [((hashes * np.uint64(2 * k + 1)) >> np.uint64(38 - 5 * k)) & np.uint64(BLOOM_BITS - 1) for k in range(PROBES)]
 
 
 def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:

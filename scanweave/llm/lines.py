@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from scanweave.llm.common import ARROW_ROWS, col, signed, written
+from scanweave.llm.common import bounded_batches, col, signed, written
 
 MIN_SITES = 8
 MAX_SHARE = 0.5
@@ -137,7 +137,7 @@ def line_dedup(
     null site counts as none; equal rows are treated equally; an empty table
     gives an empty result; other columns pass through.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    bounded_batches(docs.sparkSession)
     own = docs.select(
         col(id_col).cast("string").alias("doc_id"), F.crc32(col(text_col).cast("binary")).alias("text_crc"),
         col(site_col).cast("string").alias("site"), col(text_col).alias("text"),

@@ -147,7 +147,7 @@ def log_ratios(docs: DataFrame, target: set[int]) -> np.ndarray:
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", length: float = EFFECTIVE_LENGTH) -> DataFrame:
-    """``docs`` with ``text_crc, n_ngrams, log_weight``; a null text is empty and an empty text weighs 0."""
+    """``docs`` with ``__crc, __ngrams, __weight``; a null text is empty and an empty text weighs 0."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     place = docs.columns.index(text_col)
 
@@ -162,10 +162,10 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", len
                 found.append(float(by[at].mean()) * length if len(at) else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(crcs, pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.float64())],
-                [*batch.schema.names, "text_crc", "n_ngrams", "log_weight"],
+                [*batch.schema.names, "__crc", "__ngrams", "__weight"],
             )
 
-    new = [StructField("text_crc", LongType()), StructField("n_ngrams", LongType()), StructField("log_weight", DoubleType())]
+    new = [StructField("__crc", LongType()), StructField("__ngrams", LongType()), StructField("__weight", DoubleType())]
     return docs.mapInArrow(weigh, StructType([*docs.schema.fields, *new]))
 
 
@@ -193,21 +193,20 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024, exact_be
         low, high = new
 
 
-def _sampled(own: DataFrame, labels: DataFrame, target_rows: int, recall: float, temperature: float) -> DataFrame:
-    """The sampled rows of ``own(doc_id, text, ...)``, with its other columns but not the text."""
+def _sampled(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, dropped: list[str], target_rows: int, recall: float, temperature: float
+) -> DataFrame:
+    """The sampled rows of ``docs`` without the columns ``dropped``, with ``__crc, __ngrams, __weight, __key``."""
     target = target_ids(labels, target_rows)
-    scored = log_weights(own, log_ratios(own.select("doc_id", "text"), target))
-    scored = written(scored.drop("text"), "weights")
-    known = own.sparkSession.createDataFrame([(i,) for i in sorted(target)], "doc_id long")
-    weights = scored.select("doc_id", "text_crc", "log_weight")
-    reached = weights.join(F.broadcast(known), "doc_id", "left_semi").agg(F.percentile("log_weight", F.lit(1 - recall))).first()[0]
-    k = weights.filter(F.col("log_weight") >= F.lit(float("-inf") if reached is None else reached - MARGIN)).count()
-    u = (F.pmod(F.xxhash64("doc_id", "text_crc", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = F.col("log_weight") - F.lit(temperature) * F.log(-F.log(u))
-    if not k:
-        return scored.withColumn("gumbel_key", key).limit(0)
-    least = kth_largest(weights.select(key.alias("gumbel_key")), "gumbel_key", k)
-    return scored.withColumn("gumbel_key", key).filter(F.col("gumbel_key") >= F.lit(least))
+    ratios = log_ratios(texts(docs, id_col, text_col), target)
+    scored = written(log_weights(docs, ratios, text_col).drop(*dropped), "weights")
+    weights = scored.select(col(id_col).cast("long").alias("doc_id"), "__crc", "__weight")
+    known = docs.sparkSession.createDataFrame([(i,) for i in sorted(target)], "doc_id long")
+    reached = weights.join(F.broadcast(known), "doc_id", "left_semi").agg(F.percentile("__weight", F.lit(1 - recall))).first()[0]
+    k = weights.filter(F.col("__weight") >= F.lit(float("-inf") if reached is None else reached - MARGIN)).count()
+    u = (F.pmod(F.xxhash64(col(id_col).cast("long"), "__crc", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keyed = scored.withColumn("__key", F.col("__weight") - F.lit(temperature) * F.log(-F.log(u)))
+    return keyed.filter(F.col("__key") >= F.lit(kth_largest(keyed, "__key", k))) if k else keyed.limit(0)
 
 
 def resample(
@@ -226,7 +225,9 @@ def resample(
     a null doc_id is like any other value; an empty table gives an empty result;
     other columns are not read.
     """
-    return _sampled(texts(docs, id_col, text_col), labels, target_rows, recall, temperature)
+    own = texts(docs, id_col, text_col)
+    found = _sampled(own, labels, "doc_id", "text", ["text"], target_rows, recall, temperature)
+    return found.toDF("doc_id", "text_crc", "n_ngrams", "log_weight", "gumbel_key")
 
 
 def sampled_documents(
@@ -239,6 +240,5 @@ def sampled_documents(
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns, which travel beside the weights rather than being joined again."""
-    every = F.struct(*[col(c) for c in docs.columns]).alias("row")
-    own = texts(docs.select(every, col(id_col).alias("i"), col(text_col).alias("t")), "i", "t", "row")
-    return _sampled(own, labels, target_rows, recall, temperature).select("row.*")
+    found = _sampled(docs, labels, id_col, text_col, [], target_rows, recall, temperature)
+    return found.select(*[col(c) for c in docs.columns])

@@ -25,8 +25,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
-    return bpe.digests(bpe.decode(encoded, bpe.pieces(spark, path)))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, bpe.pieces(spark, path))
 
 
 def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
