@@ -1,11 +1,12 @@
 """BPE encoding and decoding over a distinct-word table.
 
 Texts are split into words at places which no token of the vocabulary spans.
-The words of all documents are counted, each distinct word is encoded once,
-and the ids come back by position: the ``HEAD`` most frequent words, a table
-of bounded size, are shared with all tasks, while occurrences of the others
-join the word table by the word and return to their document by its key and
-their place. A document itself moves as the squeezed ranks of its words. Decoding maps each id to its piece by a join with the vocabulary.
+Each distinct word is encoded once and its ids come back by position: the
+most frequent words, at most ``HEAD`` of them, make a table that all tasks share,
+while occurrences of the others meet by the word, are encoded there and return
+to their document by its key and their place. A document itself moves as the
+squeezed ranks of its words. Decoding maps each id to its piece by a join with
+the vocabulary.
 """
 
 from __future__ import annotations
@@ -64,6 +65,7 @@ def _tokenizer(path: str):
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words met more than once between two flushes, with their numbers: only the choice of the shared table depends on them."""
     seen: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
@@ -72,7 +74,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word in words_of(chunk):
                 by[word] += n
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(by.keys(), pa.string()), pa.array(by.values(), pa.int64())], ["word", "n"])
+        often = {w: n for w, n in by.items() if n > 1}
+        return pa.RecordBatch.from_arrays([pa.array(often.keys(), pa.string()), pa.array(often.values(), pa.int64())], ["word", "n"])
 
     for batch in batches:
         for text in batch.column(1).to_pylist():
@@ -82,20 +85,45 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def word_table(own: DataFrame, path: str) -> DataFrame:
-    """``word, n, ids`` for each distinct word of ``own(doc_id, text)``, encoded once."""
+def head_words(own: DataFrame, head: int = HEAD) -> DataFrame:
+    """``word, n``: at most ``head`` of the most frequent short words of ``own(doc_id, text)``.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The words from the least bin of counts on that keeps to ``head``; the bins are counted, so no task sorts all words.
+    """
+    counted = own.mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    size = F.floor(F.log2("n") * 16).cast("int").alias("bin")
+    table = written(counted.filter(F.octet_length("word") <= HEAD_WORD_BYTES).select("word", "n", size), "words")
+    least, total = 1 << 20, 0
+    for row in sorted(table.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
+        total += row.words
+        if total > head:
+            break
+        least = row.bin
+    return table.filter(F.col("bin") >= least).select("word", "n")
+
+
+def _packed(tokenizer, words: list[str]) -> list[bytes]:
+    """The ids of each word as little-endian integers of 32 bits."""
+    return [np.array(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def encoded_words(path: str, place: int) -> Step:
+    """The step that puts ``ids`` for the words at ``place``; words that come sorted are encoded once."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
+        last: tuple[str | None, bytes] = (None, b"")
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"]
-            )
+            words = batch.column(place).dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            again = distinct[:1] == [last[0]]
+            packed = [*([last[1]] if again else []), *_packed(tokenizer, distinct[again:])]
+            if distinct:
+                last = (distinct[-1], packed[-1])
+            columns = [pc.take(pa.array(packed, pa.binary()), words.indices) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, ["ids" if i == place else n for i, n in enumerate(batch.schema.names)])
 
-    counted = own.mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(encode, "word string, n long, ids array<int>")
+    return step
 
 
 class _Coder:
@@ -129,41 +157,48 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, head: int) ->
     """``doc_id, codes, parts`` of each row, and the step that makes ``doc_id, ids`` of them in Arrow batches."""
     own = texts(docs, id_col, text_col)
     context = own.sparkSession.sparkContext
-    table = written(word_table(own, path), "words")
-    short = table.filter(F.octet_length("word") <= HEAD_WORD_BYTES)
-    top = short.orderBy(F.desc("n"), "word").limit(head).select("word", "ids").toArrow()
-    ids = top.column("ids").combine_chunks()
-    words = context.broadcast(top.column("word").to_pylist())
-    places = context.broadcast((np.concatenate([[0], ids.offsets.to_numpy()]), ids.values.to_numpy()))
+    top = head_words(own, head).orderBy(F.desc("n"), "word").select("word").toArrow().column("word").to_pylist()
+    ids = [np.frombuffer(b, "<i4") for b in _packed(_tokenizer(path), top)]
+    words = context.broadcast(top)
+    places = context.broadcast((np.cumsum([0, 0, *map(len, ids)]), np.concatenate([*ids, np.empty(0, "<i4")])))
+
+    def keys(batch: pa.RecordBatch, raw: list[str]) -> list[pa.Array]:
+        """The document's id, 0 if null, and its key: the text's CRC-32 and whether the id is null."""
+        missing = batch.column(0).is_null().to_pylist()
+        key = [zlib.crc32(t.encode()) | null << 32 for t, null in zip(raw, missing, strict=True)]
+        return [pc.fill_null(batch.column(0), 0), pa.array(key, pa.int64())]
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Coder(words.value)
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            keys, found = [zlib.crc32(t.encode()) for t in raw], [coder.code(t)[1] for t in raw]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "key", "tail"]
-            )
+            found = [coder.code(t)[1] for t in raw]
+            yield pa.RecordBatch.from_arrays([*keys(batch, raw), pa.array(found, pa.list_(pa.string()))], ["own", "key", "tail"])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _Coder(words.value)
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            keys, found = [zlib.crc32(t.encode()) for t in raw], [squeezed(coder.code(t)[0]) for t in raw]
+            found = [squeezed(coder.code(t)[0]) for t in raw]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "key", "codes"]
+                [batch.column(0), *keys(batch, raw), pa.array(found, pa.binary())], ["doc_id", "own", "key", "codes"]
             )
 
-    rest = own.mapInArrow(tails, "doc_id long, key long, tail array<string>")
+    rest = own.mapInArrow(tails, "own long, key long, tail array<string>")
+    # a word too long for the shared table may be frequent all the same, so its occurrences are dealt out
+    salt = F.when(F.octet_length("word") > HEAD_WORD_BYTES, F.pmod(F.xxhash64("own", "key"), F.lit(1024))).otherwise(0)
+    met = (
+        rest.select("own", "key", F.posexplode("tail").alias("place", "word"))
+        .repartition("word", salt)
+        .sortWithinPartitions("word")
+        .mapInArrow(encoded_words(path, 3), "own long, key long, place int, ids binary")
+    )
     back = (
-        rest.select("doc_id", "key", F.posexplode("tail").alias("place", "word"))
-        .join(table.select("word", "ids"), "word")
-        .groupBy("doc_id", "key")
+        met.repartition("own", "key")  # flat rows move, not lists
+        .groupBy("own", "key")
         .agg(F.collect_set(F.struct("place", "ids")).alias("parts"))
-        .withColumnsRenamed({"doc_id": "__id", "key": "__key"})
     )
-    coded = own.mapInArrow(codes, "doc_id long, key long, codes binary")
-    joined = coded.join(back, coded.doc_id.eqNullSafe(F.col("__id")) & (coded.key == F.col("__key")), "left")
+    joined = own.mapInArrow(codes, "doc_id long, own long, key long, codes binary").join(back, ["own", "key"], "left")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, values = places.value
@@ -194,13 +229,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def _parts(column: pa.ListArray) -> Iterator[list[tuple[int, np.ndarray]]]:
     """For each row, the places of its tail's words with their ids."""
     rows = column.flatten()
-    places = rows.field("place").to_numpy()
-    ids = rows.field("ids")
-    starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    places = rows.field("place").to_pylist()
+    ids = rows.field("ids").to_pylist()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
     at = 0
-    for n in sizes.tolist():
-        yield [(int(places[k]), flat[starts[k] : starts[k + 1]]) for k in range(at, at + n)]
+    for n in sizes:
+        yield [(places[k], np.frombuffer(ids[k], "<i4")) for k in range(at, at + n)]
         at += n
 
 
