@@ -157,10 +157,11 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, head: int) ->
     """``doc_id, codes, parts`` of each row, and the step that makes ``doc_id, ids`` of them in Arrow batches."""
     own = texts(docs, id_col, text_col)
     context = own.sparkSession.sparkContext
-    top = head_words(own, head).orderBy(F.desc("n"), "word").select("word").toArrow().column("word").to_pylist()
-    ids = [np.frombuffer(b, "<i4") for b in _packed(_tokenizer(path), top)]
-    words = context.broadcast(top)
-    places = context.broadcast((np.cumsum([0, 0, *map(len, ids)]), np.concatenate([*ids, np.empty(0, "<i4")])))
+    top = head_words(own, head).orderBy(F.desc("n"), "word").select("word", F.col("word").alias("ids"))
+    top = top.mapInArrow(encoded_words(path, 1), "word string, ids binary").toArrow()
+    sizes = pc.binary_length(top.column("ids")).to_numpy() // 4
+    words = context.broadcast(top.column("word").to_pylist())
+    places = context.broadcast((np.concatenate([[0, 0], np.cumsum(sizes)]), np.frombuffer(b"".join(top.column("ids").to_pylist()), "<i4")))
 
     def keys(batch: pa.RecordBatch, raw: list[str]) -> list[pa.Array]:
         """The document's id, 0 if null, and its key: the text's CRC-32 and whether the id is null."""
