@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanweave.llm import neardup
 from scanweave.llm.common import signed, texts, written
 from scanweave.llm.components import connected_components
 
@@ -127,23 +128,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document of each group of near duplicates: that of the least doc_id.
-
-    Of several rows with that doc_id one stays. Rows without a doc_id stay only
-    if nothing in their group has one, then one for each fingerprint.
-    """
-    kept = written(near_duplicates(docs, id_col, text_col), "groups").filter(
-        F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    )
-    ids = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    own = col_of(docs, id_col)
-    once = docs.join(ids.filter("n = 1").select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_semi")
-    again = docs.join(ids.filter("n > 1").select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_semi")
-    without = docs.filter(own.isNull())
-    if kept.filter("component_id IS NULL").isEmpty():
-        without = without.limit(0)
-    return once.unionByName(again.dropDuplicates([id_col])).unionByName(without.dropDuplicates([text_col]))
-
-
-def col_of(docs: DataFrame, name: str):
-    return docs["`" + name.replace("`", "``") + "`"].cast("long")
+    """The rows of ``docs`` with one of each group of near duplicates, by 5-word similarity rather than by fingerprint; see ``neardup``."""
+    return neardup.representatives(docs, id_col, text_col)
