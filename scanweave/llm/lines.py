@@ -64,7 +64,7 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, log_k: int = LOG_
     return sure.select(*keys).unionByName(exact.select(*keys))
 
 
-def _cut_in_place(docs: DataFrame, boiler: DataFrame, text_col: str, max_share: float) -> DataFrame:
+def _cut_in_place(docs: DataFrame, boiler: DataFrame, text_col: str, max_share: float | None) -> DataFrame:
     """The text's boilerplate lines cut by a shared set of line hashes, with no shuffle of texts."""
     rows = boiler.toPandas()
     shared = docs.sparkSession.sparkContext.broadcast(set(zip(rows["line_hash"], rows["line_chars"], strict=True)))
@@ -81,7 +81,10 @@ def _cut_in_place(docs: DataFrame, boiler: DataFrame, text_col: str, max_share:
                     for line in own
                 ]
                 cut = sum(len(line) for line, b in zip(own, bad, strict=True) if b)
-                cuts = any(bad) and cut <= max_share * (len(text) - len(own) + 1)
+                if max_share is None:
+                    cuts = any(bad) and any(line.strip(" ") != "" for line, b in zip(own, bad, strict=True) if not b)
+                else:
+                    cuts = any(bad) and cut <= max_share * (len(text) - len(own) + 1)
                 kept.append("\n".join(line for line, b in zip(own, bad, strict=True) if not b) if cuts else text)
                 lines.append(len(own))
                 removed.append(sum(bad) if cuts else 0)
@@ -95,7 +98,7 @@ def _cut_in_place(docs: DataFrame, boiler: DataFrame, text_col: str, max_share:
     return docs.mapInArrow(run, StructType(fields))
 
 
-def _cut_by_join(docs: DataFrame, boiler: DataFrame, lines: DataFrame, id_col: str, text_col: str, max_share: float) -> DataFrame:
+def _cut_by_join(docs: DataFrame, boiler: DataFrame, lines: DataFrame, id_col: str, text_col: str, max_share: float | None) -> DataFrame:
     """The same by joins on the line's hash and the document's key, for sets of any size."""
     hits = (
         lines.join(boiler, ["line_hash", "line_chars"], "left_semi")
@@ -106,8 +109,11 @@ def _cut_by_join(docs: DataFrame, boiler: DataFrame, lines: DataFrame, id_col: s
     joined = docs.join(hits, col(id_col).cast("string").eqNullSafe(F.col("__id")) & (crc == F.col("__crc")), "left")
     rows = F.split(col(text_col), "\n")
     cut = F.transform("__pos", lambda p: F.char_length(F.element_at(rows, p + 1)))
-    share = F.aggregate(cut, F.lit(0), lambda a, x: a + x) > max_share * (F.char_length(col(text_col)) - F.size(rows) + 1)
-    gone = F.when(F.col("__pos").isNotNull() & ~share, F.col("__pos"))
+    if max_share is None:
+        whole = ~F.exists(F.filter(rows, lambda _, i: ~F.array_contains("__pos", i)), lambda line: F.trim(line) != "")
+    else:
+        whole = F.aggregate(cut, F.lit(0), lambda a, x: a + x) > max_share * (F.char_length(col(text_col)) - F.size(rows) + 1)
+    gone = F.when(F.col("__pos").isNotNull() & ~whole, F.col("__pos"))
     kept = F.array_join(F.filter(rows, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     return (
         joined.withColumn("__gone", gone)
@@ -124,14 +130,15 @@ def line_dedup(
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = MIN_SITES,
-    max_share: float = MAX_SHARE,
+    max_share: float | None = MAX_SHARE,
     shared_lines: int = SHARED_LINES,
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut from the text, and ``__lines, __removed``, the numbers of lines.
 
     A document in which boilerplate has more than ``max_share`` of the lines'
     characters is a copy rather than a carrier of boilerplate: it stays whole
-    and is left to near-dedup. Lines are cut at newlines and compared exactly;
+    and is left to near-dedup. With ``max_share`` None boilerplate goes from every
+    document that has another line with text, whatever its share. Lines are cut at newlines and compared exactly;
     blank lines are never boilerplate. Up to ``shared_lines`` boilerplate lines
     are broadcast; more are joined. A null text stays null and has no lines; a
     null site counts as none; equal rows are treated equally; an empty table
