@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,7 +93,7 @@ def features(text: str, lexicon: dict[str, float], cache: dict[str, float]) -> l
         near = int(np.minimum(np.abs(after - hits), np.abs(before - hits)).__le__(NEAR).sum())
     odd = sum(1 for t in tokens if not t.isalpha() and len(t) > 2 and t[0].isalnum() and _ODD.search(t[:-1]) and not t.isdigit())
     letters = sum(map(len, tokens))
-    upper = sum(map(str.isupper, text)) if len(text) < 4000 else sum(1 for t in tokens if t[0].isupper())
+    upper = sum(k * sum(map(str.isupper, t)) for t, k in Counter(tokens).items())
     return [
         math.log1p(len(tokens)), float(found.sum()) / n, math.log1p(len(hits)), float(found[0]) if len(found) else 0.0,
         float(found[1]) if len(found) > 1 else 0.0, float((found > 3).sum()), near / n, len(seconds) / n,
