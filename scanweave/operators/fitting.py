@@ -1,4 +1,4 @@
-"""Curve fits and clusters: least squares in Arrow groups, k-means and density clusters.
+"""Curve fits and clusters: least squares in Arrow groups and k-means.
 
 Curves are rows of arrays; every batch of curves is fitted at once by a damped
 Gauss-Newton iteration over the whole batch, so Python runs per batch and not per curve.
