@@ -1,9 +1,9 @@
 """Connected components by alternating star contractions.
 
 Edges are rows; nothing is gathered on the driver. Each round joins the
-edges with the least neighbour of their ends, so a hub costs rows, never one
-task's memory, and the number of rounds grows with the logarithm of the
-longest chain.
+edges with the least neighbour of their ends. The edges of a hub, a node with
+very many of them, are dealt over several tasks for that join, and the number
+of rounds grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -11,29 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import written
+from scanweave.llm.common import dealt_join, written
 
 
-def _least(edges: DataFrame, key: str, value: str) -> DataFrame:
-    return edges.groupBy(F.col(key).alias("node")).agg(F.min(value).alias("least"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``u, v, least``: each edge with the least neighbour of its ``u``."""
+    return dealt_join(edges, edges.groupBy("u").agg(F.min("v").alias("least")), ["u"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both, "u", "v")
-    return (
-        both.join(least, both.u == least.node)
-        .filter("v > u")
-        .select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
-        .distinct()
-    )
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of them."""
-    least = _least(edges, "u", "v")
-    joined = edges.join(least, edges.u == least.node).select("u", "v", "least")
+    joined = _with_least(edges)
     return (
         joined.select(F.col("v").alias("u"), F.col("least").alias("v"))
         .unionByName(joined.select("u", F.col("least").alias("v")))
@@ -42,10 +36,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is a root or has one edge, to a root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root"))
     )
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up + root > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -57,11 +53,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "edges",
     )
-    state = _state(now)
-    while state[0]:
-        now = written(_small_star(_large_star(now)), "edges")
-        before, state = state, _state(now)
-        if before == state:
-            break
+    while not _settled(now):
+        larger = written(_large_star(now), "edges", now)
+        now = written(_small_star(larger), "edges", larger)
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
