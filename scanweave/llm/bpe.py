@@ -1,12 +1,13 @@
 """BPE encoding and decoding over a distinct-word table.
 
-Texts are split into words at places which no token of the vocabulary spans.
-Each distinct word is encoded once and its ids come back by position: the
-most frequent words, at most ``HEAD`` of them, make a table that all tasks share,
-while occurrences of the others meet by the word, are encoded there and return
-to their document by its key and their place. A document itself moves as the
-squeezed ranks of its words. Decoding maps each id to its piece by a join with
-the vocabulary.
+Each task splits its texts once, at places which no token of the vocabulary
+spans, and writes them as dictionaries: the distinct words of some megabytes of
+text, and each text as places in that list. The words of all dictionaries
+make one table of distinct words. Each is encoded once, its ids are joined with
+the vocabulary's pieces, and both return to the dictionaries by position, where
+every text is put together again. What moves is a word for each dictionary that
+has it, not for each time it occurs; the texts themselves stay where they were
+written, in buckets by dictionary.
 """
 
 from __future__ import annotations
@@ -14,25 +15,27 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import zlib
-from collections import Counter
+import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from scanweave.llm.common import texts, written
+from scanweave.llm.common import new_path, texts
 
-Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-#: Rows of the shared word table, and bytes of a word that may be in it.
-HEAD, HEAD_WORD_BYTES = 1 << 18, 64
-_FLUSH, _MEMO = 200_000, 200_000
+#: Characters of the texts that share a dictionary; a longer text has its own.
+DICTIONARY_CHARS = 1 << 24
+#: Dictionaries in which a word is looked up at once; beyond them it is encoded again for the next as many.
+PLACES = 100_000
+VOCABULARY_IDS = 1 << 20
 _WIDE = re.compile("[^\x00-\u024f]")
+_DICTIONARY = "dictionary long, words array<string>, ids array<long>, sizes array<int>, codes binary"
 
 
 def chunks_of(text: str) -> list[str]:
@@ -64,158 +67,217 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words met more than once between two flushes, with their numbers: only the choice of the shared table depends on them."""
-    seen: Counter[str] = Counter()
+class _Index(dict):
+    """Counts keys up in the order in which they are first looked up."""
 
-    def out() -> pa.RecordBatch:
-        by: Counter[str] = Counter()
-        for chunk, n in seen.items():
-            for word in words_of(chunk):
-                by[word] += n
-        seen.clear()
-        often = {w: n for w, n in by.items() if n > 1}
-        return pa.RecordBatch.from_arrays([pa.array(often.keys(), pa.string()), pa.array(often.values(), pa.int64())], ["word", "n"])
-
-    for batch in batches:
-        for text in batch.column(1).to_pylist():
-            seen.update(chunks_of(text))
-            if len(seen) > _FLUSH:
-                yield out()
-    yield out()
-
-
-def head_words(own: DataFrame, head: int = HEAD) -> DataFrame:
-    """``word, n``: at most ``head`` of the most frequent short words of ``own(doc_id, text)``.
-
-    The words from the least bin of counts on that keeps to ``head``; the bins are counted, so no task sorts all words.
-    """
-    counted = own.mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    size = F.floor(F.log2("n") * 16).cast("int").alias("bin")
-    table = written(counted.filter(F.octet_length("word") <= HEAD_WORD_BYTES).select("word", "n", size), "words")
-    least, total = 1 << 20, 0
-    for row in sorted(table.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
-        total += row.words
-        if total > head:
-            break
-        least = row.bin
-    return table.filter(F.col("bin") >= least).select("word", "n")
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self)
+        return place
 
 
-def _packed(tokenizer, words: list[str]) -> list[bytes]:
-    """The ids of each word as little-endian integers of 32 bits."""
-    return [np.array(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+def squeezed(codes: np.ndarray) -> bytes:
+    """Places as compressed byte planes, of which the upper ones are nearly empty."""
+    return zstandard.ZstdCompressor(level=3).compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def encoded_words(path: str, place: int) -> Step:
-    """The step that puts ``ids`` for the words at ``place``; words that come sorted are encoded once."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        last: tuple[str | None, bytes] = (None, b"")
-        for batch in batches:
-            words = batch.column(place).dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            again = distinct[:1] == [last[0]]
-            packed = [*([last[1]] if again else []), *_packed(tokenizer, distinct[again:])]
-            if distinct:
-                last = (distinct[-1], packed[-1])
-            columns = [pc.take(pa.array(packed, pa.binary()), words.indices) if i == place else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, ["ids" if i == place else n for i, n in enumerate(batch.schema.names)])
-
-    return step
-
-
-class _Coder:
-    """Ranks of a text's words in the shared table, from 1; 0 for a word of the tail."""
-
-    def __init__(self, head: list[str]):
-        self.rank = {w: (i + 1).to_bytes(3, "little") for i, w in enumerate(head)}
-        self.memo: dict[str, bytes] = {}
-
-    def code(self, text: str) -> tuple[bytes, list[str]]:
-        """Three bytes for each word, and the words of the tail in order."""
-        chunks = chunks_of(text)
-        parts = list(map(self.memo.get, chunks))
-        tail: list[str] = []
-        if None in parts:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            for i, part in enumerate(parts):
-                if part is None:
-                    words = words_of(chunks[i])
-                    missing = [w for w in words if w not in self.rank]
-                    parts[i] = b"".join(self.rank.get(w, b"\0\0\0") for w in words)
-                    if missing:
-                        tail += missing
-                    else:
-                        self.memo[chunks[i]] = parts[i]
-        return b"".join(parts), tail
-
-
-def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, head: int) -> tuple[DataFrame, Step]:
-    """``doc_id, codes, parts`` of each row, and the step that makes ``doc_id, ids`` of them in Arrow batches."""
-    own = texts(docs, id_col, text_col)
-    context = own.sparkSession.sparkContext
-    top = head_words(own, head).orderBy(F.desc("n"), "word").select("word", F.col("word").alias("ids"))
-    top = top.mapInArrow(encoded_words(path, 1), "word string, ids binary").toArrow()
-    sizes = pc.binary_length(top.column("ids")).to_numpy() // 4
-    words = context.broadcast(top.column("word").to_pylist())
-    places = context.broadcast((np.concatenate([[0, 0], np.cumsum(sizes)]), np.frombuffer(b"".join(top.column("ids").to_pylist()), "<i4")))
-
-    def keys(batch: pa.RecordBatch, raw: list[str]) -> list[pa.Array]:
-        """The document's id, 0 if null, and its key: the text's CRC-32 and whether the id is null."""
-        missing = batch.column(0).is_null().to_pylist()
-        key = [zlib.crc32(t.encode()) | null << 32 for t, null in zip(raw, missing, strict=True)]
-        return [pc.fill_null(batch.column(0), 0), pa.array(key, pa.int64())]
-
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _Coder(words.value)
-        for batch in batches:
-            raw = batch.column(1).to_pylist()
-            found = [coder.code(t)[1] for t in raw]
-            yield pa.RecordBatch.from_arrays([*keys(batch, raw), pa.array(found, pa.list_(pa.string()))], ["own", "key", "tail"])
+def expanded(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+
+
+def _dictionary(chunks: _Index, lists: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words, the most frequent first, the number of words of each text, and their places in the list."""
+    index = _Index()
+    first, second = np.empty(len(chunks), np.int32), np.full(len(chunks), -1, np.int32)
+    for k, chunk in enumerate(chunks):
+        word, *sign = words_of(chunk)
+        first[k] = index[word]
+        if sign:
+            second[k] = index[sign[0]]
+    flat = np.concatenate([*lists, np.empty(0, np.int32)])
+    both = np.stack([first[flat], second[flat]], axis=1)
+    owner = np.repeat(np.arange(len(lists)), list(map(len, lists)))
+    sizes = np.bincount(owner, minlength=len(lists)) + np.bincount(owner[both[:, 1] >= 0], minlength=len(lists))
+    places = both[both >= 0]
+    order = np.argsort(-np.bincount(places, minlength=len(index)), kind="stable")
+    rank = np.empty(len(index), np.int32)
+    rank[order] = np.arange(len(index))
+    words = list(index)
+    return [words[k] for k in order.tolist()], sizes, rank[places]
+
+
+def dictionaries(own: DataFrame, chars: int = DICTIONARY_CHARS) -> DataFrame:
+    """The table of dictionaries of ``own(doc_id, text)``, in buckets by ``dictionary``, its number."""
+    spark = own.sparkSession
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        chunks, ids, lists, size = _Index(), [], [], 0
+
+        def out() -> pa.RecordBatch:
+            words, sizes, places = _dictionary(chunks, lists)
+            columns = [pa.array([x], t) for x, t in zip(
+                (number, words, ids, sizes.tolist(), squeezed(places)),
+                (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["dictionary", "words", "ids", "sizes", "codes"])
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _Coder(words.value)
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            found = [squeezed(coder.code(t)[0]) for t in raw]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *keys(batch, raw), pa.array(found, pa.binary())], ["doc_id", "own", "key", "codes"]
-            )
-
-    rest = own.mapInArrow(tails, "own long, key long, tail array<string>")
-    # a word too long for the shared table may be frequent all the same, so its occurrences are dealt out
-    salt = F.when(F.octet_length("word") > HEAD_WORD_BYTES, F.pmod(F.xxhash64("own", "key"), F.lit(1024))).otherwise(0)
-    met = (
-        rest.select("own", "key", F.posexplode("tail").alias("place", "word"))
-        .repartition("word", salt)
-        .sortWithinPartitions("word")
-        .mapInArrow(encoded_words(path, 3), "own long, key long, place int, ids binary")
-    )
-    back = (
-        met.repartition("own", "key")  # flat rows move, not lists
-        .groupBy("own", "key")
-        .agg(F.collect_set(F.struct("place", "ids")).alias("parts"))
-    )
-    joined = own.mapInArrow(codes, "doc_id long, own long, key long, codes binary").join(back, ["own", "key"], "left")
-
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, values = places.value
-        lengths = np.diff(starts)
-        for batch in batches:
-            found = []
-            for packed, parts in zip(batch.column(1).to_pylist(), _parts(batch.column(2)), strict=True):
-                found.append(_filled(expanded(packed), parts, starts, lengths, values))
-            offsets = np.concatenate([[0], np.cumsum(list(map(len, found)), dtype=np.int64)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cut = chunks_of(text)
+                lists.append(np.fromiter(map(chunks.__getitem__, cut), np.int32, len(cut)))
+                ids.append(doc_id)
+                size += len(text) + 64
+                if size >= chars:
+                    yield out()
+                    chunks, ids, lists, size, number = _Index(), [], [], 0, number + 1
+        if ids:
+            yield out()
+
+    name, path = f"scanweave_dictionaries_{uuid.uuid4().hex}", new_path(spark, "dictionaries")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = own.mapInArrow(split, _DICTIONARY)
+    rows.write.bucketBy(buckets, "dictionary").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def _encoder(path: str) -> Callable[[Column], Column]:
+    """The column of ids of a column of words."""
+
+    @F.arrow_udf("array<int>")
+    def encoded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        for column in columns:
+            found = [e.ids for e in tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+            yield pa.array(found, pa.list_(pa.int32()))
+
+    return encoded
+
+
+def _with_pieces(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``rows`` with ``ids`` spread to ``at, id, piece``; a row's ids stay together and in order, as the vocabulary is broadcast."""
+    known = vocabulary.select(F.col("id").cast("int").alias("id"), "piece").dropDuplicates(["id"])
+    if known.count() > VOCABULARY_IDS:
+        raise ValueError("the vocabulary has more than 2^20 ids")
+    others = [c for c in rows.columns if c != "ids"]
+    return rows.select(*others, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(known), "id", "left")
 
-    return joined.select("doc_id", "codes", "parts"), filled
 
+def distinct_words(table: DataFrame, path: str, places: int = PLACES) -> DataFrame:
+    """``word, places, ids``: each distinct word of the dictionaries once, with the dictionaries and places where it is.
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+    No row has more than ``places`` of them: if there are more dictionaries, words are grouped by slices of these.
+    """
+    slices = 1 + table.count() // places
+    entries = table.select("dictionary", F.posexplode("words").alias("place", "word"))
+    keys = ["word"]
+    if slices > 1:
+        entries, keys = entries.withColumn("slice", F.pmod(F.xxhash64("dictionary"), F.lit(slices))), ["word", "slice"]
+    grouped = entries.groupBy(*keys).agg(F.collect_list(F.struct("dictionary", "place")).alias("places"))
+    return grouped.select("word", "places", _encoder(path)("word").alias("ids"))
+
+
+def _frame(places: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: bytes) -> bytes:
+    """The words of one dictionary: their places, numbers of ids, ids, and the bytes of their pieces."""
+    wide = 4 if len(ids) and int(ids.max()) > 0xFFFF else 2
+    parts = [places.astype("<u4"), counts.astype("<u4"), sizes.astype("<u4"), ids.astype(f"<u{wide}")]
+    body = struct.pack("<BII", wide, len(places), len(ids)) + b"".join(p.tobytes() for p in parts) + text
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(body) if len(body) > 512 else b"\0" + body
+
+
+def _unframed(data: bytes) -> tuple[list[int], list[bytes], list[str]]:
+    """Places, ids as little-endian integers of 32 bits, and pieces of a frame's words."""
+    body = zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:]
+    wide, n, total = struct.unpack_from("<BII", body)
+    head = np.frombuffer(body, "<u4", 3 * n, 9)
+    ids = np.frombuffer(body, f"<u{wide}", total, 9 + 12 * n).astype("<u4").tobytes()
+    at = 9 + 12 * n + wide * total
+    ends, cuts = (np.cumsum(head[n : 2 * n]) * 4).tolist(), (np.cumsum(head[2 * n :]) + at).tolist()
+    own = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    pieces_ = [body[a:b].decode() for a, b in zip([at, *cuts], cuts, strict=False)]
+    return head[:n].tolist(), own, pieces_
+
+
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A frame for each dictionary of some words, from rows ``at, id, piece, places`` of which a word's stay together."""
+
+    def packed(rows: pa.RecordBatch) -> pa.RecordBatch:
+        at = rows.column("at")
+        starts = np.flatnonzero(pc.equal(pc.fill_null(at, 0), 0).to_numpy(zero_copy_only=False))
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([starts[1:], [rows.num_rows]])
+        places = rows.column("places").take(pa.array(starts))
+        counts = np.where(known[starts], ends - starts, 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        ids = pa.ListArray.from_arrays(offsets, rows.column("id").filter(pa.array(known)))
+        pieces_ = rows.column("piece").filter(pa.array(known))
+        if pieces_.null_count:
+            pieces_ = pa.array([[p for p in own if p is not None] for own in pa.ListArray.from_arrays(offsets, pieces_).to_pylist()], pa.list_(pa.string()))
+        else:
+            pieces_ = pa.ListArray.from_arrays(offsets, pieces_)
+        joined = pc.binary_join(pieces_, " ").cast(pa.binary())
+        where = places.flatten()
+        word = np.repeat(np.arange(len(starts)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+        number, place = (where.field(f).to_numpy(zero_copy_only=False) for f in ("dictionary", "place"))
+        order = np.argsort(number, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(number[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+        numbers, frames = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = order[a:b]
+            at_ = pa.array(word[own])
+            text = joined.take(at_)
+            sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
+            blob = b"".join(text.to_pylist())
+            frames.append(_frame(place[own], counts[word[own]], ids.take(at_).flatten().to_numpy(zero_copy_only=False), sizes, blob))
+            numbers.append(int(number[own[0]]))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(frames, pa.binary())], ["dictionary", "frame"])
+
+    left: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+        starts = np.flatnonzero(pc.equal(pc.fill_null(rows.column("at"), 0), 0).to_numpy())
+        whole = rows.slice(0, int(starts[-1])).combine_chunks()
+        left = rows.slice(int(starts[-1]))
+        if whole.num_rows:
+            yield packed(whole.to_batches()[0])
+    if left is not None and left.num_rows:
+        yield packed(left.combine_chunks().to_batches()[0])
+
+
+def _joined(docs: DataFrame, path: str, vocabulary: DataFrame | None, id_col: str, text_col: str, chars: int, places: int) -> DataFrame:
+    """The dictionaries' ``ids, sizes, codes`` with ``frames``, what is known of their words."""
+    table = dictionaries(texts(docs, id_col, text_col), chars)
+    words = distinct_words(table, path, places).select("places", "ids")
+    if vocabulary is None:
+        spread = words.select("places", F.posexplode_outer("ids").alias("at", "id"), F.lit("").alias("piece"))
+    else:
+        spread = _with_pieces(words, vocabulary)
+    once = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("places")).alias("places")
+    frames = spread.select("at", "id", "piece", once).mapInArrow(_frames, "dictionary long, frame binary")
+    own = frames.groupBy("dictionary").agg(F.collect_list("frame").alias("frames"))
+    return table.join(own, "dictionary", "left").select("ids", "sizes", "codes", "frames")
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Iterator[list[int]], list[bytes], list[str]]]:
+    """For each dictionary its documents' ids, their words' places, and what the words at these places are."""
+    for batch in batches:
+        for ids, sizes, codes, frames in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            flat = expanded(codes)
+            n = int(flat.max()) + 1 if len(flat) else 0
+            own, text = [b""] * n, [""] * n
+            for frame in frames or []:
+                for place, i, t in zip(*_unframed(frame), strict=True):
+                    own[place], text[place] = i, t
+            ends = np.cumsum(sizes, dtype=np.int64).tolist()
+            yield ids, (flat[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)), own, text
+
+
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chars: int = DICTIONARY_CHARS, places: int = PLACES
+) -> DataFrame:
     """``doc_id, ids array<int>`` for each row, as the tokenizers library encodes the whole text.
 
     ``path`` is a tokenizer file whose pre-tokenizer drops blanks, readable on
@@ -223,51 +285,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     row; a null doc_id is carried along; an empty table gives an empty result;
     other columns are not read.
     """
-    rows, fill = _coded(docs, path, id_col, text_col, head)
-    return rows.mapInArrow(fill, "doc_id long, ids array<int>")
-
 
-def _parts(column: pa.ListArray) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """For each row, the places of its tail's words with their ids."""
-    rows = column.flatten()
-    places = rows.field("place").to_pylist()
-    ids = rows.field("ids").to_pylist()
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
-    at = 0
-    for n in sizes:
-        yield [(places[k], np.frombuffer(ids[k], "<i4")) for k in range(at, at + n)]
-        at += n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, seqs, own, _ in _assembled(batches):
+            for doc_id, seq in zip(ids, seqs, strict=True):
+                found = np.frombuffer(b"".join(map(own.__getitem__, seq)), "<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([found], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-
-def squeezed(codes: bytes) -> bytes:
-    """Codes as compressed byte planes, of which the upper ones are nearly empty."""
-    return zlib.compress(np.frombuffer(codes, dtype=np.uint8).reshape(-1, 3).T.tobytes(), 1)
-
-
-def expanded(packed: bytes) -> np.ndarray:
-    """The ranks, 0 for the tail."""
-    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(3, -1).astype(np.int32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
-
-
-def _filled(
-    ranks: np.ndarray, parts: list[tuple[int, np.ndarray]], starts: np.ndarray, lengths: np.ndarray, values: np.ndarray
-) -> np.ndarray:
-    """All ids in order: rank r's are ``values[starts[r] : starts[r + 1]]``, those of the k-th word of the tail are in ``parts``."""
-    sizes = lengths[ranks].astype(np.int64)
-    tail = np.flatnonzero(ranks == 0)
-    for k, ids in parts:
-        sizes[tail[k]] = len(ids)
-    ends = np.cumsum(sizes)
-    begin = ends - sizes
-    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
-    where = np.flatnonzero(ranks)
-    own = sizes[where]
-    step = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-    out[np.repeat(begin[where], own) + step] = values[np.repeat(starts[ranks[where]], own) + step]
-    for k, ids in parts:
-        out[begin[tail[k]] : ends[tail[k]]] = ids
-    return out
+    return _joined(docs, path, None, id_col, text_col, chars, places).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -278,64 +303,43 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(sorted(by.items()), "id int, piece string")
 
 
-def _decoder(context: SparkContext, vocabulary: DataFrame, place: int) -> Step:
-    """The step that adds ``decoded`` to batches with ids at ``place``, by a lookup join with the vocabulary."""
-    table = vocabulary.limit((1 << 20) + 1).toPandas()
-    if len(table) > 1 << 20:
-        raise ValueError("the vocabulary has more than 2^20 ids")
-    by = np.full(int(table["id"].max()) + 1 if len(table) else 0, None, dtype=object)
-    by[table["id"].to_numpy()] = table["piece"].to_numpy()
-    shared = context.broadcast(by.tolist())
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(shared.value, pa.string())
-        for batch in batches:
-            ids = batch.column(place)
-            known = pc.list_flatten(ids)
-            if len(known) and pc.max(known).as_py() >= len(table):
-                known = pc.if_else(pc.less(known, len(table)), known, None)
-            found = pc.take(table, known)
-            lengths = pc.fill_null(pc.list_value_length(ids), 0)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False))]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, found)
-            if found.null_count:
-                lists = pa.array([[p for p in own if p is not None] for own in lists.to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(lists, " ")], [*batch.schema.names, "decoded"])
-
-    return join
-
-
 def decode(encoded: DataFrame, vocabulary: DataFrame, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the pieces of the ids in order, one blank between them.
 
-    ``vocabulary(id, piece)`` has at most 2^20 ids, which is checked; each Arrow batch joins
-    its ids to it. Ids that it lacks are dropped, null or empty ids decode to the
-    empty text.
+    Each distinct list of ids is decoded once, by a join of its ids with ``vocabulary(id, piece)``,
+    which has at most 2^20 ids; lists are told apart by 128 bits of hash. Ids that the vocabulary
+    lacks are dropped, null or empty lists decode to the empty text.
     """
-    step = _decoder(encoded.sparkSession.sparkContext, vocabulary, encoded.columns.index(ids_col))
-    return encoded.mapInArrow(step, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
-
-
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts_ = batch.column("ids"), batch.column("decoded").cast(pa.binary())
-        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-        sums = [hashlib.sha256(flat[a:b].data).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        decoded = [hashlib.sha256(t.as_buffer()).hexdigest() for t in texts_]
-        columns = [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def round_trip(docs: DataFrame, path: str, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+    keys = {"__a": F.xxhash64(ids_col), "__b": F.xxhash64(F.lit(1), ids_col)}
+    keyed = encoded.withColumns(keys)
+    lists = keyed.select("__a", "__b", F.col(ids_col).alias("ids")).dropDuplicates(["__a", "__b"])
+    parts = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    text = F.array_join(F.transform(parts, lambda p: p["piece"]), " ")
+    found = _with_pieces(lists, vocabulary).filter("piece IS NOT NULL").groupBy("__a", "__b").agg(text.alias("decoded"))
+    return keyed.join(found, ["__a", "__b"], "left").select(*encoded.columns, F.coalesce("decoded", F.lit("")).alias("decoded"))
+
+
+def round_trip(
+    docs: DataFrame, path: str, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = DICTIONARY_CHARS, places: int = PLACES
+) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: each text encoded and decoded, and both digested.
 
-    ``encode`` and ``decode`` one after the other in the same Arrow batch, so that neither
-    the ids nor the decoded texts leave the task.
+    What ``encode`` and ``decode`` give; words' ids and pieces return to the dictionaries together, so
+    neither the ids nor the decoded texts of a document leave the task that puts them together.
     """
-    rows, fill = _coded(docs, path, id_col, text_col, head)
-    unpack = _decoder(docs.sparkSession.sparkContext, vocabulary, 1)
-
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _digested(unpack(fill(batches)))
 
-    return rows.mapInArrow(steps, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, seqs, own, text in _assembled(batches):
+            gaps = "" in text  # words without an id have no piece either
+            counts, sums, decoded = [], [], []
+            for seq in seqs:
+                packed = b"".join(map(own.__getitem__, seq))
+                said = map(text.__getitem__, seq)
+                counts.append(len(packed) // 4)
+                sums.append(hashlib.sha256(packed).hexdigest())
+                decoded.append(hashlib.sha256(" ".join(filter(None, said) if gaps else said).encode()).hexdigest())
+            columns = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = _joined(docs, path, vocabulary, id_col, text_col, chars, places)
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
