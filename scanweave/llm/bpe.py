@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import uuid
@@ -34,6 +35,8 @@ DICTIONARY_CHARS = 1 << 24
 #: Dictionaries in which a word is looked up at once; beyond them it is encoded again for the next as many.
 PLACES = 100_000
 VOCABULARY_IDS = 1 << 20
+#: Bits of a word's place in its dictionary, and of a dictionary's number within its task.
+PLACE_BITS, NUMBER_BITS = 28, 12
 _WIDE = re.compile("[^\x00-\u024f]")
 _DICTIONARY = "dictionary long, words array<string>, ids array<long>, sizes array<int>, codes binary"
 
@@ -75,14 +78,22 @@ class _Index(dict):
         return place
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Values of 32 bits by byte planes, of which the upper ones are nearly empty."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).reshape(-1).view("<u4")
+
+
 def squeezed(codes: np.ndarray) -> bytes:
-    """Places as compressed byte planes, of which the upper ones are nearly empty."""
-    return zstandard.ZstdCompressor(level=3).compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes(codes))
 
 
 def expanded(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    return unplaned(data, len(data) // 4)
 
 
 def _dictionary(chunks: _Index, lists: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -96,7 +107,7 @@ def _dictionary(chunks: _Index, lists: list[np.ndarray]) -> tuple[list[str], np.
             second[k] = index[sign[0]]
     flat = np.concatenate([*lists, np.empty(0, np.int32)])
     both = np.stack([first[flat], second[flat]], axis=1)
-    owner = np.repeat(np.arange(len(lists)), list(map(len, lists)))
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), list(map(len, lists)))
     sizes = np.bincount(owner, minlength=len(lists)) + np.bincount(owner[both[:, 1] >= 0], minlength=len(lists))
     places = both[both >= 0]
     order = np.argsort(-np.bincount(places, minlength=len(index)), kind="stable")
@@ -111,11 +122,13 @@ def dictionaries(own: DataFrame, chars: int = DICTIONARY_CHARS) -> DataFrame:
     spark = own.sparkSession
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << NUMBER_BITS
         chunks, ids, lists, size = _Index(), [], [], 0
 
         def out() -> pa.RecordBatch:
             words, sizes, places = _dictionary(chunks, lists)
+            if len(words) >> PLACE_BITS:
+                raise ValueError("a text has more than 2^28 distinct words")
             columns = [pa.array([x], t) for x, t in zip(
                 (number, words, ids, sizes.tolist(), squeezed(places)),
                 (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)]
@@ -136,7 +149,7 @@ def dictionaries(own: DataFrame, chars: int = DICTIONARY_CHARS) -> DataFrame:
     name, path = f"scanweave_dictionaries_{uuid.uuid4().hex}", new_path(spark, "dictionaries")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = own.mapInArrow(split, _DICTIONARY)
-    rows.write.bucketBy(buckets, "dictionary").option("path", path).format("parquet").saveAsTable(name)
+    rows.write.bucketBy(buckets, "dictionary").options(path=path, compression="zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -145,6 +158,7 @@ def _encoder(path: str) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<int>")
     def encoded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -167,7 +181,7 @@ def _with_pieces(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def distinct_words(table: DataFrame, path: str, places: int = PLACES) -> DataFrame:
-    """``word, places, ids``: each distinct word of the dictionaries once, with the dictionaries and places where it is.
+    """``word, places, ids``: each distinct word of the dictionaries once, with where it is: the dictionary's number, then 28 bits of place.
 
     No row has more than ``places`` of them: if there are more dictionaries, words are grouped by slices of these.
     """
@@ -176,29 +190,27 @@ def distinct_words(table: DataFrame, path: str, places: int = PLACES) -> DataFra
     keys = ["word"]
     if slices > 1:
         entries, keys = entries.withColumn("slice", F.pmod(F.xxhash64("dictionary"), F.lit(slices))), ["word", "slice"]
-    grouped = entries.groupBy(*keys).agg(F.collect_list(F.struct("dictionary", "place")).alias("places"))
+    grouped = entries.groupBy(*keys).agg(F.collect_list(F.shiftleft("dictionary", PLACE_BITS).bitwiseOR(F.col("place").cast("long"))).alias("places"))
     return grouped.select("word", "places", _encoder(path)("word").alias("ids"))
 
 
-def _frame(places: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: bytes) -> bytes:
-    """The words of one dictionary: their places, numbers of ids, ids, and the bytes of their pieces."""
-    wide = 4 if len(ids) and int(ids.max()) > 0xFFFF else 2
-    parts = [places.astype("<u4"), counts.astype("<u4"), sizes.astype("<u4"), ids.astype(f"<u{wide}")]
-    body = struct.pack("<BII", wide, len(places), len(ids)) + b"".join(p.tobytes() for p in parts) + text
-    return b"\1" + zstandard.ZstdCompressor(level=1).compress(body) if len(body) > 512 else b"\0" + body
+def _frame(places: np.ndarray, counts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, text: bytes) -> bytes:
+    """The words of one dictionary: their places, which rise, numbers of ids and of the bytes of their pieces; then all ids and pieces."""
+    columns = (np.diff(places, prepend=0), counts, sizes, ids)
+    body = struct.pack("<II", len(places), len(ids)) + b"".join(map(planes, columns)) + text
+    return b"\1" + zstandard.ZstdCompressor(level=3).compress(body) if len(body) > 512 else b"\0" + body
 
 
 def _unframed(data: bytes) -> tuple[list[int], list[bytes], list[str]]:
     """Places, ids as little-endian integers of 32 bits, and pieces of a frame's words."""
     body = zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:]
-    wide, n, total = struct.unpack_from("<BII", body)
-    head = np.frombuffer(body, "<u4", 3 * n, 9)
-    ids = np.frombuffer(body, f"<u{wide}", total, 9 + 12 * n).astype("<u4").tobytes()
-    at = 9 + 12 * n + wide * total
-    ends, cuts = (np.cumsum(head[n : 2 * n]) * 4).tolist(), (np.cumsum(head[2 * n :]) + at).tolist()
+    n, total = struct.unpack_from("<II", body)
+    steps, counts, sizes = (unplaned(body, n, 8 + 4 * n * k) for k in range(3))
+    ids, at = unplaned(body, total, 8 + 12 * n).tobytes(), 8 + 12 * n + 4 * total
+    ends, cuts = (np.cumsum(counts) * 4).tolist(), (np.cumsum(sizes) + at).tolist()
     own = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
     pieces_ = [body[a:b].decode() for a, b in zip([at, *cuts], cuts, strict=False)]
-    return head[:n].tolist(), own, pieces_
+    return np.cumsum(steps).tolist(), own, pieces_
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +231,10 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             pieces_ = pa.ListArray.from_arrays(offsets, pieces_)
         joined = pc.binary_join(pieces_, " ").cast(pa.binary())
-        where = places.flatten()
+        where = places.flatten().to_numpy(zero_copy_only=False)
         word = np.repeat(np.arange(len(starts)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
-        number, place = (where.field(f).to_numpy(zero_copy_only=False) for f in ("dictionary", "place"))
-        order = np.argsort(number, kind="stable")
+        order = np.argsort(where, kind="stable")
+        number, place = where >> PLACE_BITS, where & ((1 << PLACE_BITS) - 1)
         edges = np.flatnonzero(np.concatenate([[True], np.diff(number[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
         numbers, frames = [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -231,7 +243,7 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = joined.take(at_)
             sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
             blob = b"".join(text.to_pylist())
-            frames.append(_frame(place[own], counts[word[own]], ids.take(at_).flatten().to_numpy(zero_copy_only=False), sizes, blob))
+            frames.append(_frame(place[own], counts[word[own]], sizes, ids.take(at_).flatten().to_numpy(zero_copy_only=False), blob))
             numbers.append(int(number[own[0]]))
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(frames, pa.binary())], ["dictionary", "frame"])
 
