@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from scanweave.llm.common import new_path, texts
 
 #: Characters of the texts that share a dictionary; a longer text has its own.
-DICTIONARY_CHARS = 1 << 24
+DICTIONARY_CHARS = 1 << 25
 #: Dictionaries in which a word is looked up at once; beyond them it is encoded again for the next as many.
 PLACES = 100_000
+#: Rows of words' ids that are gathered for one frame of each dictionary.
+FRAME_ROWS = 400_000
 VOCABULARY_IDS = 1 << 20
 #: Bits of a word's place in its dictionary, and of a dictionary's number within its task.
 PLACE_BITS, NUMBER_BITS = 28, 12
@@ -194,43 +196,50 @@ def distinct_words(table: DataFrame, path: str, places: int = PLACES) -> DataFra
     return grouped.select("word", "places", _encoder(path)("word").alias("ids"))
 
 
-def _frame(places: np.ndarray, counts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, text: bytes) -> bytes:
-    """The words of one dictionary: their places, which rise, numbers of ids and of the bytes of their pieces; then all ids and pieces."""
-    columns = (np.diff(places, prepend=0), counts, sizes, ids)
-    body = struct.pack("<II", len(places), len(ids)) + b"".join(map(planes, columns)) + text
+def _frame(places: np.ndarray, counts: np.ndarray, ids: np.ndarray, known: np.ndarray, pieces_: list[bytes]) -> bytes:
+    """The words of one dictionary: their places, which rise, and ids; and the pieces of the ids ``known``, which rise too."""
+    sizes = np.array(list(map(len, pieces_)), np.int64)
+    columns = (np.diff(places, prepend=0), counts, ids, np.diff(known, prepend=0), sizes)
+    body = struct.pack("<III", len(places), len(ids), len(known)) + b"".join(map(planes, columns)) + b"".join(pieces_)
     return b"\1" + zstandard.ZstdCompressor(level=3).compress(body) if len(body) > 512 else b"\0" + body
 
 
 def _unframed(data: bytes) -> tuple[list[int], list[bytes], list[str]]:
-    """Places, ids as little-endian integers of 32 bits, and pieces of a frame's words."""
+    """Places, ids as little-endian integers of 32 bits, and pieces, with one blank between them, of a frame's words."""
     body = zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:]
-    n, total = struct.unpack_from("<II", body)
-    steps, counts, sizes = (unplaned(body, n, 8 + 4 * n * k) for k in range(3))
-    ids, at = unplaned(body, total, 8 + 12 * n).tobytes(), 8 + 12 * n + 4 * total
-    ends, cuts = (np.cumsum(counts) * 4).tolist(), (np.cumsum(sizes) + at).tolist()
-    own = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-    pieces_ = [body[a:b].decode() for a, b in zip([at, *cuts], cuts, strict=False)]
-    return np.cumsum(steps).tolist(), own, pieces_
+    n, total, different = struct.unpack_from("<III", body)
+    at, columns = 12, []
+    for size in (n, n, total, different, different):
+        columns.append(unplaned(body, size, at))
+        at += 4 * size
+    steps, counts, ids, known, sizes = columns
+    cuts = (np.cumsum(sizes, dtype=np.int64) + at).tolist()
+    pieces_ = {k: body[a:b].decode() for k, a, b in zip(np.cumsum(known).tolist(), [at, *cuts], cuts, strict=False)}
+    packed, ends = ids.tobytes(), np.cumsum(counts, dtype=np.int64).tolist()
+    said = list(map(pieces_.get, ids.tolist()))
+    if None in said:  # the vocabulary lacks an id
+        text = [" ".join(p for p in said[a:b] if p is not None) for a, b in zip([0, *ends], ends, strict=False)]
+    else:
+        text = [" ".join(said[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    return np.cumsum(steps).tolist(), [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)], text
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A frame for each dictionary of some words, from rows ``at, id, piece, places`` of which a word's stay together."""
+    """A frame for each dictionary of many words, from rows ``at, id, piece, places`` of which a word's stay together."""
 
     def packed(rows: pa.RecordBatch) -> pa.RecordBatch:
         at = rows.column("at")
         starts = np.flatnonzero(pc.equal(pc.fill_null(at, 0), 0).to_numpy(zero_copy_only=False))
-        known = at.is_valid().to_numpy(zero_copy_only=False)
-        ends = np.concatenate([starts[1:], [rows.num_rows]])
+        known = at.is_valid()
         places = rows.column("places").take(pa.array(starts))
-        counts = np.where(known[starts], ends - starts, 0)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        ids = pa.ListArray.from_arrays(offsets, rows.column("id").filter(pa.array(known)))
-        pieces_ = rows.column("piece").filter(pa.array(known))
-        if pieces_.null_count:
-            pieces_ = pa.array([[p for p in own if p is not None] for own in pa.ListArray.from_arrays(offsets, pieces_).to_pylist()], pa.list_(pa.string()))
-        else:
-            pieces_ = pa.ListArray.from_arrays(offsets, pieces_)
-        joined = pc.binary_join(pieces_, " ").cast(pa.binary())
+        spread = np.diff(np.concatenate([starts, [rows.num_rows]]))
+        counts = np.where(known.to_numpy(zero_copy_only=False)[starts], spread, 0)
+        flat = rows.column("id").filter(known)
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
+        different, first = np.unique(flat.to_numpy(zero_copy_only=False), return_index=True)
+        said = rows.column("piece").filter(known).take(pa.array(first))
+        there = said.is_valid().to_numpy(zero_copy_only=False)
+        different, said = different[there], np.array([p.encode() for p in said.drop_null().to_pylist()], object)
         where = places.flatten().to_numpy(zero_copy_only=False)
         word = np.repeat(np.arange(len(starts)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
         order = np.argsort(where, kind="stable")
@@ -239,24 +248,24 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, frames = [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = order[a:b]
-            at_ = pa.array(word[own])
-            text = joined.take(at_)
-            sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
-            blob = b"".join(text.to_pylist())
-            frames.append(_frame(place[own], counts[word[own]], sizes, ids.take(at_).flatten().to_numpy(zero_copy_only=False), blob))
+            mine = ids.take(pa.array(word[own])).flatten().to_numpy(zero_copy_only=False)
+            used = np.flatnonzero(np.isin(different, mine))
+            frames.append(_frame(place[own], counts[word[own]], mine, different[used], said[used].tolist()))
             numbers.append(int(number[own[0]]))
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(frames, pa.binary())], ["dictionary", "frame"])
 
-    left: pa.Table | None = None
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-        starts = np.flatnonzero(pc.equal(pc.fill_null(rows.column("at"), 0), 0).to_numpy())
-        whole = rows.slice(0, int(starts[-1])).combine_chunks()
-        left = rows.slice(int(starts[-1]))
-        if whole.num_rows:
-            yield packed(whole.to_batches()[0])
-    if left is not None and left.num_rows:
-        yield packed(left.combine_chunks().to_batches()[0])
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= FRAME_ROWS:
+            rows = pa.Table.from_batches(waiting)
+            starts = np.flatnonzero(pc.equal(pc.fill_null(rows.column("at"), 0), 0).to_numpy())
+            last = int(starts[-1])
+            waiting = rows.slice(last).to_batches()
+            if last:
+                yield packed(rows.slice(0, last).combine_chunks().to_batches()[0])
+    if sum(b.num_rows for b in waiting):
+        yield packed(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
 
 
 def _joined(docs: DataFrame, path: str, vocabulary: DataFrame | None, id_col: str, text_col: str, chars: int, places: int) -> DataFrame:
@@ -264,7 +273,7 @@ def _joined(docs: DataFrame, path: str, vocabulary: DataFrame | None, id_col: st
     table = dictionaries(texts(docs, id_col, text_col), chars)
     words = distinct_words(table, path, places).select("places", "ids")
     if vocabulary is None:
-        spread = words.select("places", F.posexplode_outer("ids").alias("at", "id"), F.lit("").alias("piece"))
+        spread = words.select("places", F.posexplode_outer("ids").alias("at", "id"), F.lit(None).cast("string").alias("piece"))
     else:
         spread = _with_pieces(words, vocabulary)
     once = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("places")).alias("places")
