@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask such as 1101011 keeps some positions of a run of tokens and ignores the
-others, so a run still hashes alike if ignored tokens were substituted. The
+others, so a run still hashes alike if ignored tokens were substituted. Of the masks for an item's
+length one keeps clear of the differing tokens, whichever they are, so no overlap is missed. The
 hashes of all benchmark runs under each mask make a seed table. A training
 document's hashes pass a Bloom filter of the seed table, whose size is fixed
 whatever the benchmark's, the few that remain join the table exactly, and the
@@ -22,14 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import texts
+from scanweave.llm.common import col, dealt_join, texts, written
 
-MASKS = ("11111", "1101011", "11010011", "101100101")
+#: A run of ``WINDOW`` tokens of which two differ has five equal ones in a row or keeps the second mask's places;
+#: the next two do the same for items of 3 to 12 tokens, the last two for shorter ones.
+MASKS = ("11111", "1101011", "111", "1101", "11", "1")
 WINDOW = 13
 SIMILARITY = 0.8
 BLOOM_BITS = 1 << 26
 PROBES = 3
 _WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")
+_SQL_WORD = r"[0-9a-z_\x{80}-\x{10FFFF}]+"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = max(map(len, MASKS))
 #: Tokens before and after a hit's first token that travel with it.
@@ -37,6 +41,11 @@ BEFORE, AFTER = WINDOW - 1, _SPAN + WINDOW - 1
 _HIT = "doc_id long, mask int, hash long, place int, around array<long>, size int"
 
 
+def masks_of(size: int) -> tuple[int, ...]:
+    """The numbers of the masks under which an item of ``size`` tokens is found, whichever tokens differ."""
+    return (0, 1) if size >= WINDOW else (2, 3) if size > 2 else (4,) if size == 2 else (5,)
+
+
 def token_hashes(text: str) -> list[int]:
     """Unsigned hashes of the lower-case words of a text; none is zero."""
     return [h or 1 for h in map(xxhash.xxh64_intdigest, _WORD.findall(text.lower().encode()), repeat(0))]
@@ -60,8 +69,8 @@ def probes(hashes: np.ndarray) -> list[np.ndarray]:
     return [((hashes * np.uint64(2 * k + 1)) >> np.uint64(38 - 5 * k)) & np.uint64(BLOOM_BITS - 1) for k in range(PROBES)]
 
 
-def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows ``_HIT`` of the runs that pass the filter, all of them if there is none."""
+def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, masks: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows ``_HIT`` of the runs under ``masks`` that pass the filter; without one, those of items under their own masks."""
     for batch in batches:
         ids = batch.column(0).to_pylist()
         lists = list(map(token_hashes, batch.column(1).to_pylist()))
@@ -70,11 +79,14 @@ def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterato
         tokens = np.fromiter((h for own in lists for h in own), dtype=np.uint64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(lists)), sizes)
         out: list[tuple] = []
-        for m, mask in enumerate(MASKS):
+        for m in masks:
+            mask = MASKS[m]
             hashes = masked_hashes(tokens, mask)
             n = len(hashes)
             ok = owner[:n] == owner[len(mask) - 1 : len(mask) - 1 + n]
-            if bits is not None:
+            if bits is None:
+                ok &= np.array([m in masks_of(n) for n in sizes.tolist()], dtype=bool)[owner[:n]]
+            else:
                 for probe in probes(hashes):
                     ok &= (bits[probe >> np.uint64(3)] >> (probe & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
             for at in np.flatnonzero(ok).tolist():
@@ -119,18 +131,20 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id, item_id, n_equal`` for each document and item that overlap; n_equal of the best window's tokens are equal.
 
-    Words are compared in lower case without punctuation. Items with fewer words
-    than the shortest mask are never reported, nor are null or empty texts; equal
+    Words are compared in lower case without punctuation. Items without words are never
+    reported, nor are null or empty texts; items of up to four words must occur whole; equal
     rows give one result row; a null id stays null in the result; an empty
     table on either side gives an empty result; other columns are not read.
     """
-    seeds = texts(benchmark, item_col, item_text_col).mapInArrow(lambda batches: _hits(batches, None), _HIT)
+    every = tuple(range(len(MASKS)))
+    seeds = written(texts(benchmark, item_col, item_text_col).mapInArrow(lambda batches: _hits(batches, None, every), _HIT), "seeds")
+    used = tuple(sorted(r["mask"] for r in seeds.select("mask").distinct().collect()))
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(seeds))
-    found = texts(docs, id_col, text_col).mapInArrow(lambda batches: _hits(batches, bits.value), _HIT)
+    found = written(texts(docs, id_col, text_col).mapInArrow(lambda batches: _hits(batches, bits.value, used), _HIT), "hits")
     items = seeds.select(
         F.col("doc_id").alias("item_id"), "mask", "hash", F.col("around").alias("own"), F.least("size", F.lit(WINDOW)).alias("width")
     )
-    joined = found.join(items, ["mask", "hash"])
+    joined = dealt_join(found, items, ["mask", "hash"])
     equal = F.zip_with("around", "own", lambda a, b: F.when((a == b) & (b != 0), 1).otherwise(0))
     total = F.aggregate(
         F.sequence(F.lit(1), F.lit(BEFORE + AFTER + 1) - F.col("width")),
@@ -149,4 +163,17 @@ def contaminated(
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id overlaps no benchmark item, with all their columns; rows without an id stay."""
     hit = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")
+    # a table's size is known, so Spark broadcasts it if it is small and shuffles otherwise
+    return docs.join(written(hit, "contaminated"), col(id_col).cast("long") == F.col("__id"), "left_anti")
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_SQL_WORD}')) AS word,
+    generate_subscripts(regexp_extract_all(lower(text), '{_SQL_WORD}'), 1) AS p FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '{_SQL_WORD}') AS words FROM benchmark),
+t AS (SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS q, least(len(words), {WINDOW}) AS width FROM i),
+e AS (SELECT DISTINCT doc_id, item_id, width, p - q AS shift, q FROM d JOIN t USING (word)),
+w AS (SELECT doc_id, item_id, width, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q
+    RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS n FROM e)
+SELECT doc_id, item_id, max(n) AS n_equal FROM w WHERE n >= (4 * width + 4) // 5 GROUP BY doc_id, item_id
+"""
