@@ -177,6 +177,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: int | None, rows
     return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", half.alias("half"), "text")
 
 
+def _one_row_each(train: DataFrame) -> DataFrame:
+    """The table ``train`` with the text of least hash of each id, if ids repeat."""
+    if train.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return train
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return written(train.groupBy("doc_id", "toxic", "half").agg(least), "training", train)
+
+
 class ToxicityModel:
     """Trees, calibration and lexicon; ``score`` applies them to documents."""
 
@@ -207,10 +215,10 @@ def fit(
 ) -> ToxicityModel:
     """A model of ``labels(doc_id, toxic)`` on ``docs``; only texts are inputs.
 
-    Labels without a document and null labels are not used; an empty or one-sided
-    training set gives a constant model.
+    Labels without a document and null labels are not used; of several texts of an id
+    the one of least hash is; an empty or one-sided training set gives a constant model.
     """
-    train = written(training_rows(texts(docs, id_col, text_col), labels, held_out, rows), "training")
+    train = _one_row_each(written(training_rows(texts(docs, id_col, text_col), labels, held_out, rows), "training"))
     sizes = {(r["half"], r["toxic"]): r["n"] for r in train.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     by_class = [sum(n for (_, y), n in sizes.items() if y == k) for k in (0, 1)]
     base = by_class[1] / max(1, sum(by_class))
@@ -226,5 +234,7 @@ def fit(
     calibration = trees.transform(featured.filter(fold == 0)).withColumn("p", vector_to_array("probability")[1])
     if calibration.select("label").distinct().count() < 2:
         calibration = trees.transform(featured).withColumn("p", vector_to_array("probability")[1])
-    curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(calibration.select("p", "label"))
+    # equal probabilities are one weighted point, or all their rows would meet in one task
+    points = calibration.groupBy("p").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    curve = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(points)
     return ToxicityModel(lexicons[2], trees, curve, base)
