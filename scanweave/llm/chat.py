@@ -200,30 +200,35 @@ def conversation_digests(rows: DataFrame, conv_col: str = "conv_id", order: tupl
 
     Digests run over a conversation's turns in order, so its rows meet in one
     task, sorted; they are hashed as they stream past and never held together.
-    Turns that tie in ``order`` follow by their formatted text.
+    Turns that tie in ``order`` follow by their formatted text. Records that no
+    mapping fits are counted as ``n_unmapped`` and have no turn. Rows without a
+    conversation are each one of their own, with a null id.
     """
-    own = parsed(rows.filter("formatted != ''")).select(
+    own = parsed(rows).select(
         col(conv_col).cast("long").alias("conv_id"), *order, "role", "text", "loss_text", "formatted"
     )
-    dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", *order, "formatted")
+    dealt = own.repartition(F.coalesce("conv_id", F.xxhash64("formatted"))).sortWithinPartitions("conv_id", *order, "formatted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
 
         def out() -> pa.RecordBatch:
             conv, turns, loss = now[0], now[1].hexdigest(), now[2].hexdigest()
-            values = [[conv], [now[3]], [turns], [now[4]], [loss], [now[5]]]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            values = [[conv], [now[3]], [turns], [now[4]], [loss], [now[5]], [now[6]]]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_unmapped"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in ("conv_id", "role", "text", "loss_text", "formatted")]
             for conv, role, text, loss, whole in zip(*columns, strict=True):
-                if now is None or now[0] != conv:
+                if now is None or conv is None or now[0] != conv:
                     if now is not None:
                         yield out()
-                    now = [conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0]
+                    now = [conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0]
+                if not whole:
+                    now[6] += 1
+                    continue
                 now[1].update(f"{role}\n{text}\n".encode())
                 now[3] += 1
                 now[5] += len(whole)
@@ -234,10 +239,29 @@ def conversation_digests(rows: DataFrame, conv_col: str = "conv_id", order: tupl
             yield out()
 
     return dealt.select("conv_id", "role", "text", "loss_text", "formatted").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_unmapped long"
     )
 
 
+def _sql_escaped(column: str) -> str:
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for c in CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+ORACLE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum({len(TURN) + len(BODY) + len(END)} + length({_sql_escaped("role")}) + length({_sql_escaped("text")})) AS BIGINT) AS formatted_chars,
+    CAST(0 AS BIGINT) AS n_unmapped
+FROM t GROUP BY conv_id
+"""
+
+
 def turn_records(conversations: DataFrame) -> DataFrame:
     """``conv_id, turn, record``: each row of ``conv_id, turn, role, text`` as JSON in one of four layouts, by its conversation.
 

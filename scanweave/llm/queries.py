@@ -90,4 +90,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE}
+    return {"op1_line_dedup": lines.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op9_chat_format": chat.ORACLE}

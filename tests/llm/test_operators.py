@@ -137,7 +137,7 @@ def test_line_dedup_of_odd_rows(spark, odd):
 
 def test_near_threshold_lines_are_counted_exactly(spark):
     rows = [(i, f"line {n}\nown {i}", f"s{k}") for n in (7, 8, 30) for k in range(n) for i in [1000 * n + k]]
-    own = spark.createDataFrame([(str(i), 0, s, t) for i, t, s in rows], "doc_id string, text_crc long, site string, text string")
+    own = spark.createDataFrame([(str(i), 0, s, t) for i, t, s in rows], "doc_id string, text_hash long, site string, text string")
     found = lines.spread_lines(lines._lines(own), 8)
     hashes = {r["line_hash"] for r in found.collect()}
     want = {r["h"] for r in spark.createDataFrame([("line 8",), ("line 30",)], "l string").select(F.xxhash64("l").alias("h")).collect()}
@@ -179,7 +179,7 @@ def reference_overlaps(docs, items):
         tokens = WORD.findall(text.lower().encode())
         for i, own in items:
             item = WORD.findall(own.lower().encode())
-            if len(item) < 5:
+            if not item:
                 continue
             width = min(13, len(item))
             need = -(-width * 8 // 10)
@@ -205,7 +205,7 @@ def test_decontamination_equals_brute_force(spark):
     df = frame(spark, docs)
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(df, benchmark).collect()}
     want = reference_overlaps([(d, t or "") for d, t, _ in docs], [(i, t or "") for i, t in items])
-    assert got <= want and len(want - got) <= 0.02 * len(want) and (None, 2) in got
+    assert got == want and (None, 2) in got
     left = {x["doc_id"] for x in decontaminate.clean_documents(df, benchmark).collect()}
     assert left == {d for d, _, _ in docs} - {d for d, _ in got if d is not None}
     assert decontaminate.contaminated(df.limit(0), benchmark).count() == 0 and decontaminate.contaminated(df, benchmark.limit(0)).count() == 0
