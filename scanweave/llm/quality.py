@@ -2,11 +2,12 @@
 
 Two generative models give the probability of a hashed n-gram: one of the
 target text (documents labelled good), one of the raw text (every document).
-A document's log weight is the mean log ratio of its n-grams times an
-effective length, its key adds Gumbel noise, and the documents with the k
-largest keys are the sample. k is the number of documents whose log weight
-reaches what ``recall`` of the labelled target documents reach, less a margin,
-so the sample is as large as the good part of the corpus.
+A document's log weight is the sum of the log ratios of its n-grams, its key adds
+standard Gumbel noise, and the documents with the k largest keys are the sample.
+k is a share of the documents: an argument, or else an estimate of the good part
+of the corpus from above. With f = min(1, e^weight) it adds up f over all documents,
+corrects it by the mean of label less f over the labelled ones, and adds ``SPREAD``
+standard errors of that mean.
 
 The n-grams are unigrams and bigrams of words and punctuation, and bigrams and
 trigrams of word shapes, in ``BUCKETS`` buckets. The raw counts cover all
@@ -31,11 +32,7 @@ from scanweave.llm.common import col, texts, written
 
 BUCKETS = 1 << 17
 TARGET_ROWS = 50_000
-RECALL = 0.9999
-EFFECTIVE_LENGTH = 20.0
-TEMPERATURE = 0.05
-#: How far below the labelled target documents' least log weights a document may lie.
-MARGIN = 1.0
+SPREAD = 3.0
 SEED = 7
 PRIOR = 20.0
 _TOKEN = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
@@ -146,8 +143,8 @@ def log_ratios(docs: DataFrame, target: set[int]) -> np.ndarray:
     return ratios - math.log((both[0] + PRIOR).sum() / (expected + PRIOR).sum())
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", length: float = EFFECTIVE_LENGTH) -> DataFrame:
-    """``docs`` with ``__crc, __ngrams, __weight``; a null text is empty and an empty text weighs 0."""
+def log_weights(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__crc, __ngrams, __weight``, the sum of the log ratios; a null text is empty and an empty text weighs 0."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     place = docs.columns.index(text_col)
 
@@ -159,7 +156,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", len
                 at = ngram_buckets(text or b"")
                 crcs.append(zlib.crc32(text or b""))
                 counts.append(len(at))
-                found.append(float(by[at].mean()) * length if len(at) else 0.0)
+                found.append(float(by[at].sum()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(crcs, pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.float64())],
                 [*batch.schema.names, "__crc", "__ngrams", "__weight"],
@@ -193,19 +190,31 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024, exact_be
         low, high = new
 
 
+def good_share(weights: DataFrame, labels: DataFrame, spread: float = SPREAD) -> float:
+    """The estimated share of good rows of ``weights(doc_id, __weight)`` plus ``spread`` standard errors; 1 without labels."""
+    known = (
+        labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg((F.min("quality") != 0).cast("double").alias("good"))
+    )
+    guessed = weights.select("doc_id", F.exp(F.least("__weight", F.lit(0.0))).alias("f"))
+    mean = guessed.agg(F.avg("f")).first()[0]
+    n, off, sd = guessed.join(known, "doc_id").select((F.col("good") - F.col("f")).alias("e")).agg(F.count("*"), F.avg("e"), F.stddev("e")).first()
+    return min(1.0, max(0.0, mean + off + spread * (sd or 0.0) / math.sqrt(n))) if n else 1.0
+
+
 def _sampled(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, dropped: list[str], target_rows: int, recall: float, temperature: float
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, dropped: list[str], target_rows: int, share: float | None
 ) -> DataFrame:
     """The sampled rows of ``docs`` without the columns ``dropped``, with ``__crc, __ngrams, __weight, __key``."""
     target = target_ids(labels, target_rows)
     ratios = log_ratios(texts(docs, id_col, text_col), target)
     scored = written(log_weights(docs, ratios, text_col).drop(*dropped), "weights")
-    weights = scored.select(col(id_col).cast("long").alias("doc_id"), "__crc", "__weight")
-    known = docs.sparkSession.createDataFrame([(i,) for i in sorted(target)], "doc_id long")
-    reached = weights.join(F.broadcast(known), "doc_id", "left_semi").agg(F.percentile("__weight", F.lit(1 - recall))).first()[0]
-    k = weights.filter(F.col("__weight") >= F.lit(float("-inf") if reached is None else reached - MARGIN)).count()
+    if share is None:
+        share = good_share(scored.select(col(id_col).cast("long").alias("doc_id"), "__weight"), labels)
+    k = math.ceil(share * scored.count())
     u = (F.pmod(F.xxhash64(col(id_col).cast("long"), "__crc", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = scored.withColumn("__key", F.col("__weight") - F.lit(temperature) * F.log(-F.log(u)))
+    keyed = scored.withColumn("__key", F.col("__weight") - F.log(-F.log(u)))
     return keyed.filter(F.col("__key") >= F.lit(kth_largest(keyed, "__key", k))) if k else keyed.limit(0)
 
 
@@ -215,18 +224,17 @@ def resample(
     id_col: str = "doc_id",
     text_col: str = "text",
     target_rows: int = TARGET_ROWS,
-    recall: float = RECALL,
-    temperature: float = TEMPERATURE,
+    share: float | None = None,
 ) -> DataFrame:
     """The sampled rows: ``doc_id, text_crc, n_ngrams, log_weight, gumbel_key``.
 
     Null texts are empty and weigh 0, as every text does without labelled target
-    rows; equal rows get equal keys and rows that tie with the k-th key all stay;
+    rows; without labels all rows are sampled; equal rows get equal keys and rows that tie with the k-th key all stay;
     a null doc_id is like any other value; an empty table gives an empty result;
     other columns are not read.
     """
     own = texts(docs, id_col, text_col)
-    found = _sampled(own, labels, "doc_id", "text", ["text"], target_rows, recall, temperature)
+    found = _sampled(own, labels, "doc_id", "text", ["text"], target_rows, share)
     return found.toDF("doc_id", "text_crc", "n_ngrams", "log_weight", "gumbel_key")
 
 
@@ -236,9 +244,8 @@ def sampled_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     target_rows: int = TARGET_ROWS,
-    recall: float = RECALL,
-    temperature: float = TEMPERATURE,
+    share: float | None = None,
 ) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns, which travel beside the weights rather than being joined again."""
-    found = _sampled(docs, labels, id_col, text_col, [], target_rows, recall, temperature)
+    found = _sampled(docs, labels, id_col, text_col, [], target_rows, share)
     return found.select(*[col(c) for c in docs.columns])

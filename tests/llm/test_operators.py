@@ -401,3 +401,37 @@ def test_notices_are_found_and_ordinary_text_is_not(spark, odd):
     got = {r["doc_id"]: r for r in licenses.licenses(df).collect() if r["doc_id"] is not None and r["doc_id"] >= 1000}
     assert [got[1000 + i]["family"] for i in range(len(notices))] == list(notices) and got[2000]["family"] == "none"
     assert licenses.licenses(df).count() == df.count() and licenses.licenses(odd.limit(0)).count() == 0
+
+
+# Resampling against a version by hand
+
+
+def test_resampling_equals_brute_force(spark, documents):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    rows = all_texts(documents)
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    counts = np.zeros((2, quality.BUCKETS))
+    found = [quality.ngram_buckets(t.encode()) for _, t in rows]
+    for (d, _), at in zip(rows, found, strict=True):
+        np.add.at(counts[1], at, 1)
+        if d in good:
+            np.add.at(counts[0], at, 1)
+    expected = counts[1] * counts[0].sum() / counts[1].sum()
+    p = (counts[0] + quality.PRIOR) / (counts[0] + quality.PRIOR).sum()
+    q = (expected + quality.PRIOR) / (expected + quality.PRIOR).sum()
+    weights = [float(np.log(p / q)[at].sum()) for at in found]
+
+    def gumbel(d, text):
+        buffer = d & (1 << 64) - 1, zlib.crc32(text.encode()), quality.SEED
+        h = 42
+        for value, size in zip(buffer, (8, 8, 4), strict=True):
+            h = xxhash.xxh64_intdigest(value.to_bytes(size, "little"), h)
+        h = (h - (1 << 64) if h >> 63 else h) % (1 << 52)
+        return -np.log(-np.log((h + 0.5) / (1 << 52)))
+
+    keys = sorted(((w + gumbel(d, t), d) for w, (d, t) in zip(weights, rows, strict=True)), reverse=True)
+    for share in (0.1, 0.5, 0.87):
+        k = -int(-share * len(rows) // 1)
+        got = {r["doc_id"]: r for r in quality.resample(documents, labels, share=share).collect()}
+        assert {d for key, d in keys if key >= keys[k - 1][0] - 1e-9} == set(got)
+        assert all(abs(got[d]["gumbel_key"] - key) < 1e-6 for key, d in keys[:k])
