@@ -8,6 +8,7 @@ and the tests read back.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zlib
@@ -31,6 +32,8 @@ _PAGE = (
 _RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 #: Bytes of a value of each field type.
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
+#: Bytes that one stored byte can stand for at most.
+_MOST = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 128}
 _INTS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q", 17: "q", 18: "Q"}
 
 
@@ -228,7 +231,7 @@ def _inflated(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if compression == LZW:
         return unlzw(data, size)
     if compression == PACKBITS:
@@ -240,6 +243,8 @@ def _pixels(data: bytes, order: str, tags: dict[int, list[int]]) -> dict:
     one = lambda tag, default: tags.get(tag, [default])[0]
     width, height, samples = one(256, 0), one(257, 0), one(277, 1)
     bits, compression, predictor = one(258, 1), one(259, 1), one(317, 1)
+    if min(width, height, samples, bits) < 1:
+        raise ValueError("a page without pixels")
     planes = samples if one(284, 1) == 2 else 1
     within = samples // planes
     tiled = 322 in tags
@@ -249,15 +254,19 @@ def _pixels(data: bytes, order: str, tags: dict[int, list[int]]) -> dict:
     else:
         wide, high = width, min(one(278, height), height) or height
         offsets, counts = tags.get(273, []), tags.get(279, [])
+    if wide < 1 or high < 1:
+        raise ValueError("strips or tiles without pixels")
     row_bytes = (wide * within * bits + 7) // 8
     if predictor not in (1, 2) or predictor == 2 and bits not in (8, 16, 32):
         raise ValueError(f"predictor {predictor} isn't supported for {bits} bits")
-    across = -(-width // wide) if wide else 0
-    down = -(-height // high) if high else 0
+    across, down = -(-width // wide), -(-height // high)
     if len(offsets) < across * down * planes or len(counts) < across * down * planes:
         raise ValueError("strips or tiles are missing")
     if tiled and across > 1 and bits % 8:
         raise ValueError("tiles of samples below a byte aren't supported")
+    room = _MOST.get(compression, 1) * (sum(min(c, len(data)) for c in counts[: across * down * planes]) + 8)
+    if planes * height * row_bytes > room or planes * down * high * across * row_bytes > 4 * room + (1 << 20):
+        raise ValueError("more pixels than the strips or tiles can hold")
     full = np.zeros((planes, down * high, across * row_bytes), np.uint8)
     for k in range(across * down * planes):
         plane, place = divmod(k, across * down)
@@ -283,8 +292,8 @@ def read(data: bytes) -> list[dict]:
     try:
         for order, tags in _directories(data):
             out.append({"page": len(out), **_pixels(data, order, tags)})
-    except (ValueError, struct.error, zlib.error, IndexError) as e:
-        out.append({"page": len(out), "error": str(e)})
+    except (ValueError, struct.error, zlib.error, IndexError, OverflowError, MemoryError) as e:
+        out.append({"page": len(out), "error": str(e) or type(e).__name__})
     return out
 
 
@@ -333,48 +342,66 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def features(pixels: list[np.ndarray]) -> str:
-    """Mean, deviation, entropy and an 8 by 8 brightness hash of the pages, as text."""
-    counts = sum(np.bincount(p.reshape(-1), minlength=256) for p in pixels)
-    n = counts.sum()
-    level = np.arange(256)
-    mean = (counts * level).sum() / n
-    spread = (counts * (level - mean) ** 2).sum() / n
-    p = counts[counts > 0] / n
-    first = pixels[0]
-    rows = np.array_split(first, min(8, len(first)))
-    cells = np.array([[c.mean() for c in np.array_split(r, 8, axis=1)] for r in rows])
-    bits = "".join("1" if v > cells.mean() else "0" for v in cells.reshape(-1))
-    return f"pages={len(pixels)};mean={mean:.4f};std={spread**0.5:.4f};entropy={-(p * np.log2(p)).sum():.4f};hash={int(bits, 2):016x}"
+class _Digests:
+    """Digests and features of a payload, gathered page by page."""
+
+    def __init__(self) -> None:
+        self.sha, self.size, self.tail, self.pages = hashlib.sha256(), 0, b"", 0
+        self.counts, self.cells = np.zeros(256, np.int64), []
+
+    def add(self, pixels: bytes, width: int) -> None:
+        self.sha.update(pixels)
+        self.size += len(pixels)
+        self.tail = (self.tail + pixels[-32:])[-32:]
+        self.pages += 1
+        page = np.frombuffer(pixels, np.uint8)
+        self.counts += np.bincount(page, minlength=256)
+        edges = np.linspace(0, width, 9).astype(int)[:-1]
+        self.cells.append(np.add.reduceat(page.reshape(-1, width).astype(np.int64), edges, axis=1))
+
+    def feature(self) -> str:
+        """Mean, deviation, entropy and an 8 by 8 brightness hash of the rows of all pages, as text."""
+        level = np.arange(256)
+        mean = (self.counts * level).sum() / self.size
+        spread = (self.counts * (level - mean) ** 2).sum() / self.size
+        p = self.counts[self.counts > 0] / self.size
+        parts = np.array_split(np.concatenate(self.cells), 8)
+        cells = np.array([part.mean(axis=0) for part in parts if len(part)])
+        bits = "".join("1" if v > cells.mean() else "0" for v in cells.reshape(-1))
+        return f"pages={self.pages};mean={mean:.4f};std={spread**0.5:.4f};entropy={-(p * np.log2(p)).sum():.4f};hash={int(bits, 2):016x}"
 
 
 def payload_digests(media: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` read back from ``doc_id, n_bytes, media``."""
-    import hashlib
+    """``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` read back from ``doc_id, n_bytes, media``.
 
-    read_back = read_media(
-        media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}),
-        keys=("doc_id", "n_bytes", "media_bytes", "media_sha256"),
-    )
+    The rows of ``pages`` are gathered as they stream past: a file's pages follow one another
+    in the task that read it, and one page at a time is held.
+    """
+    keys = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
+    rows = pages(media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}), keys=keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[tuple, _Digests] | None = None
+
+        def out() -> pa.RecordBatch:
+            key, own = now
+            values = [*key, own.size, own.sha.hexdigest(), zlib.crc32(own.tail), own.feature()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [*keys, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+
         for batch in batches:
-            sizes, sums, tails, found = [], [], [], []
-            for own in batch.column(4).to_pylist():
-                wrong = [p["error"] for p in own if p["error"]]
-                if wrong:
-                    raise ValueError(wrong[0])
-                payload = b"".join(p["pixels"] for p in own)
-                sizes.append(len(payload))
-                sums.append(hashlib.sha256(payload).hexdigest())
-                tails.append(zlib.crc32(payload[-32:]))
-                found.append(features([np.frombuffer(p["pixels"], np.uint8).reshape(p["height"], p["width"]) for p in own]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(tails, pa.int64()), pa.array(found, pa.string())],
-                [*batch.schema.names[:4], "payload_bytes", "payload_sha256", "tail_crc32", "feature"],
-            )
-
-    return read_back.mapInArrow(
+            for *key, page, width, pixels, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if error:
+                    raise ValueError(error)
+                if page == 0:
+                    if now is not None:
+                        yield out()
+                    now = tuple(key), _Digests()
+                now[1].add(pixels, width)
+        if now is not None:
+            yield out()
+
+    return rows.select(*keys, "page", "width", "pixels", "error").mapInArrow(
         run,
         "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string",
     ).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
