@@ -66,9 +66,40 @@ def pixel_angles(dx_mm: Column, dy_mm: Column, distance_mm: float) -> tuple[Colu
     return F.degrees(F.atan2(dx_mm, F.lit(distance_mm))), F.degrees(F.atan2(dy_mm, F.hypot(dx_mm, F.lit(distance_mm))))
 
 
-def footprint(angle_deg: Column, beam_mm: float, sample_mm: float) -> Column:
-    """Share of a box beam that falls on the sample at a grazing angle."""
-    return F.least(F.lit(1.0), F.sin(F.radians(angle_deg)) * sample_mm / beam_mm)
+def erf(x: Column) -> Column:
+    """The error function by a rational approximation, within 1.5e-7."""
+    t = 1 / (1 + 0.3275911 * F.abs(x))
+    series = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
+    return F.signum(x) * (1 - series * F.exp(-x * x))
+
+
+def footprint(angle_deg: Column, beam_mm: float, sample_mm: float, profile: str = "gaussian") -> Column:
+    """Share of the beam that falls on the sample at a grazing angle; ``beam_mm`` is a Gaussian's full width at half maximum or a box's height."""
+    length = F.sin(F.radians(angle_deg)) * sample_mm
+    if profile == "rectangular":
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), length / beam_mm))
+    if profile != "gaussian":
+        raise ValueError(f"unknown profile {profile!r}")
+    return erf(length * math.sqrt(math.log(2)) / beam_mm)
+
+
+def wavevector(energy_kev: Column | float) -> Column:
+    """2 pi over the wavelength, per angstrom."""
+    return _c(energy_kev) * (2 * math.pi / HC_KEV_A)
+
+
+def mono_angle(energy_kev: Column | float, d_a: float = 3.1356) -> Column:
+    """The Bragg angle in degrees of a monochromator; null beyond reach of the wavelength."""
+    ratio = F.try_divide(F.lit(HC_KEV_A / (2 * d_a)), _c(energy_kev))
+    return F.when(F.abs(ratio) <= 1, F.degrees(F.asin(ratio)))
+
+
+def fwhm_of_sigma(sigma: Column | float) -> Column:
+    return _c(sigma) * (2 * math.sqrt(2 * math.log(2)))
+
+
+def sigma_of_fwhm(fwhm: Column | float) -> Column:
+    return _c(fwhm) / (2 * math.sqrt(2 * math.log(2)))
 
 
 def allowed(h: Column, k: Column, l: Column, centering: str) -> Column:  # noqa: E741

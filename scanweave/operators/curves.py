@@ -16,11 +16,33 @@ def _ordered(by: tuple[str, ...], x: str = "x") -> WindowSpec:
     return Window.partitionBy(*by).orderBy(x)
 
 
+#: Ranges of values that are numbered apart where there is no key.
+RANGES = 64
+
+
 def gap_groups(df: DataFrame, column: str, tolerance: float, by: tuple[str, ...] = (), name: str = "group") -> DataFrame:
-    """``df`` with a group number that grows where sorted values are more than ``tolerance`` apart; groups may chain."""
-    w = _ordered(by, column)
+    """``df`` with a group number that grows where sorted values are more than ``tolerance`` apart; groups may chain.
+
+    Without a key the values are numbered in ``RANGES`` ranges between approximate quantiles, and a table
+    with one row for each range carries gaps and numbers across, so no task sorts all values.
+    """
+    keys, own = by, df
+    if not by:
+        bounds = df.approxQuantile(column, [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES))
+        above = sum((F.when(V(column) >= b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
+        keys, own = ("__range",), df.withColumn("__range", above)
+    w = _ordered(keys, column)
     new = F.when(V(column) - F.lag(column).over(w) > tolerance, 1).otherwise(0)
-    return df.withColumn("__new", new).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
+    out = own.withColumn("__new", new).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
+    if by:
+        return out
+    ends = out.groupBy("__range").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.max(name).alias("last"))
+    o = Window.orderBy("__range")  # one row for each range
+    starts = F.when(V("low") - F.lag("high").over(o) > tolerance, 1).otherwise(0)
+    first = F.sum(V("start") + V("before")).over(o.rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumns({"start": starts, "before": F.coalesce(F.lag("last").over(o), F.lit(0))}).select("__range", first.alias("__first"))
+    joined = out.join(F.broadcast(ends), "__range")
+    return joined.withColumn(name, V(name) + V("__first")).drop("__range", "__first")
 
 
 def cluster_values(df: DataFrame, column: str, tolerance: float, by: tuple[str, ...] = ()) -> DataFrame:

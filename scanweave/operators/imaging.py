@@ -34,7 +34,7 @@ def gradients(image: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFra
     return image.withColumn("dy", along("y", "x")).withColumn("dx", along("x", "y"))
 
 
-def remove_hot_pixels(image: DataFrame, height: int, width: int, threshold: float = 5.0, size: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+def remove_hot_pixels(image: DataFrame, height: int, width: int, threshold: float = 8.0, size: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """Pixels far above the median of their neighbourhood become it; edges repeat the nearest pixel."""
     r = size // 2
     steps = [F.struct(F.lit(dy).alias("sy"), F.lit(dx).alias("sx")) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
@@ -130,8 +130,22 @@ def subtract_dark(image: DataFrame, dark: DataFrame, scale: float = 1.0, clip: b
     return image.join(dark.select("y", "x", V("v").alias("__d")), ["y", "x"]).withColumn("v", F.greatest(v, F.lit(0.0)) if clip else v).drop("__d")
 
 
-def flat_field(image: DataFrame, flat: DataFrame, minimum: float = 1e-6) -> DataFrame:
+def flat_field(image: DataFrame, flat: DataFrame, minimum: float = 0.05) -> DataFrame:
     """Values over the flat relative to its mean; null where the flat is too small."""
     mean = flat.agg(F.avg("v").alias("__m"))
     relative = flat.crossJoin(F.broadcast(mean)).select("y", "x", (V("v") / V("__m")).alias("__f"))
     return image.join(relative, ["y", "x"]).withColumn("v", F.when(V("__f") > minimum, V("v") / V("__f"))).drop("__f")
+
+
+def compatibility(image: DataFrame, eyz: str, ezx: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``eyz_py, eyz_px, ezx_py, ezx_px`` and ``dev2nd``, half of ezx_py less eyz_px; differences as in ``gradients``."""
+    one = gradients(image, eyz, by).withColumnsRenamed({"dy": "eyz_py", "dx": "eyz_px"})
+    both = gradients(one, ezx, by).withColumnsRenamed({"dy": "ezx_py", "dx": "ezx_px"})
+    return both.withColumn("dev2nd", (V("ezx_py") - V("eyz_px")) / 2)
+
+
+def hsv_to_rgb(hue: Column, saturation: Column, brightness: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue from 0 to 1; the hue is a share of the circle and wraps."""
+    sector = lambda n: F.pmod(n + hue * 6, F.lit(6.0))
+    fall = lambda k: F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+    return tuple(brightness - brightness * saturation * fall(sector(F.lit(float(n)))) for n in (5, 3, 1))

@@ -130,7 +130,19 @@ def smoothness(image: DataFrame, value: str = "v", size: int = 3, by: tuple[str,
     return image.join(spread, [*by, "y", "x"])
 
 
-def integrate_displacement(image: DataFrame, value: str = "v", by: tuple[str, ...] = ()) -> DataFrame:
-    """``sum``: running sum along each row."""
-    w = Window.partitionBy(*by, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return image.withColumn("sum", F.sum(value).over(w))
+def integrate_displacement(image: DataFrame, value: str = "v", edge: str = "e", by: tuple[str, ...] = ()) -> DataFrame:
+    """``dfdy``: the running sum along y, less its value and that of ``edge`` in the last column of the same row."""
+    down = Window.partitionBy(*by, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    row = Window.partitionBy(*by, "y")
+    summed = image.withColumn("__sum", F.sum(value).over(down))
+    last = F.max_by(V("__sum") + V(edge), V("x")).over(row)
+    return summed.withColumn("dfdy", V("__sum") - last).drop("__sum")
+
+
+def integrate_second(image: DataFrame, ezx: str = "v", eyz: str = "e", by: tuple[str, ...] = ()) -> DataFrame:
+    """``f1, f2, f``: running sums of ``ezx`` along y and of ``eyz`` along x, and f1 less its first column plus that of f2."""
+    down = Window.partitionBy(*by, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*by, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    row = Window.partitionBy(*by, "y")
+    summed = image.withColumn("f1", F.sum(ezx).over(down)).withColumn("f2", F.sum(eyz).over(across))
+    return summed.withColumn("f", V("f1") + F.min_by(V("f2") - V("f1"), V("x")).over(row))

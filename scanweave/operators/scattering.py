@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanweave.functions import physics
@@ -106,13 +108,61 @@ def calibrate_ring(cells: DataFrame, d_spacing_a: float, energy_kev: float, pixe
     return found.filter("n >= 10").select("centre_y", "centre_x", radius.alias("radius"), (radius * (pixel_um / 1000) / F.tan(F.radians(angle))).alias("distance_mm"), "n")
 
 
-def reflectivity(curve: DataFrame, energy_kev: float, beam_mm: float, sample_mm: float, i0: float = 1.0) -> DataFrame:
+def reflectivity(curve: DataFrame, energy_kev: float, beam_mm: float, sample_mm: float, i0: float = 1.0, profile: str = "gaussian") -> DataFrame:
     """``q, r``: intensity over the monitor and the share of the beam on the sample; angles at or below zero are left out."""
-    share = physics.footprint(V("x"), beam_mm, sample_mm)
+    share = physics.footprint(V("x"), beam_mm, sample_mm, profile)
     q = physics.q_from_two_theta(2 * V("x"), energy_kev)
     return curve.filter("x > 0").select("x", q.alias("q"), (V("y") / i0 / share).alias("r"))
 
 
-def kiessig_thickness(minima_q: DataFrame) -> DataFrame:
-    """``thickness`` in angstrom from the mean spacing of fringe positions q."""
-    return minima_q.agg((2 * math.pi / F.try_divide(F.max("q") - F.min("q"), F.count("*") - 1)).alias("thickness"))
+def critical_angle(curves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, x_c``: where the logarithm of each curve ``x, y`` falls fastest, from its maximum on and within its first 60 %.
+
+    The slope is the second-order difference for uneven steps; points without a positive y are left out.
+    """
+    w = Window.partitionBy(*by).orderBy("x")
+    own = curves.filter("x IS NOT NULL AND y > 0").select(*by, "x", F.log10("y").alias("f"))
+    own = own.withColumns(
+        {"k": F.row_number().over(w) - 1, "hs": V("x") - F.lag("x").over(w), "hd": F.lead("x").over(w) - V("x"), "fs": F.lag("f").over(w), "fd": F.lead("f").over(w)}
+    )
+    inner = (V("hs") ** 2 * V("fd") + (V("hd") ** 2 - V("hs") ** 2) * V("f") - V("hd") ** 2 * V("fs")) / (V("hs") * V("hd") * (V("hd") + V("hs")))
+    slope = F.when(V("hs").isNull(), (V("fd") - V("f")) / V("hd")).when(V("hd").isNull(), (V("f") - V("fs")) / V("hs")).otherwise(inner)
+    whole = Window.partitionBy(*by)
+    own = own.withColumns({"slope": slope, "n": F.count("*").over(whole), "top": F.max_by("k", F.struct("f", -V("k"))).over(whole)})
+    start = F.greatest(V("top"), F.lit(1))
+    inside = own.filter((V("k") >= start) & (V("k") < F.greatest(start + 3, F.floor(V("n") * 0.6))))
+    return inside.groupBy(*by).agg(F.min_by("x", F.struct("slope", "k")).alias("x_c"))
+
+
+def kiessig_thickness(curves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, thickness``: a film's thickness in angstrom by the strongest frequency of its fringes ``q, r``.
+
+    log10(r q^4) on four times as many even points, less its Gaussian trend, under a Hann window,
+    is Fourier transformed; curves of fewer than 16 usable points have a null thickness.
+    """
+
+    def strongest(q: np.ndarray, r: np.ndarray) -> float | None:
+        ok = np.isfinite(q) & np.isfinite(r) & (q > 0) & (r > 0)
+        order = np.argsort(q[ok], kind="stable")
+        q, r = q[ok][order], r[ok][order]
+        if len(q) < 16 or q[0] == q[-1]:
+            return None
+        even = np.linspace(q[0], q[-1], 4 * len(q))
+        level = np.interp(even, q, np.log10(r * q**4))
+        sigma = len(even) / 8
+        reach = int(4 * sigma + 0.5)
+        kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+        trend = np.convolve(np.pad(level, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
+        size = 8 * len(even)
+        power = np.abs(np.fft.rfft((level - trend) * np.hanning(len(even)), n=size))
+        length = 2 * math.pi * np.fft.rfftfreq(size, even[1] - even[0])
+        power[length <= 2 * math.pi / (q[-1] - q[0])] = 0
+        return float(length[np.argmax(power)])
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = strongest(rows["q"].to_numpy(float), rows["r"].to_numpy(float))
+        return pd.DataFrame([[*key, found]], columns=[*by, "thickness"])
+
+    own = curves.select(*by, "q", "r")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(by)])
+    return own.groupBy(*by).applyInPandas(one, f"{fields}{', ' if by else ''}thickness double")

@@ -263,13 +263,14 @@ def bin_events_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT {r('avg(CAST(user_id AS DOUBLE) / 8)')} AS user, {r('avg(value)')} AS value, count(*) AS n FROM events
-    WHERE ts < TIMESTAMP '2024-01-20' GROUP BY round_even(CAST(user_id AS DOUBLE) / 8 * 10, 0)""")
+    GROUP BY round_even(CAST(user_id AS DOUBLE) / 8 * 10, 0)""")
 def combine_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs, of which one has a column more, binned together."""
+    """Three runs, of which one has a column more, binned together."""
     own = t(spark, sf_dir, "events").withColumn("user", F.col("user_id").cast("double") / 8)
     first = own.filter("ts < TIMESTAMP '2024-01-10'").select("user", "value", "event_type")
     second = own.filter("ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'").select("user", "value")
-    return rounded(pumpprobe.combine_runs([first, second], "user", 1))
+    third = own.filter("ts >= TIMESTAMP '2024-01-20'").select("value", "user")
+    return rounded(pumpprobe.combine_runs([first, second, third], "user", 1))
 
 
 @query(f"""SELECT l_returnflag, {r('regr_slope(l_extendedprice, l_quantity)', 4)} AS slope, {r('regr_intercept(l_extendedprice, l_quantity)', 4)} AS intercept,
@@ -317,13 +318,13 @@ def varying(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.varying(t(spark, sf_dir, "lineitem"), {"l_quantity": 1.0, "l_linenumber": 1.0, "l_tax": 0.5})
 
 
-@query(f"""WITH c AS (SELECT o_totalprice AS v, count(*) AS n FROM orders WHERE o_totalprice < 60000 GROUP BY 1),
+@query(f"""WITH c AS (SELECT o_totalprice AS v, count(*) AS n FROM orders GROUP BY 1),
     g AS (SELECT v, n, CASE WHEN v - lag(v) OVER (ORDER BY v) > 40 THEN 1 ELSE 0 END AS new FROM c),
     h AS (SELECT v, n, CAST(sum(new) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "group" FROM g)
     SELECT "group", {r('sum(v * n) / sum(n)', 4)} AS centre, min(v) AS low, max(v) AS high, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY "group" """)
 def cluster_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gap clustering of a column's values."""
-    return rounded(curves.cluster_values(t(spark, sf_dir, "orders").filter("o_totalprice < 60000"), "o_totalprice", 40.0), 4, "low", "high")
+    return rounded(curves.cluster_values(t(spark, sf_dir, "orders"), "o_totalprice", 40.0), 4, "low", "high")
 
 
 @query("""SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
@@ -651,7 +652,7 @@ def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE event_type = 'click' AND x > 0""")
 def reflectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = daily(spark, sf_dir).filter("event_type = 'click'")
-    return rounded(rounded(scattering.reflectivity(curve, 10.0, 0.1, 20.0, 2.0), 4, "q"), 6, "r")
+    return rounded(rounded(scattering.reflectivity(curve, 10.0, 0.1, 20.0, 2.0, "rectangular"), 4, "q"), 6, "r")
 
 
 # Event time
@@ -749,18 +750,70 @@ def smoothness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(processing.smoothness(images(spark, sf_dir), "v", 3, ("label",)))
 
 
-@query(f"""WITH {IMAGE} SELECT label, y, x, {r('v')} AS v, {r('sum(v) OVER (PARTITION BY label, y ORDER BY x)')} AS sum FROM image""")
+STRAINS = f"{IMAGE}, e AS (SELECT label, y, x, v, v * v AS e FROM image)"
+
+
+def strains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images(spark, sf_dir).select("label", "y", "x", "v", (F.col("v") * F.col("v")).alias("e"))
+
+
+@query(f"""WITH {STRAINS}, s AS (SELECT *, sum(v) OVER (PARTITION BY label, x ORDER BY y) AS s FROM e), k AS (SELECT label, y, s + e AS k FROM s WHERE x = 7)
+    SELECT s.label, s.y, s.x, {r('s.v')} AS v, {r('s.e')} AS e, {r('s.s - k.k')} AS dfdy FROM s JOIN k ON s.label = k.label AND s.y = k.y""")
 def integrate_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(processing.integrate_displacement(images(spark, sf_dir), "v", ("label",)))
+    return rounded(processing.integrate_displacement(strains(spark, sf_dir), "v", "e", ("label",)))
+
+
+@query(f"""WITH {STRAINS}, s AS (SELECT *, sum(v) OVER (PARTITION BY label, x ORDER BY y) AS f1, sum(e) OVER (PARTITION BY label, y ORDER BY x) AS f2 FROM e),
+    k AS (SELECT label, y, f2 - f1 AS k FROM s WHERE x = 0)
+    SELECT s.label, s.y, s.x, {r('s.v')} AS v, {r('s.e')} AS e, {r('s.f1')} AS f1, {r('s.f2')} AS f2, {r('s.f1 + k.k')} AS f FROM s JOIN k ON s.label = k.label AND s.y = k.y""")
+def integrate_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(processing.integrate_second(strains(spark, sf_dir), "v", "e", ("label",)))
+
+
+@query(f"""WITH {STRAINS}, g AS (SELECT a.label, a.y, a.x, (d.v - u.v) / (d.y - u.y) AS eyz_py, (q.v - p.v) / (q.x - p.x) AS eyz_px, (d.e - u.e) / (d.y - u.y) AS ezx_py,
+    (q.e - p.e) / (q.x - p.x) AS ezx_px FROM e a JOIN e u ON u.label = a.label AND u.x = a.x AND u.y = greatest(a.y - 1, 0) JOIN e d ON d.label = a.label AND d.x = a.x AND d.y = least(a.y + 1, 7)
+    JOIN e p ON p.label = a.label AND p.y = a.y AND p.x = greatest(a.x - 1, 0) JOIN e q ON q.label = a.label AND q.y = a.y AND q.x = least(a.x + 1, 7))
+    SELECT label, y, x, {r('eyz_py')} AS eyz_py, {r('eyz_px')} AS eyz_px, {r('ezx_py')} AS ezx_py, {r('ezx_px')} AS ezx_px, {r('(ezx_py - eyz_px) / 2')} AS dev2nd FROM g""")
+def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(imaging.compatibility(strains(spark, sf_dir), "v", "e", ("label",)).drop("v", "e"))
+
+
+@query(f"""WITH h AS (SELECT p_partkey, p_size / 50e0 AS h, 0.8e0 AS s, p_retailprice / 2100e0 AS v FROM part), k AS (SELECT *, floor(h * 6) % 6 AS i, h * 6 - floor(h * 6) AS f FROM h),
+    m AS (SELECT *, v * (1 - s) AS p, v * (1 - f * s) AS q, v * (1 - (1 - f) * s) AS t FROM k)
+    SELECT p_partkey, {r('CASE WHEN i IN (0, 5) THEN v WHEN i = 1 THEN q WHEN i = 4 THEN t ELSE p END')} AS red,
+    {r('CASE WHEN i IN (1, 2) THEN v WHEN i = 0 THEN t WHEN i = 3 THEN q ELSE p END')} AS green, {r('CASE WHEN i IN (3, 4) THEN v WHEN i = 2 THEN t WHEN i = 5 THEN q ELSE p END')} AS blue FROM m""")
+def hsv_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colours = imaging.hsv_to_rgb(F.col("p_size") / 50.0, F.lit(0.8), F.col("p_retailprice") / 2100.0)
+    return rounded(t(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for c, n in zip(colours, ("red", "green", "blue"), strict=True)]))
+
+
+@query(f"""WITH {DAILY}, p AS (SELECT event_type, x, log10(y) AS f FROM daily WHERE y > 0), l AS (SELECT *, row_number() OVER w - 1 AS k, x - lag(x) OVER w AS hs, lead(x) OVER w - x AS hd,
+    lag(f) OVER w AS fs, lead(f) OVER w AS fd, count(*) OVER (PARTITION BY event_type) AS n FROM p WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+    g AS (SELECT *, CASE WHEN hs IS NULL THEN (fd - f) / hd WHEN hd IS NULL THEN (f - fs) / hs ELSE (hs ** 2 * fd + (hd ** 2 - hs ** 2) * f - hd ** 2 * fs) / (hs * hd * (hd + hs)) END AS slope FROM l),
+    m AS (SELECT event_type, greatest(arg_max(k, f), 1) AS start FROM g GROUP BY event_type)
+    SELECT event_type, arg_min(x, slope) AS x_c FROM g JOIN m USING (event_type) WHERE k >= start AND k < greatest(start + 3, floor(n * 0.6e0)) GROUP BY event_type""")
+def critical_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scattering.critical_angle(daily(spark, sf_dir), ("event_type",))
+
+
+@query(f"""WITH e AS (SELECT p_partkey, 5 + p_size / 2e0 AS e FROM part) SELECT p_partkey, {r('2 * pi() * e / 12.398419843320026')} AS wavevector,
+    {r('degrees(asin(12.398419843320026 / (2 * 3.1356e0 * e)))')} AS angle, {r('e * 2 * sqrt(2 * ln(2e0))')} AS fwhm, {r('e / (2 * sqrt(2 * ln(2e0)))')} AS sigma FROM e""")
+def more_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = 5 + F.col("p_size") / 2.0
+    return rounded(
+        t(spark, sf_dir, "part").select(
+            "p_partkey", physics.wavevector(e).alias("wavevector"), physics.mono_angle(e).alias("angle"), physics.fwhm_of_sigma(e).alias("fwhm"), physics.sigma_of_fwhm(e).alias("sigma")
+        )
+    )
 
 
-@query(f"""WITH s AS (SELECT p_partkey, radians(p_size + 0e0) AS t, radians(p_size / 4e0) AS d FROM part), q AS (SELECT p_partkey, cos(d) * cos(t) - 1 AS a, cos(d) * sin(t) AS b, sin(d) AS c FROM s)
-    SELECT p_partkey, {r('2 * pi() * 12e0 / 12.398419843320026 * a')} AS qx, {r('2 * pi() * 12e0 / 12.398419843320026 * b')} AS qy, {r('2 * pi() * 12e0 / 12.398419843320026 * c')} AS qz,
+@query(f"""WITH s AS (SELECT p_partkey, radians(p_size + 0e0) AS t, radians(p_size / 4e0) AS d FROM part), q AS (SELECT p_partkey, t, cos(d) * cos(t) - 1 AS a, cos(d) * sin(t) AS b, sin(d) AS c FROM s)
+    SELECT p_partkey, {r('2 * pi() * 12e0 / 12.398419843320026 * (a * cos(t) - b * sin(t))')} AS qx, {r('2 * pi() * 12e0 / 12.398419843320026 * (a * sin(t) + b * cos(t))')} AS qy, {r('2 * pi() * 12e0 / 12.398419843320026 * c')} AS qz,
     {r('2 * pi() * 12e0 / 12.398419843320026 * sqrt(a * a + b * b + c * c)')} AS q FROM q""")
 def scattering_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("double")
     v = crystal.scattering_vector(size, size / 4, 12.0)
-    turned = crystal.rotated(crystal.rotated(v, (0, 0, 1), size), (0, 0, 1), -size)
+    turned = crystal.rotated(v, (0, 0, 1), size)
     return rounded(t(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for c, n in zip(turned, ("qx", "qy", "qz"), strict=True)], crystal.norm(v).alias("q")))
 
 
