@@ -321,10 +321,10 @@ def varying(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH c AS (SELECT o_totalprice AS v, count(*) AS n FROM orders GROUP BY 1),
     g AS (SELECT v, n, CASE WHEN v - lag(v) OVER (ORDER BY v) > 40 THEN 1 ELSE 0 END AS new FROM c),
     h AS (SELECT v, n, CAST(sum(new) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "group" FROM g)
-    SELECT "group", {r('sum(v * n) / sum(n)', 4)} AS centre, min(v) AS low, max(v) AS high, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY "group" """)
+    SELECT "group", {r('sum(v * n) / sum(n)', 7)} AS centre, min(v) AS low, max(v) AS high, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY "group" """)
 def cluster_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gap clustering of a column's values."""
-    return rounded(curves.cluster_values(t(spark, sf_dir, "orders"), "o_totalprice", 40.0), 4, "low", "high")
+    return rounded(curves.cluster_values(t(spark, sf_dir, "orders"), "o_totalprice", 40.0), 7, "low", "high")
 
 
 @query("""SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
