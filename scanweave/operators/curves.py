@@ -29,7 +29,7 @@ def gap_groups(df: DataFrame, column: str, tolerance: float, by: tuple[str, ...]
     keys, own = by, df
     if not by:
         bounds = df.approxQuantile(column, [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES))
-        above = sum((F.when(V(column) >= b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
+        above = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= V(column))) if bounds else F.lit(0)
         keys, own = ("__range",), df.withColumn("__range", above)
     w = _ordered(keys, column)
     new = F.when(V(column) - F.lag(column).over(w) > tolerance, 1).otherwise(0)
