@@ -91,3 +91,9 @@ def families(reflections: DataFrame) -> DataFrame:
         F.max(F.struct("h", "k", "l")).alias("m"), (2 * F.count("*")).alias("multiplicity"), F.min("two_theta").alias("two_theta")
     )
     return by.select("d", F.col("m.h").alias("h"), F.col("m.k").alias("k"), F.col("m.l").alias("l"), "multiplicity", "two_theta").orderBy(F.desc("d"))
+
+
+def mag_split(total: Column, share: Column | float) -> tuple[Column, Column]:
+    """The magnifications of a pair of crystals, of which the first takes the power ``share`` of the total."""
+    first = F.pow(total, share if isinstance(share, Column) else F.lit(float(share)))
+    return first, F.try_divide(total, first)

@@ -138,3 +138,35 @@ def reflections(spark: SparkSession, cell: tuple[float, float, float, float, flo
     kept = index.filter(half & allowed(h, k, l, centering))
     d = 1 / F.sqrt(inverse_d2(h, k, l, cell))
     return kept.select("h", "k", "l", d.alias("d"), two_theta(d, energy_kev).alias("two_theta")).filter(F.col("two_theta").isNotNull())
+
+
+def mass_attenuation(energy_kev: Column | float, table: list[tuple[float, float]]) -> Column:
+    """cm²/g between the entries (eV, cm²/g) of a material's table, straight in the logarithms of both; the end values beyond it.
+
+    At an absorption edge, two entries of one energy, the upper one holds.
+    """
+    ordered = sorted((e for e in table), key=lambda e: e[0])
+    xs, ys = (F.lit([math.log(e[i]) for e in ordered]) for i in (0, 1))
+    u = F.log(_c(energy_kev) * 1e3)
+    n = len(ordered)
+    at = F.size(F.filter(xs, lambda x: x <= u))
+    low, high = F.greatest(at, F.lit(1)), F.least(at + 1, F.lit(n))
+    a, b = F.element_at(xs, low), F.element_at(xs, high)
+    share = F.when((at < 1) | (at >= n), 0.0).otherwise(F.try_divide(u - a, b - a))
+    return F.when(energy_kev.isNotNull() if isinstance(energy_kev, Column) else F.lit(True), F.exp(F.element_at(ys, low) + share * (F.element_at(ys, high) - F.element_at(ys, low))))
+
+
+def attenuation_length(energy_kev: Column | float, table: list[tuple[float, float]], density: Column | float) -> Column:
+    """Micrometres after which the intensity has fallen to 1/e, for a density in g/cm³."""
+    return F.try_divide(F.lit(1e4), mass_attenuation(energy_kev, table) * _c(density))
+
+
+def energy_grid(spark: SparkSession, e0: float, fwhm: float, n: int = 21, spectrum: str = "gaussian") -> DataFrame:
+    """``energy, weight``: a Gaussian over three sigma either side, or flat over its full width; trapezoid weights of sum one."""
+    sigma = fwhm / (2 * math.sqrt(2 * math.log(2)))
+    reach = {"gaussian": 3 * sigma, "flat": fwhm / 2}[spectrum]
+    e = F.lit(e0 - reach) + F.col("id") * F.lit(2 * reach / (n - 1))
+    height = F.exp(-0.5 * F.pow((F.col("energy") - e0) / sigma, F.lit(2))) if spectrum == "gaussian" else F.lit(1.0)
+    ends = F.when(F.col("id").isin(0, n - 1), 0.5).otherwise(1.0)
+    own = spark.range(n).withColumn("energy", e).select("energy", (height * ends).alias("w"))
+    return own.join(F.broadcast(own.agg(F.sum("w").alias("total"))), F.lit(True)).select("energy", (F.col("w") / F.col("total")).alias("weight"))

@@ -6,6 +6,12 @@ aggregates partitioned by that key, so many curves run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -181,3 +187,145 @@ def stitch_pair(left: DataFrame, right: DataFrame) -> DataFrame:
     factor = shared.agg(F.coalesce(F.try_divide(F.avg("a"), F.avg("b")), F.lit(1.0)).alias("f"))
     scaled = right.crossJoin(F.broadcast(factor)).select("x", (V("y") * V("f")).alias("y"))
     return left.select("x", "y").unionByName(scaled).groupBy("x").agg(F.avg("y").alias("y"))
+
+
+def _padded(w: WindowSpec, half: int) -> Column:
+    """The ``2 half + 1`` values of y around each point; beyond the ends the end value counts."""
+    near = F.collect_list("y").over(w.rowsBetween(-half, half))
+    left = F.greatest(F.lit(half + 1) - F.row_number().over(w), F.lit(0))
+    right = F.lit(2 * half + 1) - left - F.size(near)
+    return F.concat(F.array_repeat(F.element_at(near, 1), left), near, F.array_repeat(F.element_at(near, -1), right))
+
+
+def _dot(values: Column, weights: Column) -> Column:
+    return F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def smooth(curve: DataFrame, method: str = "gaussian", width: float = 2.0, order: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """``smooth``: a Gaussian of ``width`` points cut at four widths, the median of ``width`` points, or Savitzky-Golay.
+
+    Windows are made odd. Beyond the ends the end value counts; Savitzky-Golay fits its polynomial of ``order`` to the
+    first or last whole window there, and gives null for curves shorter than one. Values of y must not be null.
+    """
+    w = _ordered(by)
+    if method == "gaussian":
+        half = int(4 * width + 0.5)
+        kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / width) ** 2)
+        return curve.withColumn("smooth", _dot(_padded(w, half), F.lit((kernel / kernel.sum()).tolist())))
+    window = max(round(width), 1)
+    window += 1 - window % 2
+    if method == "median":
+        return curve.withColumn("smooth", F.element_at(F.array_sort(_padded(w, window // 2)), window // 2 + 1))
+    if method != "savitzky-golay":
+        raise ValueError(f"unknown smoothing {method!r}")
+    window = max(window, order + 2 + (order + 3) % 2)
+    half = window // 2
+    powers = np.vander(np.arange(window) - half, order + 1)
+    rows = powers @ np.linalg.pinv(powers)
+    at, n = F.row_number().over(w) - 1, F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.least(F.greatest(at - half, F.lit(0)), n - window)
+    near = F.collect_list("y").over(w.rowsBetween(1 - window, window - 1))
+    values = F.slice(near, (first - F.greatest(at - window + 1, F.lit(0)) + 1).cast("int"), window)
+    fitted = _dot(values, F.element_at(F.lit(rows.tolist()), (at - first + 1).cast("int")))
+    return curve.withColumn("smooth", F.when(n >= window, fitted))
+
+
+def polynomial_background(
+    curve: DataFrame, degree: int = 2, regions: tuple[tuple[float, float], ...] = (), by: tuple[str, ...] = ()
+) -> DataFrame:
+    """``background`` and ``net``: a polynomial fitted in the ``regions`` of x, or to the first and last tenth of the points.
+
+    Sums of powers are made by aggregation and solved for whole batches of curves, one row each; curves with too few
+    background points give nulls. Degree 0 is the constant.
+    """
+    if regions:
+        chosen = curve.filter(reduce(or_, [V("x").between(min(r), max(r)) for r in regions]))
+    else:
+        w = _ordered(by)
+        at, n = F.row_number().over(w), F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        tenth = F.greatest(F.floor(n / 10), F.lit(2))
+        chosen = curve.withColumn("__edge", (at <= tenth) | (at > n - tenth)).filter("__edge").drop("__edge")
+    chosen = chosen.filter(V("y").isNotNull() & ~F.isnan("y"))
+    middle = chosen.groupBy(*by).agg(F.avg("x").alias("__c"))
+    u = V("x") - V("__c")
+    joined = _joined(chosen, middle, by).withColumn("__u", u)
+    power = lambda k: F.pow(F.col("__u"), F.lit(k))
+    xs = F.array(*[F.sum(power(k)) for k in range(2 * degree + 1)])
+    ys = F.array(*[F.sum(V("y") * power(k)) for k in range(degree + 1)])
+    moments = joined.groupBy(*by).agg(F.first("__c").alias("__c"), F.count_distinct("x").alias("__m"), xs.alias("__xs"), ys.alias("__ys"))
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in curve.select(*by).schema]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = np.add.outer(np.arange(degree + 1), np.arange(degree + 1))
+        for batch in batches:
+            batch = batch[batch["__m"] > degree]
+            if len(batch):
+                found = np.linalg.solve(np.stack(batch["__xs"])[:, at], np.stack(batch["__ys"])[..., None])[..., 0]
+                yield batch[[*by, "__c"]].assign(__a=list(found))
+
+    fitted = moments.mapInPandas(solve, ", ".join([*keys, "__c double", "__a array<double>"]))
+    own = _joined(curve, fitted, by, "left")
+    value = F.when(V("__a").isNotNull(), reduce(lambda total, k: total * u + F.element_at("__a", k + 1), range(degree, -1, -1), F.lit(0.0)))
+    return own.withColumn("background", value).withColumn("net", V("y") - V("background")).drop("__a", "__c")
+
+
+def _joined(curve: DataFrame, table: DataFrame, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """``curve`` with its row of a table that has one row for each curve."""
+    if by:
+        return curve.join(table, list(by), how)
+    return curve.join(F.broadcast(table), F.lit(True), how)
+
+
+def _prominent(y: np.ndarray) -> list[tuple[int, float, float]]:
+    """Index, prominence and full width at half prominence, in points, of each maximum; a plateau counts at its middle."""
+    out = []
+    edges = np.flatnonzero(np.diff(y)) + 1
+    starts, stops = np.append(0, edges), np.append(edges, len(y)) - 1
+    for a, b in zip(starts[1:-1].tolist(), stops[1:-1].tolist(), strict=True):
+        if not (y[a - 1] < y[a] > y[b + 1]):
+            continue
+        at = (a + b) // 2
+        higher = np.flatnonzero(y > y[at])
+        k = int(np.searchsorted(higher, at))
+        low = int(higher[k - 1]) + 1 if k else 0
+        high = int(higher[k]) if k < len(higher) else len(y)
+        prominence = float(y[at] - max(y[low : at + 1].min(), y[at:high].min()))
+        level = y[at] - prominence / 2
+        i = at - int(np.argmax(y[low : at + 1][::-1] <= level))
+        j = at + int(np.argmax(y[at:high] <= level))
+        left = i + (level - y[i]) / (y[i + 1] - y[i]) if y[i] < level else float(i)
+        right = j - (level - y[j]) / (y[j - 1] - y[j]) if y[j] < level else float(j)
+        out.append((at, prominence, right - left))
+    return out
+
+
+def prominent_peaks(curve: DataFrame, n: int, by: tuple[str, ...], prominence: float = 0.0) -> DataFrame:
+    """``x, height, fwhm, prominence`` of the ``n`` most prominent maxima of each curve; null values count as zero.
+
+    The width is taken at half the prominence and measured in median steps of x.
+    """
+    points = F.array_sort(F.collect_list(F.struct("x", F.coalesce(F.nanvl("y", F.lit(0.0)), F.lit(0.0)).alias("y"))))
+    whole = curve.groupBy(*by).agg(points.alias("p")).select(*by, V("p.x").alias("x"), V("p.y").alias("y"))
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in curve.select(*by).schema]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False, name=None):
+                x, y = (np.asarray(v, dtype=float) for v in row[-2:])
+                found = [f for f in _prominent(y) if f[1] >= prominence]
+                step = abs(float(np.median(np.diff(x)))) if len(x) > 1 else 1.0
+                for at, high, width in sorted(found, key=lambda f: (-f[1], f[0]))[:n]:
+                    rows.append((*row[:-2], float(x[at]), float(y[at]), width * step, high))
+            yield pd.DataFrame(rows, columns=[*by, "x", "height", "fwhm", "prominence"])
+
+    return whole.mapInPandas(run, ", ".join([*keys, "x double", "height double", "fwhm double", "prominence double"]))
+
+
+def unit_gaussian(curve: DataFrame, sigma: float, centre: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """``profile``: a Gaussian on each curve's x whose trapezoid area is one; as it is where the area is zero."""
+    w = _ordered(by)
+    own = curve.withColumn("__g", F.exp(-0.5 * F.pow((V("x") - centre) / sigma, F.lit(2))))
+    own = own.withColumn("__t", 0.5 * (V("x") - F.lag("x").over(w)) * (V("__g") + F.lag("__g").over(w)))
+    area = F.sum("__t").over(Window.partitionBy(*by))
+    return own.withColumn("profile", F.when(area > 0, V("__g") / area).otherwise(V("__g"))).drop("__g", "__t")

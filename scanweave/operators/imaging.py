@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,3 +151,37 @@ def hsv_to_rgb(hue: Column, saturation: Column, brightness: Column) -> tuple[Col
     sector = lambda n: F.pmod(n + hue * 6, F.lit(6.0))
     fall = lambda k: F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
     return tuple(brightness - brightness * saturation * fall(sector(F.lit(float(n)))) for n in (5, 3, 1))
+
+
+def profile(image: DataFrame, value: str, along: str = "x", roi: tuple[int, int, int, int] | None = None, how: str = "sum", by: tuple[str, ...] = ()) -> DataFrame:
+    """``value`` along one axis, summed or averaged over the other inside the region (y0, y1, x0, x1), ends excluded."""
+    if roi:
+        y0, y1, x0, x1 = roi
+        image = image.filter((V("y") >= y0) & (V("y") < y1) & (V("x") >= x0) & (V("x") < x1))
+    return image.groupBy(*by, along).agg((F.sum(value) if how == "sum" else F.avg(value)).alias(value))
+
+
+def line_profile(
+    image: DataFrame, value: str, start: tuple[float, float], stop: tuple[float, float], height: int, width: int, across: int = 1, points: int | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """``point, distance, value`` along a straight line between two (y, x), bilinear, averaged over ``across`` parallel lines.
+
+    The weights of the four pixels around each sample make a small table that the line's length bounds; only its pixels are read.
+    """
+    (y0, x0), (y1, x1) = start, stop
+    length = math.hypot(y1 - y0, x1 - x0)
+    n = points or max(math.ceil(length) + 1, 2)
+    share = np.linspace(0.0, 1.0, n)[:, None]
+    aside = (np.arange(across) - (across - 1) / 2) / max(length, 1e-12)
+    y = np.clip(y0 + share * (y1 - y0) + aside * (x1 - x0), 0, height - 1)
+    x = np.clip(x0 + share * (x1 - x0) - aside * (y1 - y0), 0, width - 1)
+    weights: dict[tuple[int, int, int], float] = {}
+    for k in range(n):
+        for ys, xs in zip(y[k].tolist(), x[k].tolist(), strict=True):
+            for cy, cx in product((int(ys), int(ys) + 1), (int(xs), int(xs) + 1)):
+                weight = (1 - abs(ys - cy)) * (1 - abs(xs - cx)) / across
+                if weight > 0:
+                    weights[k, cy, cx] = weights.get((k, cy, cx), 0.0) + weight
+    rows = [(k, float(length * share[k, 0]), cy, cx, w) for (k, cy, cx), w in weights.items()]
+    near = image.sparkSession.createDataFrame(rows, "point int, distance double, y int, x int, __w double")
+    return image.join(F.broadcast(near), ["y", "x"]).groupBy(*by, "point", "distance").agg(F.sum(V(value) * V("__w")).alias(value))

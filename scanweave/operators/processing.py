@@ -85,6 +85,12 @@ def box_mean(cells: DataFrame, box: tuple[int, int, int, int], frame: str = "fra
     return own.groupBy(frame).agg(F.avg("v").alias("mean"))
 
 
+def normalize_box(cells: DataFrame, box: tuple[int, int, int, int], frame: str = "frame_id", robust: bool = False) -> DataFrame:
+    """Cells divided by their frame's mean in the box; null where that is zero. Only one row a frame meets the cells."""
+    mean = box_mean(cells, box, frame, robust).withColumnRenamed("mean", "__mean")
+    return cells.join(mean, frame).withColumn("v", F.try_divide("v", "__mean")).drop("__mean")
+
+
 def resample(curve: DataFrame, points: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Each curve interpolated on so many even points of its own range."""
     extent = curve.groupBy(*by).agg(F.min("x").alias("__a"), F.max("x").alias("__b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +82,33 @@ def snake_index(frame: Column, fast: int, snake: bool = True) -> tuple[Column, C
     """Slow and fast indices of a frame number on a raster, every other row backwards if ``snake``."""
     slow, at = F.floor(frame / fast).cast("int"), (frame % fast).cast("int")
     return slow, F.when((slow % 2 == 1) & F.lit(snake), fast - 1 - at).otherwise(at)
+
+
+#: A motor has moved if its values span more than this, whatever its own least step. Fixed value.
+MOVED = 1e-6
+
+
+def moving(frames: DataFrame, motors: dict[str, float], least: float = MOVED) -> DataFrame:
+    """``motor, low, high`` of the recorded motors that moved by more than their least step; missing values don't count."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), V(c))
+    own = frames.select(*[V(c).cast("double").alias(c) for c in motors])
+    stats = [F.struct(F.lit(c).alias("motor"), F.min(finite(c)).alias("low"), F.max(finite(c)).alias("high"), F.lit(max(step, least)).alias("step")) for c, step in motors.items()]
+    return own.agg(F.array(*stats).alias("s")).select(F.inline("s")).filter("high - low > step").select("motor", "low", "high")
+
+
+def lockstep(frames: DataFrame, motors: tuple[str, ...]) -> DataFrame:
+    """``motor, leader``: the first motor, in the given order, that steps together with each: each one's value tells the other's.
+
+    Each motor's values are grouped once with the extremes of all others, so only distinct values and their
+    extremes move; a null is a value of its own.
+    """
+    rows = []
+    for motor in motors:
+        others = [o for o in motors if o != motor]
+        alike = [(F.max(o).eqNullSafe(F.min(o)) & ((F.count(o) == 0) | (F.count(o) == F.count("*")))).alias(f"__{o}") for o in others]
+        told = frames.groupBy(motor).agg(*alike).agg(*[F.bool_and(f"__{o}").alias(f"__{o}") for o in others])
+        rows.append(told.select(F.lit(motor).alias("motor"), F.array_compact(F.array(F.lit(motor), *[F.when(V(f"__{o}"), F.lit(o)) for o in others])).alias("tells")))
+    pairs = reduce(DataFrame.unionByName, rows).select("motor", F.explode("tells").alias("other"))
+    back = pairs.select(V("other").alias("motor"), V("motor").alias("other"))
+    place = F.array_position(F.lit(list(motors)), V("other"))
+    return pairs.join(back, ["motor", "other"]).groupBy("motor").agg(F.min_by("other", place).alias("leader"))

@@ -845,3 +845,121 @@ def crystal_optics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reflection_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = physics.reflections(spark, (5.431, 5.431, 5.431, 90.0, 90.0, 90.0), "F", 12.0, 4)
     return rounded(crystal.families(own))
+
+
+RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY x) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM daily)"
+
+
+@query(f"""WITH {DAILY}, {RANKED}, k AS (SELECT j, exp(-0.5 * (j / 2e0) ** 2) AS g FROM range(-8, 9) t(j))
+    SELECT a.event_type, a.x, {r('sum(b.y * g) / sum(g)')} AS smooth FROM ranked a CROSS JOIN k JOIN ranked b ON b.event_type = a.event_type AND b.i = least(greatest(a.i + j, 1), a.n) GROUP BY ALL""")
+def smooth_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.smooth(daily(spark, sf_dir), "gaussian", 2.0, by=("event_type",)).select("event_type", "x", "smooth"))
+
+
+@query(f"""WITH {DAILY}, {RANKED} SELECT a.event_type, a.x, {r('median(b.y)')} AS smooth FROM ranked a CROSS JOIN range(-2, 3) t(j)
+    JOIN ranked b ON b.event_type = a.event_type AND b.i = least(greatest(a.i + j, 1), a.n) GROUP BY ALL""")
+def smooth_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.smooth(daily(spark, sf_dir), "median", 4.0, by=("event_type",)).select("event_type", "x", "smooth"))
+
+
+@query(f"""WITH {DAILY}, {RANKED}, k(p, c) AS (VALUES (0, [31, 9, -3, -5, 3]), (1, [9, 13, 12, 6, -5]), (2, [-3, 12, 17, 12, -3]), (3, [-5, 6, 12, 13, 9]), (4, [3, -5, -3, 9, 31])),
+    f AS (SELECT *, least(greatest(i - 2, 1), n - 4) AS s FROM ranked)
+    SELECT a.event_type, a.x, {r('sum(b.y * c[b.i - s + 1]) / 35')} AS smooth FROM f a JOIN k ON p = a.i - s JOIN ranked b ON b.event_type = a.event_type AND b.i BETWEEN s AND s + 4 GROUP BY ALL""")
+def smooth_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.smooth(daily(spark, sf_dir), "savitzky-golay", 5.0, 2, by=("event_type",)).select("event_type", "x", "smooth"))
+
+
+@query(f"""WITH {DAILY}, {RANKED}, b AS (SELECT * FROM ranked WHERE i <= greatest(n // 10, 2) OR i > n - greatest(n // 10, 2)), c AS (SELECT event_type, avg(x) AS c FROM b GROUP BY ALL),
+    m AS (SELECT event_type, any_value(c) AS c, count(*) AS a, sum((x - c) ** 2) AS s2, sum((x - c) ** 3) AS s3, sum((x - c) ** 4) AS s4, sum(y) AS t0, sum(y * (x - c)) AS t1, sum(y * (x - c) ** 2) AS t2 FROM b JOIN c USING (event_type) GROUP BY event_type),
+    d AS (SELECT *, a * (s2 * s4 - s3 * s3) - s2 * s2 * s2 AS det FROM m),
+    p AS (SELECT event_type, c, (t0 * (s2 * s4 - s3 * s3) + s2 * (t1 * s3 - s2 * t2)) / det AS p0, (a * (t1 * s4 - s3 * t2) + s2 * (t0 * s3 - t1 * s2)) / det AS p1, (a * (s2 * t2 - s3 * t1) - s2 * s2 * t0) / det AS p2 FROM d)
+    SELECT event_type, x, {r('p0 + p1 * (x - c) + p2 * (x - c) ** 2', 4)} AS background, {r('y - (p0 + p1 * (x - c) + p2 * (x - c) ** 2)', 4)} AS net FROM daily JOIN p USING (event_type)""")
+def background_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.polynomial_background(daily(spark, sf_dir), 2, by=("event_type",)).select("event_type", "x", "background", "net"), 4)
+
+
+@query(f"""WITH {DAILY}, b AS (SELECT event_type, avg(y) AS b FROM daily WHERE x BETWEEN 0 AND 4 OR x BETWEEN 20 AND 26 GROUP BY ALL) SELECT event_type, x, {r('b')} AS background, {r('y - b')} AS net FROM daily JOIN b USING (event_type)""")
+def background_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.polynomial_background(daily(spark, sf_dir), 0, ((0, 4), (26, 20)), ("event_type",)).select("event_type", "x", "background", "net"))
+
+
+@query(f"""WITH {DAILY}, {RANKED}, l AS (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b, x - lag(x) OVER w AS dx FROM ranked WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+    s AS (SELECT event_type, median(dx) AS step FROM l GROUP BY ALL), m AS (SELECT * FROM l WHERE y > a AND y > b),
+    e AS (SELECT m.event_type, m.i, any_value(m.x) AS x, any_value(m.y) AS y, coalesce(max(r.i) FILTER (r.i < m.i AND r.y > m.y), 0) AS low, coalesce(min(r.i) FILTER (r.i > m.i AND r.y > m.y), any_value(m.n) + 1) AS high
+        FROM m JOIN ranked r USING (event_type) GROUP BY m.event_type, m.i),
+    p AS (SELECT e.event_type, e.i, any_value(e.x) AS x, any_value(e.y) AS y, any_value(e.y) - greatest(min(r.y) FILTER (r.i <= e.i AND r.i > low), min(r.y) FILTER (r.i >= e.i AND r.i < high)) AS prominence
+        FROM e JOIN ranked r USING (event_type) GROUP BY e.event_type, e.i),
+    f AS (SELECT *, y - prominence / 2 AS level, row_number() OVER (PARTITION BY event_type ORDER BY prominence DESC, x) AS o FROM p),
+    j AS (SELECT f.event_type, f.i, any_value(f.x) AS x, any_value(f.y) AS height, any_value(prominence) AS prominence, any_value(level) AS level, max(r.i) FILTER (r.i < f.i AND r.y <= level) AS l, min(r.i) FILTER (r.i > f.i AND r.y <= level) AS h
+        FROM f JOIN ranked r USING (event_type) WHERE o <= 5 GROUP BY f.event_type, f.i)
+    SELECT j.event_type, j.x, {r('height')} AS height, {r('prominence')} AS prominence, {r('((h - (level - c.y) / (d.y - c.y)) - (l + (level - a.y) / (b.y - a.y))) * step')} AS fwhm FROM j JOIN s USING (event_type)
+    JOIN ranked a ON a.event_type = j.event_type AND a.i = l JOIN ranked b ON b.event_type = j.event_type AND b.i = l + 1 JOIN ranked c ON c.event_type = j.event_type AND c.i = h JOIN ranked d ON d.event_type = j.event_type AND d.i = h - 1""")
+def prominent_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.prominent_peaks(daily(spark, sf_dir), 5, ("event_type",)))
+
+
+@query(f"""WITH {DAILY}, g AS (SELECT *, exp(-0.5 * ((x - 12) / 5) ** 2) AS g FROM daily), a AS (SELECT *, 0.5 * (x - lag(x) OVER w) * (g + lag(g) OVER w) AS t FROM g WINDOW w AS (PARTITION BY event_type ORDER BY x))
+    SELECT event_type, x, {r('g / sum(t) OVER (PARTITION BY event_type)')} AS profile FROM a""")
+def unit_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.unit_gaussian(daily(spark, sf_dir), 5.0, 12.0, ("event_type",)).select("event_type", "x", "profile"))
+
+
+MOTORS = """motors AS (SELECT l_quantity AS mu, 2 * l_quantity + 1 AS encoder, l_discount AS phi, 100 * l_discount AS steps, l_tax AS chi, 7e0 AS energy, l_tax * 1e-6 AS drift FROM lineitem)"""
+
+
+def motor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with motors, an encoder, a unit of steps, a fixed energy and a drift."""
+    return t(spark, sf_dir, "lineitem").selectExpr(
+        "l_quantity AS mu", "2 * l_quantity + 1 AS encoder", "l_discount AS phi", "100 * l_discount AS steps", "l_tax AS chi", "7d AS energy", "l_tax * 1e-6 AS drift"
+    )
+
+
+@query(f"""WITH {MOTORS}, u AS (UNPIVOT motors ON mu, phi, chi, energy, drift INTO NAME motor VALUE v) SELECT motor, min(v) AS low, max(v) AS high FROM u GROUP BY motor
+    HAVING max(v) - min(v) > CASE motor WHEN 'phi' THEN 0.5 ELSE 1e-6 END""")
+def moving_motors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.moving(motor_rows(spark, sf_dir), {"mu": 0.0, "phi": 0.5, "chi": 0.0, "energy": 0.0, "drift": 0.0})
+
+
+@query(f"""WITH {MOTORS}, c AS (SELECT count(DISTINCT mu) AS a, count(DISTINCT encoder) AS b, count(DISTINCT (mu, encoder)) AS ab, count(DISTINCT phi) AS p, count(DISTINCT steps) AS s, count(DISTINCT (phi, steps)) AS ps FROM motors)
+    SELECT unnest(['mu', 'encoder', 'phi', 'steps', 'chi']) AS motor, unnest(['mu', CASE WHEN a = ab AND b = ab THEN 'mu' ELSE 'encoder' END, 'phi', CASE WHEN p = ps AND s = ps THEN 'phi' ELSE 'steps' END, 'chi']) AS leader FROM c""")
+def lockstep_motors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.lockstep(motor_rows(spark, sf_dir), ("mu", "encoder", "phi", "steps", "chi"))
+
+
+@query(f"""WITH {CELLS} SELECT vec_id, x, {r('avg(v)')} AS v FROM cells WHERE y >= 1 AND y < 6 AND x >= 2 GROUP BY vec_id, x""")
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(imaging.profile(pixels(spark, sf_dir), "v", "x", (1, 6, 2, 8), "mean", ("vec_id",)))
+
+
+@query(f"""WITH {CELLS}, s AS (SELECT CAST(k AS INTEGER) AS point, k / 9e0 * sqrt(5.5e0 ** 2 + 5 ** 2) AS distance, least(greatest(1 + k / 9e0 * 5 + o * 5.5e0 / sqrt(5.5e0 ** 2 + 5 ** 2), 0), 7) AS ys,
+    least(greatest(0.5e0 + k / 9e0 * 5.5e0 - o * 5 / sqrt(5.5e0 ** 2 + 5 ** 2), 0), 7) AS xs FROM range(10) a(k), range(-1, 2) b(o))
+    SELECT vec_id, point, {r('distance')} AS distance, {r('sum(v * (1 - abs(ys - y)) * (1 - abs(xs - x))) / 3')} AS v FROM cells JOIN s ON abs(ys - y) < 1 AND abs(xs - x) < 1 GROUP BY vec_id, point, distance""")
+def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(imaging.line_profile(pixels(spark, sf_dir), "v", (1.0, 0.5), (6.0, 6.0), 8, 8, 3, 10, ("vec_id",)))
+
+
+@query(f"""WITH {CELLS}, m AS (SELECT vec_id, avg(w) AS m FROM cells WHERE y >= 1 AND y < 5 AND x >= 2 AND x < 8 GROUP BY vec_id) SELECT vec_id, y, x, {r('w / m')} AS v FROM cells JOIN m USING (vec_id)""")
+def normalize_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(processing.normalize_box(pixels(spark, sf_dir, True), (1, 5, 2, 8), "vec_id").select("vec_id", "y", "x", "v"))
+
+
+@query(f"""WITH e(i, e, m) AS (VALUES (1, 5000e0, 140e0), (2, 7112e0, 53e0), (3, 7112e0, 407e0), (4, 20000e0, 25.7e0), (5, 30000e0, 8.2e0)), p AS (SELECT p_partkey, (p_size + 1) * 1e3 AS u FROM part),
+    n AS (SELECT p_partkey, u, count(*) FILTER (e <= u) AS k FROM p, e GROUP BY ALL), v AS (SELECT p_partkey, CASE WHEN k = 0 THEN 140e0 WHEN k = 5 THEN 8.2e0 ELSE exp(ln(a.m) + ln(u / a.e) / ln(b.e / a.e) * ln(b.m / a.m)) END AS mass
+        FROM n LEFT JOIN e a ON a.i = k LEFT JOIN e b ON b.i = k + 1)
+    SELECT p_partkey, {r('mass')} AS mass, {r('1e4 / (mass * 7.874e0)')} AS length FROM v""")
+def attenuation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = [(5000.0, 140.0), (7112.0, 53.0), (7112.0, 407.0), (20000.0, 25.7), (30000.0, 8.2)]
+    e = F.col("p_size").cast("double") + 1
+    return rounded(t(spark, sf_dir, "part").select("p_partkey", physics.mass_attenuation(e, entries).alias("mass"), physics.attenuation_length(e, entries, 7.874).alias("length")))
+
+
+@query(f"""WITH g AS (SELECT k, 2 * sqrt(2 * ln(2e0)) AS f FROM range(21) t(k)), e AS (SELECT 12 + (k - 10) / 10e0 * 3 * 0.5e0 / f AS energy, exp(-0.5 * ((k - 10) / 10e0 * 3) ** 2) * CASE WHEN k IN (0, 20) THEN 0.5e0 ELSE 1e0 END AS w FROM g)
+    SELECT {r('energy')} AS energy, {r('w / sum(w) OVER ()')} AS weight FROM e""")
+def energy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(physics.energy_grid(spark, 12.0, 0.5))
+
+
+@query(f"""SELECT p_partkey, {r('p_size ** 0.3e0')} AS first, {r('p_size ** 0.7e0')} AS second FROM part""")
+def magnification_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = crystal.mag_split(F.col("p_size").cast("double"), 0.3)
+    return rounded(t(spark, sf_dir, "part").select("p_partkey", first.alias("first"), second.alias("second")))
