@@ -7,7 +7,7 @@ Gauss-Newton iteration over the whole batch, so Python runs per batch and not pe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,33 +50,180 @@ def _start(shape: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([top, np.minimum(width, span / 2), high - low, low], axis=1)
 
 
-def fit_batch(x: np.ndarray, y: np.ndarray, shape: str = "gaussian", iterations: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters, R² and success of all curves ``y`` (curves by points) on the same ``x``."""
-    p = _start(shape, x, y)
-    span = x[-1] - x[0]
-    low = np.array([x[0] - 0.1 * span, 1e-6 * span, -np.inf, -np.inf])
-    high = np.array([x[-1] + 0.1 * span, 5 * span, np.inf, np.inf])
+def _least_squares(
+    model: Callable[[np.ndarray], np.ndarray], y: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, free: list[int], iterations: int, weights: np.ndarray | float = 1.0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, weighted cost and normal matrices of the ``free`` ones, for all curves at once."""
+    p = p.copy()
     damping = np.full(len(y), 1e-3)
-    cost = ((y - _model(shape, x, p)) ** 2).sum(axis=1)
-    for _ in range(iterations):
-        base = _model(shape, x, p)
+    cost = ((weights * (y - model(p))) ** 2).sum(axis=1)
+    at = np.arange(p.shape[1])
+
+    def linearised() -> tuple[np.ndarray, np.ndarray]:
+        base = model(p)
         step = math.sqrt(np.finfo(float).eps) * np.maximum(1.0, np.abs(p))
-        slopes = np.stack([(_model(shape, x, p + step * (np.arange(4) == k)) - base) / step[:, k, None] for k in range(4)], axis=2)
-        normal = np.einsum("nik,nil->nkl", slopes, slopes)
-        right = np.einsum("nik,ni->nk", slopes, y - base)
+        slopes = np.stack([weights * (model(p + step * (at == k)) - base) / step[:, k, None] for k in free], axis=2)
+        return np.einsum("nik,nil->nkl", slopes, slopes), np.einsum("nik,ni->nk", slopes, weights * (y - base))
+
+    for _ in range(iterations):
+        normal, right = linearised()
         scale = np.maximum(np.einsum("nkk->nk", normal), 1e-12)
-        move = np.linalg.solve(normal + damping[:, None, None] * np.eye(4) * scale[:, None, :], right[..., None])[..., 0]
-        new = np.clip(p + move, low, high)
-        trial = ((y - _model(shape, x, new)) ** 2).sum(axis=1)
+        move = np.linalg.solve(normal + damping[:, None, None] * np.eye(len(free)) * scale[:, None, :], right[..., None])[..., 0]
+        new = p.copy()
+        new[:, free] = np.clip(p[:, free] + move, low[..., free], high[..., free])
+        trial = ((weights * (y - model(new))) ** 2).sum(axis=1)
         better = trial < cost
         settled = np.abs(new - p).max(axis=1) <= 1e-10 * (1 + np.abs(p).max(axis=1))
         p[better], cost[better] = new[better], trial[better]
         damping = np.where(better, np.maximum(damping / 3, 1e-12), np.minimum(damping * 4, 1e12))
         if (settled | ~better & (damping > 1e10)).all():
             break
+    return p, cost, linearised()[0]
+
+
+def fit_batch(x: np.ndarray, y: np.ndarray, shape: str = "gaussian", iterations: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, R² and success of all curves ``y`` (curves by points) on the same ``x``."""
+    span = x[-1] - x[0]
+    low = np.array([x[0] - 0.1 * span, 1e-6 * span, -np.inf, -np.inf])
+    high = np.array([x[-1] + 0.1 * span, 5 * span, np.inf, np.inf])
+    p, cost, _ = _least_squares(lambda p: _model(shape, x, p), y, _start(shape, x, y), low, high, [0, 1, 2, 3], iterations)
+    return p, _r2(y, cost), np.isfinite(p).all(axis=1)
+
+
+def _r2(y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     around = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
-    r2 = 1 - cost / np.where(around > 0, around, np.nan)
-    return p, r2, np.isfinite(p).all(axis=1)
+    return 1 - cost / np.where(around > 0, around, np.nan)
+
+
+#: Parameters of each peak shape after centre, full width at half height, and height.
+SHAPES: dict[str, tuple[str, ...]] = {"gaussian": (), "lorentzian": (), "pseudo_voigt": ("eta",), "pearson7": ("m",), "step": ()}
+BACKGROUNDS = {"none": 0, "constant": 1, "linear": 2, "quadratic": 3}
+_LN16 = 4 * math.log(2)
+
+
+def _peak(shape: str, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """One peak for each row of ``p``: centre, full width, height and what the shape has besides."""
+    u = (x[None, :] - p[:, :1]) / p[:, 1:2]
+    height, extra = p[:, 2:3], p[:, 3:4]
+    if shape == "gaussian":
+        return height * np.exp(-_LN16 * u * u)
+    if shape == "lorentzian":
+        return height / (1 + 4 * u * u)
+    if shape == "pseudo_voigt":
+        return height * (extra / (1 + 4 * u * u) + (1 - extra) * np.exp(-_LN16 * u * u))
+    if shape == "pearson7":
+        return height * (1 + 4 * (2 ** (1 / extra) - 1) * u * u) ** -extra
+    return 0.5 * height * (1 + _erf(u * math.sqrt(_LN16)))
+
+
+class Model:
+    """A sum of peaks on a polynomial background about the middle of x; parameters of peak i are named ``p{i}_...``."""
+
+    def __init__(self, shapes: tuple[str, ...], background: str, x: np.ndarray) -> None:
+        if unknown := {*shapes} - {*SHAPES} | {background} - {*BACKGROUNDS}:
+            raise ValueError(f"unknown shapes or backgrounds {sorted(unknown)}")
+        self.shapes, self.x, self.terms = shapes, x, BACKGROUNDS[background]
+        self.names: list[str] = []
+        self.slices = []
+        for i, shape in enumerate(shapes):
+            own = ("centre", "fwhm", "height", *SHAPES[shape])
+            self.slices.append(slice(len(self.names), len(self.names) + len(own)))
+            self.names += [f"p{i}_{name}" for name in own]
+        self.names += [f"c{k}" for k in range(self.terms)]
+
+    def background(self, p: np.ndarray) -> np.ndarray:
+        powers = np.vander(self.x - self.x.mean(), self.terms, increasing=True)
+        return p[:, len(self.names) - self.terms :] @ powers.T
+
+    def __call__(self, p: np.ndarray) -> np.ndarray:
+        return self.background(p) + sum(_peak(shape, self.x, p[:, own]) for shape, own in zip(self.shapes, self.slices, strict=True))
+
+    def start(self, y: np.ndarray) -> np.ndarray:
+        """The ends' straight line, then one peak after another at the highest rest, as wide as the rest stays above half of it."""
+        x, n = self.x, len(self.x)
+        p = np.zeros((len(y), len(self.names)))
+        edge = max(n // 10, 1)
+        first, last = y[:, :edge].mean(axis=1), y[:, -edge:].mean(axis=1)
+        if self.terms:
+            p[:, len(self.names) - self.terms] = y.min(axis=1) if self.terms == 1 else (first + last) / 2
+        if self.terms > 1:
+            p[:, len(self.names) - self.terms + 1] = (last - first) / (x[-1] - x[0])
+        rest = y - self.background(p)
+        at = np.arange(n)[None, :]
+        for shape, own in zip(self.shapes, self.slices, strict=True):
+            if shape == "step":
+                rise = rest[:, -edge:].mean(axis=1) - rest[:, :edge].mean(axis=1)
+                middle = np.abs(rest - (rest.min(axis=1) + rest.max(axis=1))[:, None] / 2).argmin(axis=1)
+                values = [x[middle], np.full(len(y), (x[-1] - x[0]) / 10), rise]
+            else:
+                top = rest.argmax(axis=1)
+                high = rest[np.arange(len(y)), top]
+                below = rest < high[:, None] / 2
+                left = np.where(below & (at < top[:, None]), at, 0).max(axis=1)
+                right = np.where(below & (at > top[:, None]), at, n - 1).min(axis=1)
+                values = [x[top], np.maximum(x[right] - x[left], (x[-1] - x[0]) / n), high]
+            p[:, own] = np.stack([*values, *[np.full(len(y), {"eta": 0.5, "m": 2.0}[e]) for e in SHAPES[shape]]], axis=1)
+            rest = rest - _peak(shape, x, p[:, own])
+        return p
+
+    def limits(self) -> tuple[np.ndarray, np.ndarray]:
+        span = self.x[-1] - self.x[0]
+        near = {"centre": (self.x[0] - 0.1 * span, self.x[-1] + 0.1 * span), "fwhm": (1e-6 * span, 5 * span), "eta": (0.0, 1.0), "m": (0.5, 100.0)}
+        pairs = [near.get(name.partition("_")[2], (-np.inf, np.inf)) for name in self.names]
+        return np.array([low for low, _ in pairs]), np.array([high for _, high in pairs])
+
+
+def fit_models(
+    curves: DataFrame, key: str, x: list[float], shapes: tuple[str, ...], background: str = "constant", fixed: dict[str, float] | None = None, y_col: str = "y", sigma_col: str | None = None, iterations: int = 100
+) -> DataFrame:
+    """``key``, each parameter and its standard error ``{name}_err``, ``r2, success``, of sums of peaks fitted to arrays on the common ``x``.
+
+    ``fixed`` parameters keep their value and have the error zero. Peaks of one shape come by their centres. Errors are scaled
+    by the rest's variance; with ``sigma_col``, arrays of uncertainties, points weigh by them. Curves with missing values, of
+    another length, or with fewer points than parameters give success false and nulls.
+    """
+    grid = np.asarray(x, dtype=float)
+    model = Model(tuple(shapes), background, grid)
+    held = fixed or {}
+    free = [k for k, name in enumerate(model.names) if name not in held]
+    errors = [f"{name}_err" for name in model.names]
+    kind = curves.schema[key].dataType.simpleString()
+    values = [y_col, *([sigma_col] if sigma_col else [])]
+
+    def usable(v: object) -> bool:
+        return v is not None and len(v) == len(grid) > len(free) and all(e is not None and math.isfinite(e) for e in v)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high = model.limits()
+        for batch in batches:
+            out = pd.DataFrame({key: batch[key], **dict.fromkeys((*model.names, *errors, "r2"), np.nan), "success": False})
+            whole = batch[values].map(usable).all(axis=1)
+            if whole.any():
+                y = np.stack([np.asarray(v, dtype=float) for v in batch.loc[whole, y_col]])
+                weights = 1 / np.maximum(np.stack([np.asarray(v, dtype=float) for v in batch.loc[whole, sigma_col]]), 1e-300) if sigma_col else 1.0
+                start = model.start(y)
+                for name, value in held.items():
+                    start[:, model.names.index(name)] = value
+                p, cost, normal = _least_squares(model, y, start, low, high, free, iterations, weights)
+                spread = np.zeros_like(p)
+                variance = np.einsum("nkk->nk", np.linalg.pinv(normal, hermitian=True)) * (cost / (len(grid) - len(free)))[:, None]
+                spread[:, free] = np.sqrt(np.maximum(variance, 0))
+                for shape in {*model.shapes}:
+                    own = [s for n, s in zip(model.shapes, model.slices, strict=True) if n == shape]
+                    if not any(name.partition("_")[0] == f"p{i}" for name in held for i in range(len(model.shapes))):
+                        order = np.argsort(np.stack([p[:, s.start] for s in own], axis=1), axis=1)
+                        for table in (p, spread):
+                            each = np.stack([table[:, s] for s in own], axis=1)
+                            for i, s in enumerate(own):
+                                table[:, s] = each[np.arange(len(p)), order[:, i]]
+                out.loc[whole, model.names], out.loc[whole, errors] = p, spread
+                out.loc[whole, "r2"] = _r2(y, ((y - model(p)) ** 2).sum(axis=1))
+                out.loc[whole, "success"] = np.isfinite(p).all(axis=1)
+            yield out
+
+    columns = [*model.names, *errors, "r2"]
+    fitted = curves.select(key, *values).mapInPandas(run, ", ".join([f"`{key}` {kind}", *[f"{c} double" for c in columns], "success boolean"]))
+    return fitted.select(key, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns], "success")
 
 
 def fit_peaks(curves: DataFrame, key: str, x: list[float], y_col: str = "y", shape: str = "gaussian") -> DataFrame:

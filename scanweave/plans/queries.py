@@ -7,6 +7,7 @@ table of scans and ``lineitem`` as cells on a grid.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -963,3 +964,33 @@ def energy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def magnification_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = crystal.mag_split(F.col("p_size").cast("double"), 0.3)
     return rounded(t(spark, sf_dir, "part").select("p_partkey", first.alias("first"), second.alias("second")))
+
+
+def two_peaks(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
+    """For each part the curve of two peaks on a sloping line at x = 0, 0.5, ... 40, with parameters from the part's size and key."""
+    size, key = F.col("p_size") / 50.0, (F.col("p_partkey") % 20) / 20.0
+
+    def peak(centre, width, height):
+        return lambda x: height * (F.exp(-4 * math.log(2) * F.pow((x - centre) / width, F.lit(2))) if shape == "gaussian" else 1 / (1 + 4 * F.pow((x - centre) / width, F.lit(2))))
+
+    a, b = peak(10 + 2 * size, 3 + key, 50 + 10 * size), peak(26 + 2 * key, 4 + size, 30 + 10 * key)
+    x = F.sequence(F.lit(0), F.lit(80))
+    y = F.transform(x, lambda i: a(i / 2.0) + b(i / 2.0) + 5 + 0.1 * (i / 2.0 - 20))
+    return t(spark, sf_dir, "part").select("p_partkey", y.alias("y"))
+
+
+TWO_PEAKS = """WITH p AS (SELECT p_partkey, p_size / 50e0 AS s, (p_partkey % 20) / 20e0 AS k FROM part)
+    SELECT p_partkey, round(10 + 2 * s, 3) AS p0_centre, round(3 + k, 3) AS p0_fwhm, round(50 + 10 * s, 3) AS p0_height, round(26 + 2 * k, 3) AS p1_centre, round(4 + s, 3) AS p1_fwhm, round(30 + 10 * k, 3) AS p1_height,
+    5e0 AS c0, 0.1e0 AS c1, true AS success FROM p"""
+
+
+@query(TWO_PEAKS)
+def fit_two_gaussians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = fitting.fit_models(two_peaks(spark, sf_dir, "gaussian"), "p_partkey", [i / 2 for i in range(81)], ("gaussian", "gaussian"), "linear")
+    return rounded(fitted.select([c for c in fitted.columns if not c.endswith("_err") and c != "r2"]), 3)
+
+
+@query(TWO_PEAKS)
+def fit_two_lorentzians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = fitting.fit_models(two_peaks(spark, sf_dir, "lorentzian"), "p_partkey", [i / 2 for i in range(81)], ("lorentzian", "lorentzian"), "linear")
+    return rounded(fitted.select([c for c in fitted.columns if not c.endswith("_err") and c != "r2"]), 3)
