@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanweave.llm import bpe, chat, decontaminate, licenses, lines, quality, simhash, suffixes, tiff, toxicity
+from scanweave.llm import bpe, chat, decontaminate, infill, licenses, lines, quality, simhash, suffixes, tiff, token_counts, toxicity, variants
 from scanweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,10 +79,29 @@ def op7_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_ngrams", "log_weight", "gumbel_key")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes and tokens, and whether these exceed 4096."""
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines with the middle ones moved to the end, and digests of that and of the text rebuilt from it."""
+    return infill.digests(infill.transformed(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the documents, misspellings planted among them, with their near words and the form they are variants of."""
+    occurring = variants.thinned(variants.occurrences(table(spark, sf_dir, "documents")))
+    return variants.spelling_variants(variants.counts(occurring))
+
+
 def queries() -> dict[str, Query]:
     own = [
         op1_line_dedup, op2_bpe, op3_tiff_media, op4_simhash_near_dedup, op5_decontaminate, op6_suffix_dedup,
-        op7_quality_resample, op8_toxicity, op9_chat_format, op10_license_scan,
+        op7_quality_resample, op8_toxicity, op9_chat_format, op10_license_scan, op11_token_counts, op12_infill,
+        op13_spelling_variants,
     ]
     import corpus_pipeline
 
@@ -90,4 +109,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op9_chat_format": chat.ORACLE}
+    return {
+        "op1_line_dedup": lines.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op9_chat_format": chat.ORACLE,
+        "op12_infill": infill.ORACLE, "op13_spelling_variants": variants.ORACLE,
+    }
