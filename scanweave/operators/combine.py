@@ -60,7 +60,7 @@ def stack_grid(values: DataFrame, outer: DataFrame, inner: DataFrame, on: tuple[
 
 def mosaic(tiles: DataFrame, offsets: DataFrame, tile: str, how: str = "mean") -> DataFrame:
     """Tiles ``(tile, y, x, v)`` at their row and column offsets in one image; overlaps by mean, maximum or sum."""
-    placed = tiles.join(F.broadcast(offsets.select(tile, "dy", "dx")), tile)
+    placed = tiles.join(offsets.select(tile, "dy", "dx"), tile)
     at = placed.select((V("y") + V("dy")).alias("y"), (V("x") + V("dx")).alias("x"), "v")
     return at.groupBy("y", "x").agg({"mean": F.avg, "max": F.max, "sum": F.sum}[how]("v").alias("v"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.operators import clusters, grids
-from scanweave.plans.queries import query, r, rounded, t
+from scanweave import model
+from scanweave.operators import clusters, grids, powder, registration, spots, stitching
+from scanweave.plans.queries import DAILY, IMAGE, daily, images, pixels, query, r, rounded, t
 
 V = F.col
 
@@ -113,3 +114,216 @@ def grid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dbscan_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of the parts by price and size, both standardised."""
     return clusters.dbscan(t(spark, sf_dir, "part"), "p_partkey", "p_retailprice", "p_size", eps=0.08, min_samples=4)
+
+
+# Stitching
+
+
+CURVES = f"""{DAILY}, ranked AS (SELECT event_type, x, y, dense_rank() OVER (ORDER BY event_type) - 1 AS k FROM daily),
+    c AS (SELECT k % 2 AS series, k, x + 20 * k AS x, y * (k + 1) AS y, sqrt(abs(y)) AS sigma FROM ranked UNION ALL
+        SELECT 2, k, x + 20 * k + 0.25, y / (k + 2), sqrt(abs(y)) FROM ranked),
+    ends AS (SELECT series, k, min(x) AS first, max(x) AS last FROM c GROUP BY ALL)"""
+SHIFTED = f"""{CURVES},
+    links AS (SELECT b.series, b.k, arg_max(a.k, a.last) AS ref, max(a.last) AS reach FROM ends b JOIN ends a ON a.series = b.series AND a.first < b.first GROUP BY ALL),
+    near AS (SELECT l.series, l.k, p.x, p.y, max(q.x) FILTER (q.x <= p.x) AS xa, min(q.x) FILTER (q.x >= p.x) AS xb, l.ref FROM links l
+        JOIN c p ON p.series = l.series AND p.k = l.k AND p.x <= l.reach JOIN c q ON q.series = l.series AND q.k = l.ref GROUP BY ALL),
+    ratios AS (SELECT n.series, n.k, n.ref, avg(CASE WHEN n.xa = n.xb THEN a.y ELSE a.y + (n.x - n.xa) / (n.xb - n.xa) * (b.y - a.y) END) / avg(n.y) AS ratio
+        FROM near n JOIN c a ON a.series = n.series AND a.k = n.ref AND a.x = n.xa JOIN c b ON b.series = n.series AND b.k = n.ref AND b.x = n.xb
+        GROUP BY ALL),
+    factors AS (SELECT series, k, 1.0::DOUBLE AS f FROM ends e WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.series = e.series AND l.k = e.k)
+        UNION ALL SELECT l.series, l.k, coalesce(f.f * r.ratio, 1) FROM factors f JOIN links l ON l.series = f.series AND l.ref = f.k
+        LEFT JOIN ratios r ON r.series = l.series AND r.k = l.k)"""
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily curves of all event types as scans of neighbouring ranges, in three series: two whose curves don't meet, one whose do."""
+    own = daily(spark, sf_dir)
+    kinds = own.select("event_type").distinct().select("event_type", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("event_type")) - 1).alias("k"))
+    ranked = own.join(kinds, "event_type").withColumn("sigma", F.sqrt(F.abs("y")))
+    x = V("x") + 20 * V("k")
+    apart = ranked.select((V("k") % 2).alias("series"), "k", x.alias("x"), (V("y") * (V("k") + 1)).alias("y"), "sigma")
+    return apart.unionByName(ranked.select(F.lit(2).alias("series"), "k", (x + 0.25).alias("x"), (V("y") / (V("k") + 2)).alias("y"), "sigma"))
+
+
+@query(f"WITH RECURSIVE {SHIFTED} SELECT CAST(series AS INTEGER) AS series, CAST(k AS INTEGER) AS k, {r('f', 7)} AS factor FROM factors")
+def stitch_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each curve is multiplied by, along the chain of overlaps."""
+    return rounded(stitching.curve_factors(neighbours(spark, sf_dir), "k", ("series",)).select("series", "k", "factor"), 7)
+
+
+@query(f"""WITH RECURSIVE {SHIFTED} SELECT CAST(series AS INTEGER) AS series, x, {r('avg(y * f)', 4)} AS y, {r('sqrt(sum((sigma * abs(f)) ** 2)) / count(*)', 4)} AS sigma
+    FROM c JOIN factors USING (series, k) GROUP BY series, x""")
+def stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One curve from those of all event types, overlaps averaged."""
+    return rounded(stitching.stitch(neighbours(spark, sf_dir), "k", ("series",)), 4)
+
+
+@query(f"""WITH RECURSIVE {SHIFTED} SELECT CAST(series AS INTEGER) AS series, x, {r('y * f', 4)} AS y, {r('sigma * abs(f)', 4)} AS sigma FROM c JOIN factors USING (series, k)
+    LEFT JOIN links USING (series, k) WHERE reach IS NULL OR x > reach""")
+def stitch_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stitching.stitch(neighbours(spark, sf_dir), "k", ("series",), overlap="first"), 4)
+
+
+@query(f"""WITH {CURVES}
+    SELECT CAST(c.series AS INTEGER) AS series, c.x, {r('y')} AS y, {r('sigma')} AS sigma FROM c
+    WHERE NOT EXISTS (SELECT 1 FROM ends e JOIN ends o ON o.series = e.series AND o.k = c.k WHERE e.series = c.series AND e.first > o.first AND e.first <= c.x)""")
+def stitch_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where curves overlap, the later one's points, unscaled."""
+    return rounded(stitching.stitch(neighbours(spark, sf_dir), "k", ("series",), scale=False, overlap="last"))
+
+
+VOLUMES = """volumes AS (SELECT CAST(vec_id % 5 AS INTEGER) AS scan, vec_id // 5 AS i, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x, v FROM
+    (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS p FROM embeddings)),
+    placed AS (SELECT scan, i + scan * 37 AS i, y, x, v FROM volumes)"""
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Five scans of frames, and where each begins."""
+    own = pixels(spark, sf_dir).select((V("vec_id") % 5).cast("int").alias("scan"), F.floor(V("vec_id") / 5).alias("i"), "y", "x", "v")
+    offsets = own.select("scan").distinct().withColumn("offset", V("scan").cast("long") * 37)
+    return own, offsets
+
+
+@query(f"WITH {VOLUMES} SELECT i, y, x, {r('avg(v)')} AS v FROM placed GROUP BY ALL")
+def stitch_frames_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stitching.stitch_along_axis(*volumes(spark, sf_dir), "scan", "i", "mean"))
+
+
+@query(f"WITH {VOLUMES} SELECT i, y, x, max(v) AS v FROM placed GROUP BY ALL")
+def stitch_frames_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stitching.stitch_along_axis(*volumes(spark, sf_dir), "scan", "i", "max")
+
+
+@query(f"""WITH {VOLUMES}, totals AS (SELECT scan, i, sum(v) AS total FROM placed GROUP BY ALL), best AS (SELECT i, arg_max(scan, total) AS scan FROM totals GROUP BY i)
+    SELECT i, y, x, v FROM placed JOIN best USING (scan, i)""")
+def stitch_frames_brightest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At each place the frame of the scan that is brightest there."""
+    return stitching.stitch_along_axis(*volumes(spark, sf_dir), "scan", "i", "brightest")
+
+
+AXIS = """points AS (SELECT CAST(l_suppkey AS BIGINT) AS scan, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS i FROM lineitem),
+    axis AS (SELECT scan, i, 5 + 0.25 * ((scan * 7 + 3) % 11 + i) AS a FROM points)"""
+
+
+@query(f"""WITH {AXIS}, s AS (SELECT scan, min_by(a, i) AS start FROM axis GROUP BY scan), f AS (SELECT start AS origin FROM s ORDER BY scan LIMIT 1),
+    o AS (SELECT scan, CAST(round_even((start - origin) / 0.25, 0) AS BIGINT) AS k FROM s, f) SELECT scan, k - min(k) OVER () AS "offset" FROM o""")
+def overlap_by_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each supplier's scan begins on the first one's axis."""
+    order = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice"))
+    own = t(spark, sf_dir, "lineitem").select(V("l_suppkey").cast("long").alias("scan"), order.alias("i"))
+    axis = own.withColumn("a", 5 + 0.25 * ((V("scan") * 7 + 3) % 11 + V("i")))
+    return stitching.overlap_by_axis(axis, "scan", "i", "a", tolerance=0.01)
+
+
+# Registration
+
+
+SCORES = """own AS (SELECT label, vec_id, [CAST(v AS DOUBLE) FOR v IN embedding] AS p, min(vec_id) OVER (PARTITION BY label) AS first,
+        lag([CAST(v AS DOUBLE) FOR v IN embedding]) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings),
+    pairs AS (SELECT a.label, a.vec_id, a.p, {against} AS q FROM own a JOIN own f ON f.label = a.label AND f.vec_id = a.first WHERE a.vec_id <> a.first),
+    scores AS (SELECT label, vec_id, dy, dx, list_sum([q[i + 1] * p[((i // 8 - dy + 8) % 8) * 8 + (i % 8 - dx + 8) % 8 + 1] FOR i IN range(64)]) AS score
+        FROM pairs, (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx)),
+    found AS (SELECT label, vec_id, arg_max(dy, score) AS dy, arg_max(dx, score) AS dx FROM scores GROUP BY ALL)"""
+
+
+def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "embeddings").select("label", "vec_id", V("embedding").cast("array<double>").alias("pixels"))
+
+
+@query(f"""WITH {SCORES.format(against='f.p')} SELECT own.label, own.vec_id, CAST(coalesce(dy, 0) AS INTEGER) AS dy, CAST(coalesce(dx, 0) AS INTEGER) AS dx
+    FROM own LEFT JOIN found USING (label, vec_id)""")
+def stack_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shift that moves each frame onto the first of its label, of at most three pixels."""
+    return registration.stack_shifts(stacks(spark, sf_dir), "vec_id", ("label",), 8, 8, 3)
+
+
+@query(f"""WITH {SCORES.format(against='a.before')} SELECT own.label, own.vec_id, CAST(coalesce(sum(dy) OVER w, 0) AS INTEGER) AS dy, CAST(coalesce(sum(dx) OVER w, 0) AS INTEGER) AS dx
+    FROM own LEFT JOIN found USING (label, vec_id) WINDOW w AS (PARTITION BY own.label ORDER BY own.vec_id)""")
+def stack_shifts_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shifts against the frame before, added up."""
+    return registration.stack_shifts(stacks(spark, sf_dir), "vec_id", ("label",), 8, 8, 3, chained=True)
+
+
+@query(f"""WITH {SCORES.format(against='f.p')}, whole AS (SELECT own.vec_id, own.p, coalesce(dy, 0) AS dy, coalesce(dx, 0) AS dx, unnest(range(64)) AS i
+        FROM own LEFT JOIN found USING (label, vec_id))
+    SELECT vec_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x,
+        CASE WHEN i // 8 - dy BETWEEN 0 AND 7 AND i % 8 - dx BETWEEN 0 AND 7 THEN p[(i // 8 - dy) * 8 + i % 8 - dx + 1] ELSE 0 END AS v FROM whole""")
+def align_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames moved onto the first of their label."""
+    return registration.unpacked(registration.align_stack(stacks(spark, sf_dir), "vec_id", ("label",), 8, 8, 3), ("vec_id",), 8)
+
+
+@query(f"""WITH own AS (SELECT vec_id, [CAST(v AS DOUBLE) FOR v IN embedding] AS p, unnest(range(64)) AS i FROM embeddings),
+    shifted AS MATERIALIZED (SELECT vec_id, p, i, i // 8 - 1.25 AS sy, i % 8 + 0.5 AS sx, CAST(floor(i // 8 - 1.25) AS INTEGER) AS y, i % 8 AS x FROM own)
+    SELECT vec_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, {r('CASE WHEN sy >= 0 AND sx <= 7 THEN 0.25 * (0.5 * p[y * 8 + x + 1] + 0.5 * p[y * 8 + x + 2]) + 0.75 * (0.5 * p[y * 8 + x + 9] + 0.5 * p[y * 8 + x + 10]) END')} AS v
+    FROM shifted""")
+def shift_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame moved down by one and a quarter pixels and left by half of one; null where that uncovers."""
+    out = registration.shift_frames(stacks(spark, sf_dir), 8, 8, 1.25, -0.5)
+    return rounded(registration.unpacked(out, ("vec_id",), 8))
+
+
+@query(f"""WITH scene AS (SELECT (max(vec_id) + 1) // 25 * 8 AS h FROM embeddings), tiles AS (SELECT unnest(range((h - 44) // 32 + 1)) AS row FROM scene),
+    p AS (SELECT CAST(row * 5 + col AS INTEGER) AS tile, row * 32 + 2 AS y0, col * 32 + 2 AS x0, (row * 5 + col) * 7 % 5 - 2 AS dy, (row * 5 + col) * 11 % 13 % 5 - 2 AS dx
+        FROM tiles, (SELECT unnest(range(5)) AS col))
+    SELECT tile, {r('y0 + dy - avg(dy) OVER ()')} AS y0, {r('x0 + dx - avg(dx) OVER ()')} AS x0 FROM p""")
+def mosaic_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles cut from one scene a pixel or two beside the stage's positions; their overlaps tell where they were."""
+    vectors = t(spark, sf_dir, "embeddings")
+    at = V("vec_id")
+    scene = model.cells(vectors, "embedding", 8, ("vec_id",)).select((F.floor(at / 25) * 8 + V("y")).alias("sy"), (at % 25 * 8 + V("x")).alias("sx"), "v")
+    height = vectors.agg(((F.floor((F.max("vec_id") + 1) / 25) * 8 - 44) / 32).cast("int").alias("last"))
+    rows = height.select(F.explode(F.sequence(F.lit(0), V("last"))).alias("row"))
+    stage = rows.select("row", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("col")).withColumn("tile", V("row") * 5 + V("col"))
+    stage = registration.grid_positions(stage, "row", "col", 32, 32).select(F.lit(0).alias("mosaic"), "tile", (V("y0") + 2).alias("y0"), (V("x0") + 2).alias("x0"))
+    cut = stage.select("mosaic", "tile", (V("y0") + V("tile") * 7 % 5 - 2).alias("ty"), (V("x0") + V("tile") * 11 % 13 % 5 - 2).alias("tx"))
+    grid = cut.select("*", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("x"))
+    cells = grid.withColumns({"sy": V("ty").cast("long") + V("y"), "sx": V("tx").cast("long") + V("x")}).join(scene, ["sy", "sx"])
+    tiles = registration.packed(cells.select("mosaic", "tile", "y", "x", "v"), ("mosaic", "tile"), 40)
+    return rounded(registration.refined_positions(tiles, stage, "mosaic", "tile", 40, 40, 4).select("tile", "y0", "x0"))
+
+
+# Tilted detectors and spots
+
+
+TILTED = powder.TiltedGeometry(100.0, 3.2, 3.7, 5000.0, 10.0, tilt_deg=12.0, tilt_plane_deg=30.0)
+TILT = """turn AS (SELECT radians(12e0) AS t, cos(radians(30e0)) AS ux, sin(radians(30e0)) AS uy),
+    plane AS (SELECT label, v, (y - 3.2e0) * 5e0 AS py, (x - 3.7e0) * 5e0 AS px, t, ux, uy FROM image, turn),
+    lab AS (SELECT label, v, px * (cos(t) + (1 - cos(t)) * ux * ux) + py * (1 - cos(t)) * ux * uy AS lx, px * (1 - cos(t)) * ux * uy + py * (cos(t) + (1 - cos(t)) * uy * uy) AS ly,
+        100 + sin(t) * (py * ux - px * uy) AS lz, sin(t) * uy AS nx, -sin(t) * ux AS ny, cos(t) AS nz FROM plane),
+    seen AS (SELECT label, v, lz / sqrt(lx * lx + ly * ly + lz * lz) AS cos_tt, atan2(ly, lx) AS chi,
+        abs(lx * nx + ly * ny + lz * nz) / sqrt(lx * lx + ly * ly + lz * lz) * 1e4 / (lx * lx + ly * ly + lz * lz) AS solid FROM lab)"""
+WAVELENGTH = "(12.398419843320026 / 10e0)"
+
+
+@query(f"""WITH {IMAGE}, {TILT}, c AS (SELECT label, v, 4 * pi() * sin(acos(cos_tt) / 2) / {WAVELENGTH} AS q,
+        solid * 0.5 * (1 + cos_tt ** 2 - 0.95 * cos(2 * chi) * (1 - cos_tt ** 2)) AS c FROM seen),
+    e AS (SELECT min(q) AS low, (max(q) - min(q)) / 6 AS step, max(q) AS high FROM c),
+    b AS (SELECT label, v, c, CAST(least(floor((q - low) / step), 5) AS INTEGER) AS bin, low, step FROM c, e WHERE q < high)
+    SELECT label, bin, {r('any_value(low + (bin + 0.5e0) * step)')} AS x, {r('avg(v / c)')} AS intensity, {r('sqrt(sum(greatest(v, 0) / (c * c))) / count(*)')} AS sigma, count(*) AS n
+    FROM b GROUP BY label, bin""")
+def integrate_tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Powder patterns in q on a tilted detector, with polarisation."""
+    return rounded(powder.integrate(images(spark, sf_dir), TILTED, 8, 8, 6, ("label",), "q", polarization_factor=0.95))
+
+
+@query(f"""WITH {IMAGE}, {TILT}, c AS (SELECT label, v, degrees(acos(cos_tt)) AS tt, degrees(chi) AS chi, solid * 0.5 * (1 + cos_tt ** 2) AS c FROM seen),
+    b AS (SELECT label, v / c AS v, CAST(floor((tt - 1.5e0) / 2.5e0) AS INTEGER) AS bin, CAST(least(floor((chi + 180) / 45), 7) AS INTEGER) AS chi_bin FROM c WHERE tt >= 1.5 AND tt < 11.5)
+    SELECT label, chi_bin, bin, (chi_bin + 0.5e0) * 45 - 180 AS chi, 1.5e0 + (bin + 0.5e0) * 2.5e0 AS x, {r('avg(v)')} AS intensity, count(*) AS n FROM b GROUP BY label, chi_bin, bin""")
+def cake_tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images by azimuth and ring, on a tilted detector."""
+    return rounded(powder.cake(images(spark, sf_dir), TILTED, 8, 8, 4, 8, ("label",), x_range=(1.5, 11.5)))
+
+
+SPOT = {"amplitude": "5 + p_size / 10.0", "x0": "5 + p_partkey % 7 / 4.0", "y0": "4 + p_partkey % 11 / 5.0", "sigma_x": "1.2 + p_size % 5 / 8.0", "sigma_y": "0.9 + p_size % 3 / 6.0", "offset": "p_retailprice / 100.0"}
+
+
+@query(f"SELECT p_partkey, {', '.join(f'{r(e, 5)} AS {n}' for n, e in SPOT.items())}, true AS success FROM part")
+def fit_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elliptical Gaussians found again in frames that are drawn from each part's numbers."""
+    own = t(spark, sf_dir, "part").select("p_partkey", *[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in SPOT.items()])
+    value = lambda i: V("amplitude") * F.exp(
+        -0.5 * (F.pow((i % 14 - V("x0")) / V("sigma_x"), F.lit(2)) + F.pow((F.floor(i / 14) - V("y0")) / V("sigma_y"), F.lit(2)))
+    ) + V("offset")
+    drawn = own.select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(12 * 14 - 1)), value).alias("pixels"))
+    return rounded(spots.fit_stack(drawn, ("p_partkey",), 12, 14), 5)
