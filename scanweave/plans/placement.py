@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scanweave import model
 from scanweave.operators import clusters, grids, powder, registration, spots, stitching
 from scanweave.plans.queries import DAILY, IMAGE, daily, images, pixels, query, r, rounded, t
+from scanweave.sources import formats
+from scanweave.streaming import runs
 
 V = F.col
 
@@ -327,3 +329,50 @@ def fit_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     ) + V("offset")
     drawn = own.select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(12 * 14 - 1)), value).alias("pixels"))
     return rounded(spots.fit_stack(drawn, ("p_partkey",), 12, 14), 5)
+
+
+# Layouts of folders, and runs
+
+
+RULES = [
+    formats.Rule("numbered", files=("[0-9]*",)),
+    formats.Rule("dated", files=("*?page=*",), only=("*page=*", "*#*", "[0-9]*")),
+    formats.Rule("plain", only=("*",)),
+    formats.Rule("mixed", files=("*ref=?", "*#top"), around=("??",)),
+]
+ENTRIES = """whole AS (SELECT split_part(url, '//', 2) AS p FROM pages), entries AS (SELECT regexp_replace(p, '/[^/]*$', '') AS folder, regexp_extract(p, '[^/]*$') AS name, false AS is_folder FROM whole
+    UNION ALL SELECT DISTINCT split_part(p, '/', 1), split_part(p, '/', 2), true FROM whole WHERE len(string_split(p, '/')) > 2)"""
+
+
+@query(f"""WITH {ENTRIES}, f AS (SELECT folder, bool_or(regexp_full_match(name, '[0-9].*') AND NOT is_folder) AS numbered, bool_or(regexp_full_match(name, '.*.page=.*') AND NOT is_folder) AS paged,
+        bool_and(is_folder OR regexp_full_match(name, '.*page=.*|.*#.*|[0-9].*')) AS dated, bool_or(regexp_full_match(name, '.*ref=.') AND NOT is_folder) AS ref,
+        bool_or(regexp_full_match(name, '.*#top') AND NOT is_folder) AS top, bool_or(length(name) = 2) AS two FROM entries GROUP BY folder),
+    u AS (SELECT f.folder, f.numbered, f.paged, f.dated, f.ref, f.top, bool_or(p.two) AS near FROM f JOIN f p ON p.folder = f.folder OR starts_with(f.folder, p.folder || '/') GROUP BY ALL),
+    s AS (SELECT folder, unnest([{{'rule': 'numbered', 'score': numbered::INT::DOUBLE, 'specificity': 1}}, {{'rule': 'dated', 'score': (paged::INT + dated::INT) / 2, 'specificity': 4}},
+        {{'rule': 'plain', 'score': 1, 'specificity': 1}}, {{'rule': 'mixed', 'score': ((ref AND top)::INT + near::INT) / 2, 'specificity': 3}}], recursive := true) FROM u)
+    SELECT folder, rule, score, CAST(specificity AS INTEGER) AS specificity, CAST(row_number() OVER (PARTITION BY folder ORDER BY score DESC, specificity DESC, rule DESC) AS INTEGER) AS rank FROM s""")
+def match_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each web folder's score for four layouts, by the names in it and above it."""
+    return formats.scores(web_entries(spark, sf_dir), RULES)
+
+
+def web_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' addresses as files in folders, and the hosts' first folders."""
+    whole = t(spark, sf_dir, "pages").select(F.split_part("url", F.lit("//"), F.lit(2)).alias("p"))
+    files = whole.select(F.regexp_replace("p", "/[^/]*$", "").alias("folder"), F.regexp_extract("p", "[^/]*$", 0).alias("name"), F.lit(False).alias("is_folder"))
+    deep = whole.filter(F.size(F.split("p", "/")) > 2)
+    return files.unionByName(deep.select(F.split_part("p", F.lit("/"), F.lit(1)).alias("folder"), F.split_part("p", F.lit("/"), F.lit(2)).alias("name"), F.lit(True).alias("is_folder")).distinct())
+
+
+@query("""SELECT user_id, CASE WHEN min(value) < 0.25 THEN 'failed' ELSE 'ok' END AS status, CAST(CASE WHEN min(value) < 0.25 THEN 3 ELSE 1 END AS INTEGER) AS attempts,
+    CASE WHEN min(value) >= 0.25 THEN CAST(count(*) AS VARCHAR) || ' events, ' || CAST(count(DISTINCT event_type) AS VARCHAR) || ' kinds' END AS output,
+    CASE WHEN min(value) < 0.25 THEN 'ValueError: too dark' END AS error FROM events GROUP BY user_id""")
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events processed as a run; runs with too faint an event fail after three attempts, the others go on."""
+
+    def work(run):
+        if run["value"].min() < 0.25:
+            raise ValueError("too dark")
+        return f"{len(run)} events, {run['event_type'].nunique()} kinds"
+
+    return runs.attempted(t(spark, sf_dir, "events").select("user_id", "value", "event_type"), "user_id", work, retries=2)
