@@ -96,11 +96,29 @@ def _r2(y: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 
 #: Parameters of each peak shape after centre, full width at half height, and height.
-SHAPES: dict[str, tuple[str, ...]] = {"gaussian": (), "lorentzian": (), "pseudo_voigt": ("eta",), "pearson7": ("m",), "step": ()}
-BACKGROUNDS = {"none": 0, "constant": 1, "linear": 2, "quadratic": 3}
+SHAPES: dict[str, tuple[str, ...]] = {"gaussian": (), "lorentzian": (), "pseudo_voigt": ("eta",), "pearson7": ("m",), "voigt": ("lorentz",), "step": ()}
+#: Parameters of each background; powers count from the middle of x, where the exponential has its height ``a`` too.
+BACKGROUNDS: dict[str, tuple[str, ...]] = {"none": (), "constant": ("c0",), "linear": ("c0", "c1"), "quadratic": ("c0", "c1", "c2"), "exponential": ("c0", "a", "decay")}
 _LN16 = 4 * math.log(2)
 
 
+def _faddeeva(z: np.ndarray, terms: int = 32) -> np.ndarray:
+    """exp(-z²) erfc(-iz) in the upper half plane, by Weideman's rational expansion."""
+    length = math.sqrt(terms / math.sqrt(2))
+    angle = np.pi * np.arange(-2 * terms + 1, 2 * terms) / (2 * terms)
+    t = length * np.tan(angle / 2)
+    f = np.concatenate([[0.0], np.exp(-t * t) * (length**2 + t * t)])
+    a = np.flipud(np.real(np.fft.fft(np.fft.fftshift(f)))[1 : terms + 1] / (4 * terms))
+    mapped = (length + 1j * z) / (length - 1j * z)
+    return 2 * np.polyval(a, mapped) / (length - 1j * z) ** 2 + 1 / math.sqrt(math.pi) / (length - 1j * z)
+
+
+def _voigt(x: np.ndarray, fwhm: np.ndarray, lorentz: np.ndarray) -> np.ndarray:
+    """A Gaussian of width ``fwhm`` folded with a Lorentzian of width ``lorentz``, one at its middle."""
+    scale = 2 * math.sqrt(math.log(2)) / fwhm
+    return np.real(_faddeeva((x + 0.5j * lorentz) * scale)) / np.real(_faddeeva(0.5j * lorentz * scale))
+
+
 def _peak(shape: str, x: np.ndarray, p: np.ndarray) -> np.ndarray:
     """One peak for each row of ``p``: centre, full width, height and what the shape has besides."""
     u = (x[None, :] - p[:, :1]) / p[:, 1:2]
@@ -111,29 +129,59 @@ def _peak(shape: str, x: np.ndarray, p: np.ndarray) -> np.ndarray:
         return height / (1 + 4 * u * u)
     if shape == "pseudo_voigt":
         return height * (extra / (1 + 4 * u * u) + (1 - extra) * np.exp(-_LN16 * u * u))
+    if shape == "voigt":
+        return height * _voigt(x[None, :] - p[:, :1], p[:, 1:2], extra)
     if shape == "pearson7":
         return height * (1 + 4 * (2 ** (1 / extra) - 1) * u * u) ** -extra
     return 0.5 * height * (1 + _erf(u * math.sqrt(_LN16)))
 
 
 class Model:
-    """A sum of peaks on a polynomial background about the middle of x; parameters of peak i are named ``p{i}_...``."""
+    """A sum of peaks on a background; parameters of peak i are named ``p{i}_...``."""
 
     def __init__(self, shapes: tuple[str, ...], background: str, x: np.ndarray) -> None:
         if unknown := {*shapes} - {*SHAPES} | {background} - {*BACKGROUNDS}:
             raise ValueError(f"unknown shapes or backgrounds {sorted(unknown)}")
-        self.shapes, self.x, self.terms = shapes, x, BACKGROUNDS[background]
+        self.shapes, self.x, self.kind, self.terms = shapes, x, background, len(BACKGROUNDS[background])
         self.names: list[str] = []
         self.slices = []
         for i, shape in enumerate(shapes):
             own = ("centre", "fwhm", "height", *SHAPES[shape])
             self.slices.append(slice(len(self.names), len(self.names) + len(own)))
             self.names += [f"p{i}_{name}" for name in own]
-        self.names += [f"c{k}" for k in range(self.terms)]
+        self.names += BACKGROUNDS[background]
 
     def background(self, p: np.ndarray) -> np.ndarray:
-        powers = np.vander(self.x - self.x.mean(), self.terms, increasing=True)
-        return p[:, len(self.names) - self.terms :] @ powers.T
+        own = p[:, len(self.names) - self.terms :]
+        if self.kind == "exponential":
+            with np.errstate(over="ignore"):
+                return own[:, :1] + own[:, 1:2] * np.exp(-(self.x - self._middle)[None, :] / own[:, 2:3])
+        return own @ np.vander(self.x - self.x.mean(), self.terms, increasing=True).T
+
+    def _decay(self, y: np.ndarray) -> np.ndarray:
+        """``c0, a, decay`` of the best of several decays under each curve: points above, where peaks are, hardly count."""
+        best, cost = np.zeros((len(y), 3)), np.full(len(y), np.inf)
+        decays = [np.full(len(y), d) for d in (self.x[-1] - self.x[0]) * np.geomspace(0.06, 2.0, 9)]
+        for ratio in (1.4, 1.12, 1.03, 1.01):
+            for decay in decays:
+                fall = np.exp(-(self.x - self._middle)[None, :] / decay[:, None])
+                basis = np.stack([np.ones_like(fall), fall], axis=2)
+                weight = np.ones_like(y)
+                for _ in range(12):
+                    normal = np.einsum("nk,nki,nkj->nij", weight, basis, basis)
+                    found = (np.linalg.pinv(normal, hermitian=True) @ np.einsum("nk,nki->ni", weight * y, basis)[..., None])[..., 0]
+                    over = y - np.einsum("nki,ni->nk", basis, found)
+                    weight = np.where(over > 0, 0.01, 1.0)
+                new = (weight * over * over).sum(axis=1)
+                better = new < cost
+                best[better] = np.column_stack([found, decay])[better]
+                cost = np.minimum(cost, new)
+            decays = [best[:, 2] * ratio**k for k in (-1.0, -0.5, 0.5, 1.0)]
+        return best
+
+    @property
+    def _middle(self) -> float:
+        return 0.5 * (self.x.min() + self.x.max())
 
     def __call__(self, p: np.ndarray) -> np.ndarray:
         return self.background(p) + sum(_peak(shape, self.x, p[:, own]) for shape, own in zip(self.shapes, self.slices, strict=True))
@@ -146,7 +194,9 @@ class Model:
         first, last = y[:, :edge].mean(axis=1), y[:, -edge:].mean(axis=1)
         if self.terms:
             p[:, len(self.names) - self.terms] = y.min(axis=1) if self.terms == 1 else (first + last) / 2
-        if self.terms > 1:
+        if self.kind == "exponential":
+            p[:, -3:] = self._decay(y)
+        elif self.terms > 1:
             p[:, len(self.names) - self.terms + 1] = (last - first) / (x[-1] - x[0])
         rest = y - self.background(p)
         at = np.arange(n)[None, :]
@@ -162,55 +212,70 @@ class Model:
                 left = np.where(below & (at < top[:, None]), at, 0).max(axis=1)
                 right = np.where(below & (at > top[:, None]), at, n - 1).min(axis=1)
                 values = [x[top], np.maximum(x[right] - x[left], (x[-1] - x[0]) / n), high]
-            p[:, own] = np.stack([*values, *[np.full(len(y), {"eta": 0.5, "m": 2.0}[e]) for e in SHAPES[shape]]], axis=1)
+            p[:, own] = np.stack([*values, *[values[1] / 2 if e == "lorentz" else np.full(len(y), {"eta": 0.5, "m": 2.0}[e]) for e in SHAPES[shape]]], axis=1)
             rest = rest - _peak(shape, x, p[:, own])
         return p
 
     def limits(self) -> tuple[np.ndarray, np.ndarray]:
         span = self.x[-1] - self.x[0]
-        near = {"centre": (self.x[0] - 0.1 * span, self.x[-1] + 0.1 * span), "fwhm": (1e-6 * span, 5 * span), "eta": (0.0, 1.0), "m": (0.5, 100.0)}
-        pairs = [near.get(name.partition("_")[2], (-np.inf, np.inf)) for name in self.names]
+        near = {"centre": (self.x[0] - 0.1 * span, self.x[-1] + 0.1 * span), "fwhm": (1e-6 * span, 5 * span), "eta": (0.0, 1.0), "m": (0.5, 100.0), "lorentz": (1e-6 * span, 5 * span)}
+        near["decay"] = (1e-3 * span, 1e3 * span)
+        pairs = [near.get(name.rpartition("_")[2], (-np.inf, np.inf)) for name in self.names]
         return np.array([low for low, _ in pairs]), np.array([high for _, high in pairs])
 
 
 def fit_models(
-    curves: DataFrame, key: str, x: list[float], shapes: tuple[str, ...], background: str = "constant", fixed: dict[str, float] | None = None, y_col: str = "y", sigma_col: str | None = None, iterations: int = 100
-) -> DataFrame:
+    curves: DataFrame, key: str, x: list[float], shapes: tuple[str, ...], background: str = "constant", fixed: dict[str, float] | None = None, y_col: str = "y", sigma_col: str | None = None, iterations: int = 100,
+    start: dict[str, float] | None = None, bounds: dict[str, tuple[float | None, float | None]] | None = None, x_range: tuple[float | None, float | None] | None = None,
+) -> DataFrame:
     """``key``, each parameter and its standard error ``{name}_err``, ``r2, success``, of sums of peaks fitted to arrays on the common ``x``.
 
-    ``fixed`` parameters keep their value and have the error zero. Peaks of one shape come by their centres. Errors are scaled
-    by the rest's variance; with ``sigma_col``, arrays of uncertainties, points weigh by them. Curves with missing values, of
-    another length, or with fewer points than parameters give success false and nulls.
+    ``fixed`` parameters keep their value and have the error zero; ``start`` gives values to begin with and ``bounds`` the least and
+    largest, None being the default. Only points with x within ``x_range`` count. Peaks of one shape come by their centres unless one of their parameters is given.
+    Errors are scaled by the rest's variance; with ``sigma_col``, arrays of uncertainties, points weigh by them and
+    errors are absolute. Curves with missing values there, of another length, or with fewer points than parameters give
+    success false and nulls.
     """
-    grid = np.asarray(x, dtype=float)
+    whole_x = np.asarray(x, dtype=float)
+    ends = [d if v is None else v for v, d in zip(x_range or (None, None), (-np.inf, np.inf), strict=True)]
+    chosen = np.flatnonzero((whole_x >= min(ends)) & (whole_x <= max(ends)))
+    grid = whole_x[chosen]
     model = Model(tuple(shapes), background, grid)
     held = fixed or {}
+    given = {**(start or {}), **(bounds or {}), **held}
+    if unknown := set(given) - set(model.names):
+        raise ValueError(f"unknown parameters {sorted(unknown)}")
     free = [k for k, name in enumerate(model.names) if name not in held]
     errors = [f"{name}_err" for name in model.names]
     kind = curves.schema[key].dataType.simpleString()
     values = [y_col, *([sigma_col] if sigma_col else [])]
 
     def usable(v: object) -> bool:
-        return v is not None and len(v) == len(grid) > len(free) and all(e is not None and math.isfinite(e) for e in v)
+        return v is not None and len(v) == len(whole_x) and len(grid) > len(free) and all(v[k] is not None and math.isfinite(v[k]) for k in chosen)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low, high = model.limits()
+        for name, (least, most) in (bounds or {}).items():
+            k = model.names.index(name)
+            low[k], high[k] = low[k] if least is None else least, high[k] if most is None else most
         for batch in batches:
             out = pd.DataFrame({key: batch[key], **dict.fromkeys((*model.names, *errors, "r2"), np.nan), "success": False})
             whole = batch[values].map(usable).all(axis=1)
             if whole.any():
-                y = np.stack([np.asarray(v, dtype=float) for v in batch.loc[whole, y_col]])
-                weights = 1 / np.maximum(np.stack([np.asarray(v, dtype=float) for v in batch.loc[whole, sigma_col]]), 1e-300) if sigma_col else 1.0
-                start = model.start(y)
-                for name, value in held.items():
-                    start[:, model.names.index(name)] = value
-                p, cost, normal = _least_squares(model, y, start, low, high, free, iterations, weights)
+                y = np.stack([np.asarray(v, dtype=float)[chosen] for v in batch.loc[whole, y_col]])
+                weights = 1 / np.maximum(np.stack([np.asarray(v, dtype=float)[chosen] for v in batch.loc[whole, sigma_col]]), 1e-300) if sigma_col else 1.0
+                first = np.clip(model.start(y), low, high)
+                for name, value in ((start or {}) | held).items():
+                    first[:, model.names.index(name)] = value
+                p, cost, normal = _least_squares(model, y, first, low, high, free, iterations, weights)
                 spread = np.zeros_like(p)
-                variance = np.einsum("nkk->nk", np.linalg.pinv(normal, hermitian=True)) * (cost / (len(grid) - len(free)))[:, None]
+                variance = np.einsum("nkk->nk", np.linalg.pinv(normal, hermitian=True))
+                if not sigma_col:
+                    variance = variance * (cost / (len(grid) - len(free)))[:, None]
                 spread[:, free] = np.sqrt(np.maximum(variance, 0))
                 for shape in {*model.shapes}:
                     own = [s for n, s in zip(model.shapes, model.slices, strict=True) if n == shape]
-                    if not any(name.partition("_")[0] == f"p{i}" for name in held for i in range(len(model.shapes))):
+                    if not any(name.partition("_")[0] == f"p{i}" for name in given for i in range(len(model.shapes))):
                         order = np.argsort(np.stack([p[:, s.start] for s in own], axis=1), axis=1)
                         for table in (p, spread):
                             each = np.stack([table[:, s] for s in own], axis=1)

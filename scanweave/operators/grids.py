@@ -79,7 +79,7 @@ def value_groups(frames: DataFrame, motors: tuple[str, ...], tolerance: float |
         spans = long.groupBy(*by, "motor").agg((F.max("value") - F.min("value")).alias("__span"))
         given = _given(tolerance or {}, motors)
         tol = F.coalesce(given, F.when(V("__span") > 0, V("__span") * SHARE).otherwise(CONSTANT))
-        long = long.join(spans, [*by, "motor"]).withColumn("tol", tol).drop("__span")
+        long = long.join(spans if by else F.broadcast(spans), [*by, "motor"]).withColumn("tol", tol).drop("__span")
     else:
         long = long.withColumn("tol", _given(tolerance, motors))
     own = long.withColumn("cell", F.floor(V("value") / (V("tol") / 2)))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.operators.curves import cluster_values
+from scanweave.operators.grids import value_groups
 
 V = F.col
 FINISHED = ("complete", "aborted")
@@ -96,19 +95,21 @@ def moving(frames: DataFrame, motors: dict[str, float], least: float = MOVED) ->
     return own.agg(F.array(*stats).alias("s")).select(F.inline("s")).filter("high - low > step").select("motor", "low", "high")
 
 
-def lockstep(frames: DataFrame, motors: tuple[str, ...]) -> DataFrame:
+def lockstep(frames: DataFrame, motors: tuple[str, ...], tolerance: float | dict[str, float] | None = None) -> DataFrame:
     """``motor, leader``: the first motor, in the given order, that steps together with each: each one's value tells the other's.
 
-    Each motor's values are grouped once with the extremes of all others, so only distinct values and their
-    extremes move; a null is a value of its own.
+    Readbacks jitter, so each motor's values are numbered by their gaps first, by default those wider than a thousandth of its range;
+    a missing value is one of its own. Then every motor's numbers are grouped, in one pass, with the extremes of all others' numbers.
     """
-    rows = []
-    for motor in motors:
-        others = [o for o in motors if o != motor]
-        alike = [(F.max(o).eqNullSafe(F.min(o)) & ((F.count(o) == 0) | (F.count(o) == F.count("*")))).alias(f"__{o}") for o in others]
-        told = frames.groupBy(motor).agg(*alike).agg(*[F.bool_and(f"__{o}").alias(f"__{o}") for o in others])
-        rows.append(told.select(F.lit(motor).alias("motor"), F.array_compact(F.array(F.lit(motor), *[F.when(V(f"__{o}"), F.lit(o)) for o in others])).alias("tells")))
-    pairs = reduce(DataFrame.unionByName, rows).select("motor", F.explode("tells").alias("other"))
+    _, lookup = value_groups(frames, motors, tolerance)
+    cells = lookup.groupBy("motor", "tol").agg(F.min("cell").alias("first"), F.map_from_entries(F.collect_list(F.struct("cell", "index"))).alias("index"))
+    row = cells.agg(*[F.max_by(F.struct("tol", "first", "index"), V("motor") == m).alias(f"__{m}") for m in motors])  # a cell for each half tolerance of the range
+    own = frames.select(*[V(m).cast("double").alias(m) for m in motors]).crossJoin(F.broadcast(row))
+    number = lambda m: F.coalesce(F.try_element_at(V(f"__{m}.index"), F.floor(V(m) / (V(f"__{m}.tol") / 2))), F.lit(-1))
+    numbers = own.select(*[F.when(V(m).isNull() | F.isnan(m), -1).otherwise(number(m)).alias(m) for m in motors]).groupBy(*motors).agg(F.count("*").alias("__n"))
+    each = numbers.select(F.explode(F.array(*[F.struct(F.lit(m).alias("motor"), V(m).alias("number")) for m in motors])).alias("e"), *motors).select("e.*", *motors)
+    told = each.groupBy("motor", "number").agg(*[(F.min(m) == F.max(m)).alias(m) for m in motors]).groupBy("motor").agg(*[F.bool_and(m).alias(m) for m in motors])
+    pairs = told.select("motor", F.explode(F.array_compact(F.array(*[F.when(V(m), F.lit(m)) for m in motors]))).alias("other"))
     back = pairs.select(V("other").alias("motor"), V("motor").alias("other"))
     place = F.array_position(F.lit(list(motors)), V("other"))
     return pairs.join(back, ["motor", "other"]).groupBy("motor").agg(F.min_by("other", place).alias("leader"))

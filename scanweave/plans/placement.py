@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanweave import model
-from scanweave.operators import clusters, grids, powder, registration, spots, stitching
+from scanweave.operators import clusters, fitting, grids, powder, registration, scans, spots, stitching
 from scanweave.plans.queries import DAILY, IMAGE, daily, images, pixels, query, r, rounded, t
 from scanweave.sources import formats
 from scanweave.streaming import runs
@@ -376,3 +378,37 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f"{len(run)} events, {run['event_type'].nunique()} kinds"
 
     return runs.attempted(t(spark, sf_dir, "events").select("user_id", "value", "event_type"), "user_id", work, retries=2)
+
+
+# Motors with encoders, and bounded fits
+
+
+@query("""WITH m AS (SELECT l_quantity AS mu, 2 * l_quantity + 1 + (l_orderkey * 7919 + l_linenumber * 104729) % 1000 / 50021.0 AS encoder, l_discount AS phi,
+        100 * l_discount + (l_orderkey * 7907 + l_linenumber * 104723) % 1000 / 500007.0 AS steps, l_tax AS chi FROM lineitem),
+    long AS (SELECT row_number() OVER () AS f, * FROM m), u AS (UNPIVOT long ON mu, encoder, phi, steps, chi INTO NAME motor VALUE v),
+    tols AS (SELECT motor, (max(v) - min(v)) * 1e-3 AS tol FROM u GROUP BY motor),
+    g AS (SELECT f, motor, v, CASE WHEN v - lag(v) OVER (PARTITION BY motor ORDER BY v) > tol THEN 1 ELSE 0 END AS new FROM u JOIN tols USING (motor)),
+    n AS (SELECT f, motor, sum(new) OVER (PARTITION BY motor ORDER BY v) AS i FROM g),
+    pairs AS (SELECT a.motor AS motor, b.motor AS other, count(DISTINCT a.i) AS x, count(DISTINCT b.i) AS y, count(DISTINCT (a.i, b.i)) AS xy FROM n a JOIN n b USING (f) GROUP BY ALL)
+    SELECT motor, arg_min(other, list_position(['mu', 'encoder', 'phi', 'steps', 'chi'], other)) AS leader FROM pairs WHERE x = xy AND y = xy GROUP BY motor""")
+def lockstep_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which motors step together although their encoders jitter."""
+    a, b = V("l_orderkey"), V("l_linenumber")
+    frames = t(spark, sf_dir, "lineitem").select(
+        V("l_quantity").alias("mu"), (2 * V("l_quantity") + 1 + (a * 7919 + b * 104729) % 1000 / 50021.0).alias("encoder"), V("l_discount").alias("phi"),
+        (100 * V("l_discount") + (a * 7907 + b * 104723) % 1000 / 500007.0).alias("steps"), V("l_tax").alias("chi"),
+    )
+    return scans.lockstep(frames, ("mu", "encoder", "phi", "steps", "chi"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size / 50e0 AS s, (p_partkey % 20) / 20e0 AS k FROM part)
+    SELECT p_partkey, round(16 + 2 * s, 3) AS p0_centre, round(3 + k, 3) AS p0_fwhm, round(50 + 10 * s, 3) AS p0_height, round(5 + s, 3) AS c0, round(4 + 2 * k, 3) AS a, 11e0 AS decay, true AS success FROM p""")
+def fit_on_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Gaussian on an exponential background, between x = 4 and 36 only: beyond there the curves are spoilt."""
+    s, k = V("p_size") / 50.0, (V("p_partkey") % 20) / 20.0
+    x = lambda i: i / 2.0
+    bell = lambda i: (50 + 10 * s) * F.exp(-4 * math.log(2) * F.pow((x(i) - (16 + 2 * s)) / (3 + k), F.lit(2)))
+    y = F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.when((i < 8) | (i > 72), 999.0).otherwise(bell(i) + 5 + s + (4 + 2 * k) * F.exp(-(x(i) - 20) / 11.0)))
+    drawn = t(spark, sf_dir, "part").select("p_partkey", y.alias("y"))
+    fitted = fitting.fit_models(drawn, "p_partkey", [i / 2 for i in range(81)], ("gaussian",), "exponential", x_range=(4.0, 36.0), bounds={"p0_fwhm": (0.5, 12.0), "decay": (1.0, 200.0)})
+    return rounded(fitted.select([c for c in fitted.columns if not c.endswith("_err") and c != "r2"]), 3)

@@ -602,7 +602,7 @@ def subtract_dark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("label", "y", "x", "v"))
 
 
-@query(f"""WITH {IMAGE}, f AS (SELECT y, x, v / avg(v) OVER () AS f FROM image WHERE label = 0) SELECT label, y, x, {r('CASE WHEN f > 1e-6 THEN v / f END')} AS v FROM image JOIN f USING (y, x)""")
+@query(f"""WITH {IMAGE}, f AS (SELECT y, x, v / avg(v) OVER () AS f FROM image WHERE label = 0) SELECT label, y, x, {r('CASE WHEN f > 0.05 THEN v / f END')} AS v FROM image JOIN f USING (y, x)""")
 def flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = images(spark, sf_dir)
     return rounded(imaging.flat_field(own, own.filter("label = 0")).select("label", "y", "x", "v"))
