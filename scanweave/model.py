@@ -51,6 +51,42 @@ class Roi:
     def of(self, df: DataFrame) -> DataFrame:
         return df.filter(self.predicate()) if self.ranges else df
 
+    @classmethod
+    def parse(cls, text: str | None) -> Roi:
+        """``"y=700:1100,x=800:,chi=-0.2:0.2"``: whole numbers for pixels, values for motors; a side left out is open."""
+        ranges: dict[str, tuple[float | None, float | None]] = {}
+        for part in filter(str.strip, (text or "").split(",")):
+            dim, equals, ends = part.partition("=")
+            low, colon, high = ends.partition(":")
+            if not (equals and colon and dim.strip()):
+                raise ValueError(f"{part!r} is not dim=low:high")
+            number = int if dim.strip() in PIXEL_DIMS else float
+            ranges[dim.strip()] = tuple(number(e) if e.strip() else None for e in (low, high))
+        return cls(ranges)
+
+    def text(self) -> str:
+        """What ``parse`` reads."""
+        side = lambda v: "" if v is None else f"{v:g}" if float(f"{v:g}") == v else repr(v)
+        return ",".join(f"{dim}={side(low)}:{side(high)}" for dim, (low, high) in self.ranges.items())
+
+    def scaled(self, factors: dict[str, int]) -> Roi:
+        """The region in full pixels, where its pixel ranges count blocks of so many."""
+        grown = lambda dim, v: None if v is None else int(v) * factors.get(dim, 1)
+        return Roi({d: tuple(grown(d, v) for v in r) if d in PIXEL_DIMS else r for d, r in self.ranges.items()})
+
+    def in_pixels(self, axes: dict[str, tuple[float, float]]) -> Roi:
+        """The region in full pixels, where its pixel ranges are indices of an image whose axes have this origin and step."""
+        at = lambda d, v: None if v is None else round(axes[d][0] + v * axes[d][1])
+        return Roi({d: tuple(at(d, v) for v in r) if d in axes else r for d, r in self.ranges.items()})
+
+    def indices(self, sizes: dict[str, int], axes: dict[str, tuple[float, float]] | None = None) -> dict[str, tuple[int, int]]:
+        """The region as half-open index ranges of an image of these sizes, whose axes have an origin and a step."""
+        out = {}
+        for dim, size in sizes.items():
+            (low, high), (origin, step) = self.ranges.get(dim, (None, None)), (axes or {}).get(dim, (0.0, 1.0))
+            out[dim] = (0 if low is None else max(round((low - origin) / step), 0), size if high is None else min(round((high - origin) / step), size))
+        return out
+
 
 def select_range(df: DataFrame, dim: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Inclusive on both sides, on pixels too."""

@@ -68,18 +68,30 @@ def merge_points(curve: DataFrame, tolerance: float, by: tuple[str, ...] = ()) -
 
 
 def derivative(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``dy``: second-order differences on uneven points, one-sided at the ends."""
+    """``dy``: second-order differences on uneven points, one-sided at the ends; with a column ``sigma`` also ``dy_sigma``.
+
+    The uncertainty is that of the two points beside each over their distance.
+    """
     w = _ordered(by)
     h1, h2 = V("x") - F.lag("x").over(w), F.lead("x").over(w) - V("x")
     before, after = F.lag("y").over(w), F.lead("y").over(w)
     inner = (h1 * h1 * after - h2 * h2 * before + (h2 * h2 - h1 * h1) * V("y")) / (h1 * h2 * (h1 + h2))
     dy = F.when(h1.isNull(), (after - V("y")) / h2).when(h2.isNull(), (V("y") - before) / h1).otherwise(inner)
-    return curve.withColumn("dy", dy)
+    if "sigma" not in curve.columns:
+        return curve.withColumn("dy", dy)
+    own = V("sigma")
+    left, right = F.coalesce(F.lag("sigma").over(w), own), F.coalesce(F.lead("sigma").over(w), own)
+    apart = F.coalesce(F.lead("x").over(w), V("x")) - F.coalesce(F.lag("x").over(w), V("x"))
+    return curve.withColumns({"dy": dy, "dy_sigma": F.try_divide(F.hypot(left, right), apart)})
 
 
 def cumulative_integral(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``integral``: running trapezoid from the first point."""
+    """``integral``: running trapezoid from the first point; with a column ``sigma`` also ``integral_sigma``, by each point's share of the whole area."""
     w = _ordered(by)
+    if "sigma" in curve.columns:
+        share = 0.5 * (F.coalesce(F.lead("x").over(w), V("x")) - F.coalesce(F.lag("x").over(w), V("x"))) * V("sigma")
+        own = curve.withColumn("__s", share * share)
+        curve = own.withColumn("integral_sigma", F.sqrt(F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("__s")
     step = F.coalesce(0.5 * (V("x") - F.lag("x").over(w)) * (V("y") + F.lag("y").over(w)), F.lit(0.0))
     return curve.withColumn("__step", step).withColumn("integral", F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
@@ -172,6 +184,20 @@ def interpolate_onto(curve: DataFrame, targets: DataFrame, by: tuple[str, ...] =
     return near.select(*by, "x", y.alias("y"))
 
 
+def regrid(values: DataFrame, targets: dict[str, list[float]], dims: tuple[str, ...], by: tuple[str, ...] = (), method: str = "linear") -> DataFrame:
+    """``by, dims, value`` of values on a grid ``(by, dims, value)``, interpolated onto the targets of some of its dims; null outside.
+
+    One dimension after another is interpolated along, which on a full grid is the multilinear rule.
+    """
+    for dim, places in targets.items():
+        others = {d: f"__{d}" for d in (*by, *dims) if d != dim}
+        rest = tuple(others.values())
+        curve = values.select(*[V(d).alias(n) for d, n in others.items()], V(dim).cast("double").alias("x"), V("value").alias("y"))
+        wanted = curve.select(*rest).distinct().select(*rest, F.explode(F.array(*[F.lit(float(p)) for p in places])).alias("x"))
+        values = interpolate_onto(curve, wanted, rest, method).select(*[V(n).alias(d) for d, n in others.items()], V("x").alias(dim), V("y").alias("value"))
+    return values.select(*by, *dims, "value")
+
+
 def align_peaks(curves: DataFrame, curve: str, target: float | None = None) -> DataFrame:
     """Curves shifted in x so that their maxima fall on ``target``, or on the first curve's."""
     peaks = peak_position(curves, by=(curve,)).select(curve, "peak")

@@ -153,6 +153,36 @@ def hsv_to_rgb(hue: Column, saturation: Column, brightness: Column) -> tuple[Col
     return tuple(brightness - brightness * saturation * fall(sector(F.lit(float(n)))) for n in (5, 3, 1))
 
 
+def orientation_rgb(
+    image: DataFrame, a: str, b: str, by: tuple[str, ...], centre: tuple[float, float] | None = None, span: float | None = None, intensity: str | None = None
+) -> DataFrame:
+    """``red, green, blue`` from 0 to 1: the hue is the direction of a tilt, the saturation its size.
+
+    Tilts are measured from ``centre``, by default the medians of each key of ``by``, and are saturated at ``span``, by default
+    their 95th percentile. The brightness follows ``intensity`` between its 1st and 99th percentiles. Pixels without a tilt are black.
+    """
+    finite = V(a).isNotNull() & V(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    if centre is None:
+        middle = image.groupBy(*by).agg(F.median(F.nanvl(a, F.lit(None))).alias("__ca"), F.median(F.nanvl(b, F.lit(None))).alias("__cb"))
+        own = image.join(middle, list(by))
+    else:
+        own = image.withColumns({"__ca": F.lit(float(centre[0])), "__cb": F.lit(float(centre[1]))})
+    own = own.withColumns({"__da": F.when(finite, V(a) - V("__ca")), "__db": F.when(finite, V(b) - V("__cb"))}).withColumn("__r", F.hypot("__da", "__db"))
+    ends = [F.percentile("__r", F.lit(0.95)).alias("__reach")]
+    if intensity is not None:
+        ends += [F.percentile(intensity, F.lit(share)).alias(name) for name, share in (("__low", 0.01), ("__high", 0.99))]
+    own = own.join(own.groupBy(*by).agg(*ends), list(by))
+    reach = F.lit(float(span)) if span is not None else F.when(V("__reach") > 0, V("__reach")).otherwise(1.0)
+    bright = F.lit(1.0)
+    if intensity is not None:
+        width = F.when(V("__high") != V("__low"), V("__high") - V("__low")).otherwise(1.0)
+        bright = F.greatest(F.least((V(intensity) - V("__low")) / width, F.lit(1.0)), F.lit(0.0))
+    hue = F.pmod(F.atan2("__db", "__da") / (2 * math.pi), F.lit(1.0))
+    colours = hsv_to_rgb(hue, F.least(V("__r") / reach, F.lit(1.0)), bright)
+    seen = zip(("red", "green", "blue"), colours, strict=True)
+    return own.withColumns({n: F.when(V("__r").isNotNull(), c).otherwise(0.0) for n, c in seen}).drop("__ca", "__cb", "__da", "__db", "__r", "__reach", "__low", "__high")
+
+
 def profile(image: DataFrame, value: str, along: str = "x", roi: tuple[int, int, int, int] | None = None, how: str = "sum", by: tuple[str, ...] = ()) -> DataFrame:
     """``value`` along one axis, summed or averaged over the other inside the region (y0, y1, x0, x1), ends excluded."""
     if roi:

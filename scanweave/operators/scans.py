@@ -113,3 +113,30 @@ def lockstep(frames: DataFrame, motors: tuple[str, ...], tolerance: float | dict
     back = pairs.select(V("other").alias("motor"), V("motor").alias("other"))
     place = F.array_position(F.lit(list(motors)), V("other"))
     return pairs.join(back, ["motor", "other"]).groupBy("motor").agg(F.min_by("other", place).alias("leader"))
+
+
+#: Names under which a scan may record how long each point counted. Fixed values.
+COUNT_TIMES = ("Seconds", "sec", "count_time", "acq_time", "exposure_time", "integration_time")
+
+
+def counters(
+    points: DataFrame, x: str, channels: tuple[str, ...], by: tuple[str, ...] = (), monitor: str | None = None, monitor_dark: float = 0.0
+) -> DataFrame:
+    """``by, channel, x, value``: the recorded channels of a scan's points as curves against ``x``.
+
+    ``monitor`` divides the other channels by a channel less ``monitor_dark`` counts a second; points without beam are null.
+    Points without x are left out.
+    """
+    beam = None
+    if monitor is not None:
+        beam = V(monitor).cast("double")
+        if monitor_dark:
+            time = next((n for n in COUNT_TIMES if n in points.columns), None)
+            if time is None:
+                raise ValueError(f"a dark rate needs the count time; the points have none of {COUNT_TIMES}")
+            beam = beam - monitor_dark * V(time)
+        beam = F.when(beam > 0, beam)
+    value = lambda c: V(c).cast("double") if beam is None or c == monitor else V(c) / beam
+    rows = F.array(*[F.struct(F.lit(c).alias("channel"), value(c).alias("value")) for c in channels])
+    own = points.filter(V(x).isNotNull() & ~F.isnan(V(x).cast("double")))
+    return own.select(*by, V(x).cast("double").alias("x"), F.explode(rows).alias("r")).select(*by, "r.channel", "x", "r.value")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanweave import model
-from scanweave.operators import clusters, fitting, grids, powder, registration, scans, spots, stitching
-from scanweave.plans.queries import DAILY, IMAGE, daily, images, pixels, query, r, rounded, t
+from scanweave.operators import clusters, curves, fitting, grids, imaging, omega, powder, registration, scans, spots, stitching
+from scanweave.plans.queries import CELLS, DAILY, IMAGE, daily, images, pixels, query, r, rounded, t
 from scanweave.sources import formats
 from scanweave.streaming import runs
 
@@ -412,3 +412,92 @@ def fit_on_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = t(spark, sf_dir, "part").select("p_partkey", y.alias("y"))
     fitted = fitting.fit_models(drawn, "p_partkey", [i / 2 for i in range(81)], ("gaussian",), "exponential", x_range=(4.0, 36.0), bounds={"p0_fwhm": (0.5, 12.0), "decay": (1.0, 200.0)})
     return rounded(fitted.select([c for c in fitted.columns if not c.endswith("_err") and c != "r2"]), 3)
+
+
+# Rotations at which two reflections coincide
+
+
+BEAM = "(2 * pi() * 17e0 / 12.398419843320026)"
+HITS = f"""{{name}} AS (SELECT *, degrees(turn) + 180 - 360 * floor((degrees(turn) + 180) / 360) - 180 AS mu FROM (
+        SELECT *, unnest([atan2(wv, vb) + acos(target / radius), atan2(wv, vb) - acos(target / radius)]) AS turn FROM (
+        SELECT *, sqrt(vb * vb + wv * wv) AS radius FROM (SELECT *, cos(radians(omega)) * wb - sin(radians(omega)) * wh AS vb, sin(radians(omega)) * wb + cos(radians(omega)) * wh AS vh,
+            -(wb * wb + wh * wh + wv * wv) / (2 * {BEAM}) AS target FROM {{source}})) WHERE radius >= abs(target))),
+    {{name}}_seen AS (SELECT *, degrees(atan2(vh, -sin(radians(mu)) * vb + cos(radians(mu)) * wv)) AS eta FROM {{name}} WHERE mu BETWEEN -60 AND 60),
+    {{name}}_near AS (SELECT {{keys}}, omega, mu - lag(mu) OVER w AS gap, lag(j) OVER w AS j1, j AS j2, lag(eta) OVER w AS e1, eta AS e2 FROM {{name}}_seen
+        WHERE eta BETWEEN -180 AND 180 WINDOW w AS (PARTITION BY {{keys}} ORDER BY mu, j)),
+    {{name}}_best AS (SELECT {{keys}}, omega, min((gap, j1, j2, e1, e2)) AS b FROM {{name}}_near WHERE j1 <> j2 GROUP BY ALL)"""
+
+
+@query(f"""WITH e AS (SELECT unnest(range(6)) AS j), p AS (SELECT p_partkey, 4 * pi() / (3.6 + p_size / 40e0) AS g, 0.3e0 + p_partkey % 100 / 1000e0 AS t FROM part),
+    u AS (SELECT p_partkey, j, t, g * ((j = 0)::INT - (j = 1)::INT) AS x, g * ((j = 2)::INT - (j = 3)::INT) AS y, g * ((j = 4)::INT - (j = 5)::INT) AS z FROM p, e),
+    v AS (SELECT p_partkey, j, x * cos(0.2e0) + (y * sin(t) + z * cos(t)) * sin(0.2e0) AS wb, y * cos(t) - z * sin(t) AS wh, -x * sin(0.2e0) + (y * sin(t) + z * cos(t)) * cos(0.2e0) AS wv FROM u),
+    grid AS (SELECT *, -90e0 + i * 2e0 AS omega FROM v, (SELECT unnest(range(90)) AS i)), {HITS.format(name='c', source='grid', keys='p_partkey, i')},
+    s AS (SELECT p_partkey, i, omega, b[1] AS gap, CASE WHEN lag(i) OVER w = i - 1 THEN lag(b[1]) OVER w END AS l, CASE WHEN lead(i) OVER w = i + 1 THEN lead(b[1]) OVER w END AS r
+        FROM c_best WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
+    close AS (SELECT v.*, s.i, m, s.omega - 2 + m * (4e0 / 40) AS omega FROM s JOIN v USING (p_partkey), (SELECT unnest(range(41)) AS m)
+        WHERE s.i BETWEEN 1 AND 88 AND coalesce(gap <= l, true) AND coalesce(gap <= r, true)), {HITS.format(name='f', source='close', keys='p_partkey, i, m')},
+    one AS (SELECT p_partkey, i, min((b[1], m, omega, b[4], b[5])) AS b FROM f_best GROUP BY ALL),
+    listed AS (SELECT p_partkey, list([{{'omega': b[3], 'gap': b[1], 'e1': b[4], 'e2': b[5]}}] ORDER BY b[3]) AS c FROM one GROUP BY p_partkey),
+    folded AS (SELECT p_partkey, unnest(list_reduce(c, lambda d, n: CASE WHEN abs(n[1].omega - d[-1].omega) < 0.3 THEN CASE WHEN n[1].gap < d[-1].gap THEN d[:-2] || n ELSE d END ELSE d || n END)) AS o
+        FROM listed),
+    ranked AS (SELECT p_partkey, o.omega AS omega, o.gap AS gap, row_number() OVER (PARTITION BY p_partkey ORDER BY round(o.gap, 4), -least(o.e1 + 180, 180 - o.e1, o.e2 + 180, 180 - o.e2)) AS rank FROM folded)
+    SELECT p_partkey, CAST(rank AS INTEGER) AS rank, {r('omega', 4)} AS omega, {r('gap', 5)} AS gap FROM ranked WHERE rank <= 3""")
+def omega_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part's crystal the rotations at which two of its six reflections come closest in mu."""
+    own = t(spark, sf_dir, "part").select("p_partkey", (4 * math.pi / (3.6 + V("p_size") / 40.0)).alias("g"), (0.3 + V("p_partkey") % 100 / 1000.0).alias("t"))
+    six = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    x, y, z = (V("g") * ((V("j") == 2 * d).cast("int") - (V("j") == 2 * d + 1).cast("int")) for d in range(3))
+    up = y * F.sin("t") + z * F.cos("t")
+    c, s = F.lit(math.cos(0.2)), F.lit(math.sin(0.2))
+    vectors = six.select("p_partkey", "j", (x * c + up * s).alias("wb"), (y * F.cos("t") - z * F.sin("t")).alias("wh"), (-x * s + up * c).alias("wv"))
+    found = omega.find_offsets(vectors, ("p_partkey",), 17.0, (-90.0, 90.0), 2.0, 41, 3, {"mu": (-60.0, 60.0), "eta": (-180.0, 180.0)})
+    return rounded(rounded(found.select("p_partkey", "rank", "omega", "gap"), 4, "gap"), 5, "omega")
+
+
+# Curves with uncertainties, other grids, colours and counters
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT *, sqrt(y) AS sigma FROM daily), n AS (SELECT *, lag(x) OVER w AS xa, lead(x) OVER w AS xb, lag(y) OVER w AS ya, lead(y) OVER w AS yb,
+        lag(sigma) OVER w AS sa, lead(sigma) OVER w AS sb FROM s WINDOW w AS (PARTITION BY event_type ORDER BY x))
+    SELECT event_type, x, {r('CASE WHEN xa IS NULL THEN (yb - y) / (xb - x) WHEN xb IS NULL THEN (y - ya) / (x - xa) ELSE ((x - xa) ** 2 * yb - (xb - x) ** 2 * ya + ((xb - x) ** 2 - (x - xa) ** 2) * y) / ((x - xa) * (xb - x) * (xb - xa)) END', 4)} AS dy,
+    {r('sqrt(coalesce(sa, sigma) ** 2 + coalesce(sb, sigma) ** 2) / (coalesce(xb, x) - coalesce(xa, x))', 5)} AS dy_sigma,
+    {r('sum(coalesce((x - xa) * (y + ya) / 2, 0)) OVER o', 4)} AS integral, {r('sqrt(sum((0.5e0 * (coalesce(xb, x) - coalesce(xa, x)) * sigma) ** 2) OVER o)', 4)} AS integral_sigma
+    FROM n WINDOW o AS (PARTITION BY event_type ORDER BY x)""")
+def curve_uncertainties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes and running integrals of the daily curves with the uncertainties of counted values."""
+    own = daily(spark, sf_dir).withColumn("sigma", F.sqrt("y"))
+    both = curves.cumulative_integral(curves.derivative(own, ("event_type",)), ("event_type",))
+    return rounded(rounded(both.select("event_type", "x", "dy", "dy_sigma", "integral", "integral_sigma"), 4, "dy_sigma"), 5, "dy", "integral", "integral_sigma")
+
+
+@query(f"""WITH {IMAGE}, t AS (SELECT -0.5e0 + 0.75e0 * a AS y, 0.25e0 + 0.5e0 * b AS x FROM range(12) u(a), range(16) w(b)), k AS (SELECT DISTINCT label FROM image),
+    n AS (SELECT label, t.y, t.x, CAST(floor(t.y) AS INT) AS y0, CAST(floor(t.x) AS INT) AS x0 FROM k, t)
+    SELECT n.label, n.y, n.x, {r('sum(i.v * (1 - abs(n.y - i.y)) * (1 - abs(n.x - i.x))) FILTER (n.y BETWEEN 0 AND 7 AND n.x BETWEEN 0 AND 7)', 5)} AS value
+    FROM n LEFT JOIN image i ON i.label = n.label AND abs(n.y - i.y) < 1 AND abs(n.x - i.x) < 1 GROUP BY n.label, n.y, n.x""")
+def regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images on a finer grid, between their pixels; null beyond their edges."""
+    own = images(spark, sf_dir).withColumnRenamed("v", "value")
+    targets = {"y": [-0.5 + 0.75 * a for a in range(12)], "x": [0.25 + 0.5 * b for b in range(16)]}
+    return rounded(curves.regrid(own, targets, ("y", "x"), ("label",)), 5)
+
+
+@query(f"""WITH {CELLS}, m AS (SELECT label, y, x, avg(v) AS a, stddev_pop(v) AS b, sum(w) AS i FROM cells GROUP BY ALL), c AS (SELECT label, median(a) AS ca, median(b) AS cb FROM m GROUP BY label),
+    d AS (SELECT label, y, x, i, a - ca AS da, b - cb AS db, sqrt((a - ca) ** 2 + (b - cb) ** 2) AS r FROM m JOIN c USING (label)),
+    e AS (SELECT label, quantile_cont(r, 0.95) AS reach, quantile_cont(i, 0.01) AS low, quantile_cont(i, 0.99) AS high FROM d GROUP BY label),
+    h AS (SELECT label, y, x, least(r / reach, 1) AS s, greatest(least((i - low) / (high - low), 1), 0) AS v, atan2(db, da) / (2 * pi()) + CASE WHEN atan2(db, da) < 0 THEN 1 ELSE 0 END AS hue FROM d JOIN e USING (label)),
+    k AS (SELECT *, (5 + hue * 6) - 6 * floor((5 + hue * 6) / 6) AS kr, (3 + hue * 6) - 6 * floor((3 + hue * 6) / 6) AS kg, (1 + hue * 6) - 6 * floor((1 + hue * 6) / 6) AS kb FROM h)
+    SELECT label, y, x, {r('v - v * s * greatest(0, least(kr, 4 - kr, 1))')} AS red, {r('v - v * s * greatest(0, least(kg, 4 - kg, 1))')} AS green, {r('v - v * s * greatest(0, least(kb, 4 - kb, 1))')} AS blue FROM k""")
+def orientation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's mean and spread per pixel as a tilt in colours, as bright as the pixel."""
+    maps = pixels(spark, sf_dir).groupBy("label", "y", "x").agg(F.avg("v").alias("a"), F.stddev_pop("v").alias("b"), F.sum(V("v") * V("v")).alias("i"))
+    return rounded(imaging.orientation_rgb(maps, "a", "b", ("label",), intensity="i").select("label", "y", "x", "red", "green", "blue"))
+
+
+@query(f"""WITH c AS (SELECT l_suppkey, CAST(l_orderkey AS DOUBLE) * 8 + l_linenumber AS x, l_partkey, l_extendedprice AS det, l_quantity AS ion, l_quantity - 0.437e0 * (l_linenumber + 20) AS beam FROM lineitem)
+    SELECT l_suppkey, l_partkey, 'det' AS channel, x, {r('CASE WHEN beam > 0 THEN det / beam END', 5)} AS value FROM c UNION ALL SELECT l_suppkey, l_partkey, 'ion', x, ion FROM c""")
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's recorded channels against a motor, over the ion chamber less its dark counts."""
+    own = t(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_partkey", (V("l_orderkey").cast("double") * 8 + V("l_linenumber")).alias("motor"), V("l_extendedprice").alias("det"), V("l_quantity").alias("ion"), (V("l_linenumber") + 20).alias("sec"),
+    )
+    return rounded(scans.counters(own, "motor", ("det", "ion"), ("l_suppkey", "l_partkey"), "ion", 0.437), 5)
