@@ -165,12 +165,13 @@ class Model:
         for ratio in (1.4, 1.12, 1.03, 1.01):
             for decay in decays:
                 fall = np.exp(-(self.x - self._middle)[None, :] / decay[:, None])
-                basis = np.stack([np.ones_like(fall), fall], axis=2)
                 weight = np.ones_like(y)
                 for _ in range(12):
-                    normal = np.einsum("nk,nki,nkj->nij", weight, basis, basis)
-                    found = (np.linalg.pinv(normal, hermitian=True) @ np.einsum("nk,nki->ni", weight * y, basis)[..., None])[..., 0]
-                    over = y - np.einsum("nki,ni->nk", basis, found)
+                    n, sx, sxx = weight.sum(axis=1), (weight * fall).sum(axis=1), (weight * fall * fall).sum(axis=1)
+                    sy, sxy = (weight * y).sum(axis=1), (weight * y * fall).sum(axis=1)
+                    slope = (n * sxy - sx * sy) / np.maximum(n * sxx - sx * sx, 1e-300)
+                    found = np.stack([(sy - slope * sx) / n, slope], axis=1)
+                    over = y - found[:, :1] - found[:, 1:] * fall
                     weight = np.where(over > 0, 0.01, 1.0)
                 new = (weight * over * over).sum(axis=1)
                 better = new < cost
