@@ -124,13 +124,16 @@ def dictionaries(own: DataFrame, chars: int = DICTIONARY_CHARS) -> DataFrame:
     spark = own.sparkSession
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << NUMBER_BITS
+        task = TaskContext.get().partitionId()
+        number = task << NUMBER_BITS
         chunks, ids, lists, size = _Index(), [], [], 0
 
         def out() -> pa.RecordBatch:
             words, sizes, places = _dictionary(chunks, lists)
             if len(words) >> PLACE_BITS:
                 raise ValueError("a text has more than 2^28 distinct words")
+            if number >> NUMBER_BITS != task:  # the next task's numbers
+                raise ValueError(f"a task has more than {1 << NUMBER_BITS} dictionaries; deal the texts over more tasks")
             columns = [pa.array([x], t) for x, t in zip(
                 (number, words, ids, sizes.tolist(), squeezed(places)),
                 (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)]
