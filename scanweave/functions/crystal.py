@@ -85,12 +85,12 @@ def miscut(mag: Column, bragg_rad: float) -> Column:
     return F.atan(math.tan(bragg_rad) * (mag - 1) / (mag + 1))
 
 
-def families(reflections: DataFrame) -> DataFrame:
-    """``d`` to six digits with the largest indices as the name, the number of reflections, and the angle, by descending d."""
-    by = reflections.groupBy(F.round("d", 6).alias("d")).agg(
+def families(reflections: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``by, d`` to six digits with the largest indices as the name, the number of reflections, and the angle."""
+    grouped = reflections.groupBy(*by, F.round("d", 6).alias("d")).agg(
         F.max(F.struct("h", "k", "l")).alias("m"), (2 * F.count("*")).alias("multiplicity"), F.min("two_theta").alias("two_theta")
     )
-    return by.select("d", F.col("m.h").alias("h"), F.col("m.k").alias("k"), F.col("m.l").alias("l"), "multiplicity", "two_theta").orderBy(F.desc("d"))
+    return grouped.select(*by, "d", F.col("m.h").alias("h"), F.col("m.k").alias("k"), F.col("m.l").alias("l"), "multiplicity", "two_theta")
 
 
 def mag_split(total: Column, share: Column | float) -> tuple[Column, Column]:

@@ -111,9 +111,10 @@ def allowed(h: Column, k: Column, l: Column, centering: str) -> Column:  # noqa:
     }[centering]
 
 
-def inverse_metric(a: float, b: float, c: float, alpha: float, beta: float, gamma: float) -> tuple[float, ...]:
-    """The six entries 11, 22, 33, 23, 13, 12 of the reciprocal metric of a cell."""
-    ca, cb, cg = (math.cos(math.radians(x)) for x in (alpha, beta, gamma))
+def inverse_metric(a, b, c, alpha, beta, gamma) -> tuple:
+    """The six entries 11, 22, 33, 23, 13, 12 of the reciprocal metric of a cell, of numbers or of columns."""
+    column = isinstance(a, Column)
+    ca, cb, cg = (F.cos(F.radians(x)) if column else math.cos(math.radians(x)) for x in (alpha, beta, gamma))
     g = [[a * a, a * b * cg, a * c * cb], [a * b * cg, b * b, b * c * ca], [a * c * cb, b * c * ca, c * c]]
     det = (
         g[0][0] * (g[1][1] * g[2][2] - g[1][2] ** 2) - g[0][1] * (g[0][1] * g[2][2] - g[1][2] * g[0][2]) + g[0][2] * (g[0][1] * g[1][2] - g[1][1] * g[0][2])
@@ -124,20 +125,28 @@ def inverse_metric(a: float, b: float, c: float, alpha: float, beta: float, gamm
     )
 
 
-def inverse_d2(h: Column, k: Column, l: Column, cell: tuple[float, float, float, float, float, float]) -> Column:  # noqa: E741
-    m = inverse_metric(*cell)
+def inverse_d2(h: Column, k: Column, l: Column, metric: tuple) -> Column:  # noqa: E741
+    """1/d² of indices in a cell of this reciprocal metric."""
+    m = metric
     return h * h * m[0] + k * k * m[1] + l * l * m[2] + 2 * k * l * m[3] + 2 * h * l * m[4] + 2 * h * k * m[5]
 
 
-def reflections(spark: SparkSession, cell: tuple[float, float, float, float, float, float], centering: str, energy_kev: float, max_index: int) -> DataFrame:
-    """``h, k, l, d, two_theta`` of the allowed reflections within reach, one of each Friedel pair, from ranges of indices."""
+def reflections(crystals: DataFrame, by: tuple[str, ...], centering: str, max_index: int) -> DataFrame:
+    """``by, h, k, l, d, two_theta`` of the allowed reflections within reach of each crystal, one of each Friedel pair.
+
+    A crystal is a row ``by, a, b, c, alpha, beta, gamma, energy`` in Angstrom, degrees and keV. Its reciprocal
+    metric is worked out once, before its indices are spread over rows; nothing is shuffled.
+    """
     n = 2 * max_index + 1
-    index = spark.range(n**3).select(*[(F.expr(f"id div {n**p}") % n - max_index).alias(i) for i, p in (("h", 2), ("k", 1), ("l", 0))])
+    metric = inverse_metric(*map(F.col, ("a", "b", "c", "alpha", "beta", "gamma")))
+    each = crystals.select(*by, "energy", *[m.alias(f"m{j}") for j, m in enumerate(metric)])
+    # places beyond the middle one, the origin, in the cube of indices hold one of each Friedel pair
+    index = each.withColumn("id", F.explode(F.sequence(F.lit(n**3 // 2 + 1), F.lit(n**3 - 1))))
+    spread = index.withColumns({i: F.expr(f"int(id div {n**p} % {n} - {max_index})").cast("long") for i, p in (("h", 2), ("k", 1), ("l", 0))})
     h, k, l = (F.col(i) for i in "hkl")  # noqa: E741
-    half = (h > 0) | ((h == 0) & (k > 0)) | ((h == 0) & (k == 0) & (l > 0))
-    kept = index.filter(half & allowed(h, k, l, centering))
-    d = 1 / F.sqrt(inverse_d2(h, k, l, cell))
-    return kept.select("h", "k", "l", d.alias("d"), two_theta(d, energy_kev).alias("two_theta")).filter(F.col("two_theta").isNotNull())
+    inverse = inverse_d2(h, k, l, tuple(F.col(f"m{j}") for j in range(6)))
+    found = spread.filter(allowed(h, k, l, centering)).withColumn("d", 1 / F.sqrt(inverse))
+    return found.select(*by, "h", "k", "l", "d", two_theta(F.col("d"), F.col("energy")).alias("two_theta")).filter("two_theta IS NOT NULL")
 
 
 def mass_attenuation(energy_kev: Column | float, table: list[tuple[float, float]]) -> Column:
@@ -161,12 +170,15 @@ def attenuation_length(energy_kev: Column | float, table: list[tuple[float, floa
     return F.try_divide(F.lit(1e4), mass_attenuation(energy_kev, table) * _c(density))
 
 
-def energy_grid(spark: SparkSession, e0: float, fwhm: float, n: int = 21, spectrum: str = "gaussian") -> DataFrame:
-    """``energy, weight``: a Gaussian over three sigma either side, or flat over its full width; trapezoid weights of sum one."""
-    sigma = fwhm / (2 * math.sqrt(2 * math.log(2)))
-    reach = {"gaussian": 3 * sigma, "flat": fwhm / 2}[spectrum]
-    e = F.lit(e0 - reach) + F.col("id") * F.lit(2 * reach / (n - 1))
-    height = F.exp(-0.5 * F.pow((F.col("energy") - e0) / sigma, F.lit(2))) if spectrum == "gaussian" else F.lit(1.0)
-    ends = F.when(F.col("id").isin(0, n - 1), 0.5).otherwise(1.0)
-    own = spark.range(n).withColumn("energy", e).select("energy", (height * ends).alias("w"))
-    return own.join(F.broadcast(own.agg(F.sum("w").alias("total"))), F.lit(True)).select("energy", (F.col("w") / F.col("total")).alias("weight"))
+def energy_grid(beams: DataFrame, by: tuple[str, ...], n: int = 21, spectrum: str = "gaussian") -> DataFrame:
+    """``by, energy, weight`` for each beam ``by, e0, fwhm``: a Gaussian over three sigma either side, or flat over its full width.
+
+    The ``n`` trapezoid weights have the sum one; they depend on the place in the grid alone.
+    """
+    reach = {"gaussian": 3 * sigma_of_fwhm(F.col("fwhm")), "flat": F.col("fwhm") / 2}[spectrum]
+    steps = [2 * k / (n - 1) - 1 for k in range(n)]
+    heights = [math.exp(-0.5 * (3 * u) ** 2) if spectrum == "gaussian" else 1.0 for u in steps]
+    ends = [h * (0.5 if k in (0, n - 1) else 1.0) for k, h in enumerate(heights)]
+    grid = F.arrays_zip(F.lit(steps).alias("u"), F.lit([w / sum(ends) for w in ends]).alias("w"))
+    spread = beams.select(*by, "e0", reach.alias("reach"), F.inline(grid).alias("u", "w"))
+    return spread.select(*by, (F.col("e0") + F.col("u") * F.col("reach")).alias("energy"), F.col("w").alias("weight"))

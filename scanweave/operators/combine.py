@@ -65,12 +65,13 @@ def mosaic(tiles: DataFrame, offsets: DataFrame, tile: str, how: str = "mean") -
     return at.groupBy("y", "x").agg({"mean": F.avg, "max": F.max, "sum": F.sum}[how]("v").alias("v"))
 
 
-def overlap_offset(a: DataFrame, b: DataFrame, offsets: range, least: int = 2) -> DataFrame:
-    """The shift k of series ``b(i, v)`` against ``a(i, v)`` with the least mean absolute difference, the first on a tie."""
+def overlap_offset(a: DataFrame, b: DataFrame, offsets: range, least: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, k, score, n``: the shift k of each series ``b(by, i, v)`` against ``a(i, v)`` with the least mean absolute difference, the first on a tie."""
     shifts = F.array(*[F.lit(k) for k in offsets])
-    shifted = b.select(F.explode(shifts).alias("k"), "i", V("v").alias("w")).select("k", (V("i") + V("k")).alias("i"), "w")
-    scores = shifted.join(a, "i").groupBy("k").agg(F.avg(F.abs(V("v") - V("w"))).alias("score"), F.count("*").alias("n")).filter(V("n") >= least)
-    return scores.orderBy("score", F.abs("k"), "k").limit(1)
+    shifted = b.select(*by, F.explode(shifts).alias("k"), "i", V("v").alias("w")).select(*by, "k", (V("i") + V("k")).alias("i"), "w")
+    scores = shifted.join(a.select("i", "v"), "i").groupBy(*by, "k").agg(F.avg(F.abs(V("v") - V("w"))).alias("score"), F.count("*").alias("n"))
+    best = F.min_by(F.struct("k", "score", "n"), F.struct("score", F.abs("k"), "k")).alias("best")
+    return scores.filter(V("n") >= least).groupBy(*by).agg(best).select(*by, "best.*")
 
 
 def normalize(df: DataFrame, value: str, by: Column) -> DataFrame:

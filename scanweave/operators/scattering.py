@@ -108,11 +108,11 @@ def calibrate_ring(cells: DataFrame, d_spacing_a: float, energy_kev: float, pixe
     return found.filter("n >= 10").select("centre_y", "centre_x", radius.alias("radius"), (radius * (pixel_um / 1000) / F.tan(F.radians(angle))).alias("distance_mm"), "n")
 
 
-def reflectivity(curve: DataFrame, energy_kev: float, beam_mm: float, sample_mm: float, i0: float = 1.0, profile: str = "gaussian") -> DataFrame:
-    """``q, r``: intensity over the monitor and the share of the beam on the sample; angles at or below zero are left out."""
+def reflectivity(curve: DataFrame, energy_kev: float, beam_mm: float, sample_mm: float, i0: float = 1.0, profile: str = "gaussian", by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, x, q, r``: intensity over the monitor and the share of the beam on the sample; angles at or below zero are left out."""
     share = physics.footprint(V("x"), beam_mm, sample_mm, profile)
     q = physics.q_from_two_theta(2 * V("x"), energy_kev)
-    return curve.filter("x > 0").select("x", q.alias("q"), (V("y") / i0 / share).alias("r"))
+    return curve.filter("x > 0").select(*by, "x", q.alias("q"), (V("y") / i0 / share).alias("r"))
 
 
 def critical_angle(curves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

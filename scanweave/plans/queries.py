@@ -432,15 +432,15 @@ def local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.local_maxima(daily(spark, sf_dir), 3, ("event_type",)), 4)
 
 
-@query(f"""WITH {DAILY}, w AS (SELECT DISTINCT event_type, g * 0.5 - 1 AS x FROM daily, range(70) r(g)),
+@query(f"""WITH {DAILY}, w AS (SELECT event_type, unnest(range(CAST(2 * min(x) AS BIGINT) - 2, CAST(2 * max(x) AS BIGINT) + 3)) * 0.5 AS x FROM daily GROUP BY event_type),
     n AS (SELECT w.event_type, w.x, max(d.x) FILTER (d.x <= w.x) AS a, min(d.x) FILTER (d.x >= w.x) AS b FROM w JOIN daily d USING (event_type) GROUP BY w.event_type, w.x)
     SELECT n.event_type, n.x, {r('CASE WHEN n.a = n.b THEN p.y ELSE p.y + (n.x - n.a) / (n.b - n.a) * (q.y - p.y) END', 4)} AS y
     FROM n LEFT JOIN daily p ON p.event_type = n.event_type AND p.x = n.a LEFT JOIN daily q ON q.event_type = n.event_type AND q.x = n.b""")
 def interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half days within and beyond the curve; null outside."""
     curve = daily(spark, sf_dir)
-    targets = curve.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(69))).alias("g"))
-    wanted = targets.select("event_type", (F.col("g") * 0.5 - 1).alias("x"))
+    ends = curve.groupBy("event_type").agg((2 * F.min("x")).cast("long").alias("low"), (2 * F.max("x")).cast("long").alias("high"))
+    wanted = ends.select("event_type", F.explode(F.expr("sequence(low - 2, high + 2)")).alias("g")).select("event_type", (F.col("g") * 0.5).alias("x"))
     return rounded(curves.interpolate_onto(curve, wanted, ("event_type",)), 4)
 
 
@@ -470,35 +470,37 @@ def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("sigma", F.sqrt("value"))
 
 
-@query(f"""WITH {YEARS}, a AS (SELECT * FROM years WHERE p = '1-URGENT'), b AS (SELECT * FROM years WHERE p = '5-LOW')
-    SELECT yr, {r('a.value / b.value')} AS value, {r('abs(a.value / b.value) * sqrt((a.sigma / a.value) ** 2 + (b.sigma / b.value) ** 2)')} AS sigma FROM a JOIN b USING (yr)""")
+@query(f"""WITH {YEARS} SELECT a.p, yr, {r('a.value / b.value')} AS value, {r('abs(a.value / b.value) * sqrt((a.sigma / a.value) ** 2 + (b.sigma / b.value) ** 2)')} AS sigma
+    FROM years a JOIN (SELECT * FROM years WHERE p = '5-LOW') b USING (yr)""")
 def arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quotient with its uncertainty."""
+    """Every priority's years over those of one reference, with uncertainties."""
     y = yearly(spark, sf_dir)
-    a, b = (y.filter(F.col("p") == p).drop("p") for p in ("1-URGENT", "5-LOW"))
-    return rounded(combine.arithmetic(a, b, "/", ("yr",)))
+    return rounded(combine.arithmetic(y, y.filter("p = '5-LOW'").drop("p"), "/", ("p", "yr")))
+
+
+def priorities(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    y = yearly(spark, sf_dir)
+    return [y.filter(F.col("p").startswith(f"{k}-")).drop("p") for k in range(1, 6)]
 
 
 @query(f"""WITH {YEARS} SELECT yr, {r('sum(value / sigma ** 2) / sum(1 / sigma ** 2)', 3)} AS value, {r('1 / sqrt(sum(1 / sigma ** 2))', 3)} AS sigma FROM years
-    WHERE p IN ('1-URGENT', '5-LOW') GROUP BY yr""")
+    WHERE p IS NOT NULL GROUP BY yr""")
 def average_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = yearly(spark, sf_dir)
-    return rounded(combine.average([y.filter(F.col("p") == p).drop("p") for p in ("1-URGENT", "5-LOW")], ("yr",), "weighted"), 3)
+    return rounded(combine.average(priorities(spark, sf_dir), ("yr",), "weighted"), 3)
 
 
-@query(f"""WITH {YEARS} SELECT yr, {r('avg(value)', 3)} AS value, {r('sqrt(sum(sigma ** 2)) / 2', 3)} AS sigma FROM years WHERE p IN ('1-URGENT', '5-LOW') GROUP BY yr""")
+@query(f"""WITH {YEARS} SELECT yr, {r('avg(value)', 3)} AS value, {r('sqrt(sum(sigma ** 2)) / 5', 3)} AS sigma FROM years WHERE p IS NOT NULL GROUP BY yr""")
 def average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = yearly(spark, sf_dir)
-    return rounded(combine.average([y.filter(F.col("p") == p).drop("p") for p in ("1-URGENT", "5-LOW")], ("yr",)), 3)
+    return rounded(combine.average(priorities(spark, sf_dir), ("yr",)), 3)
 
 
-@query(f"""WITH v AS (SELECT c_nationkey, c_mktsegment, sum(c_acctbal) AS value FROM customer WHERE c_acctbal > 9000 GROUP BY ALL)
+@query(f"""WITH v AS (SELECT c_nationkey, c_mktsegment, sum(c_acctbal) AS value FROM customer GROUP BY ALL)
     SELECT n.n_nationkey AS c_nationkey, s.c_mktsegment, {r('v.value', 3)} AS value FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s
     LEFT JOIN v ON v.c_nationkey = n.n_nationkey AND v.c_mktsegment = s.c_mktsegment""")
 def stack_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values on the full grid, null where a scan is missing."""
     customers = t(spark, sf_dir, "customer")
-    values = customers.filter("c_acctbal > 9000").groupBy("c_nationkey", "c_mktsegment").agg(F.sum("c_acctbal").alias("value"))
+    values = customers.groupBy("c_nationkey", "c_mktsegment").agg(F.sum("c_acctbal").alias("value"))
     outer = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
     return rounded(combine.stack_grid(values, outer, customers.select("c_mktsegment").distinct(), ("c_nationkey", "c_mktsegment")), 3)
 
@@ -512,14 +514,13 @@ def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(combine.mosaic(tiles, offsets, "label"))
 
 
-@query(f"""WITH {DAILY}, a AS (SELECT x AS i, y AS v FROM daily WHERE event_type = 'click'), b AS (SELECT x AS i, y AS v FROM daily WHERE event_type = 'view'),
-    s AS (SELECT k, avg(abs(a.v - b.v)) AS score, count(*) AS n FROM range(-5, 6) r(k), b, a WHERE a.i = b.i + k GROUP BY k)
-    SELECT CAST(k AS INTEGER) AS k, {r('score', 4)} AS score, n FROM s WHERE n >= 2 ORDER BY s.score, abs(k), k LIMIT 1""")
+@query(f"""WITH {DAILY}, a AS (SELECT x AS i, y AS v FROM daily WHERE event_type = 'click'), b AS (SELECT event_type, x AS i, y AS v FROM daily),
+    s AS (SELECT event_type, k, avg(abs(a.v - b.v)) AS score, count(*) AS n FROM range(-5, 6) r(k), b, a WHERE a.i = b.i + k GROUP BY event_type, k)
+    SELECT event_type, CAST(k AS INTEGER) AS k, {r('score', 4)} AS score, n FROM s WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY s.score, abs(k), k) = 1""")
 def overlap_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shift of one daily curve that fits another best."""
+    """The shift of every daily curve that fits one reference curve best."""
     both = daily(spark, sf_dir).select("event_type", F.col("x").alias("i"), F.col("y").alias("v"))
-    a, b = (both.filter(F.col("event_type") == e).drop("event_type") for e in ("click", "view"))
-    return rounded(combine.overlap_offset(a, b, range(-5, 6)), 4)
+    return rounded(combine.overlap_offset(both.filter("event_type = 'click'").drop("event_type"), both, range(-5, 6), by=("event_type",)), 4)
 
 
 # Images
@@ -628,12 +629,24 @@ def cake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scattering.cake(images(spark, sf_dir), GEOMETRY, 8, 8, 4, 8, RANGE))
 
 
-@query(f"""WITH i AS (SELECT h, k, l FROM range(-4, 5) a(h), range(-4, 5) b(k), range(-4, 5) c(l) WHERE h > 0 OR (h = 0 AND k > 0) OR (h = 0 AND k = 0 AND l > 0)),
-    d AS (SELECT h, k, l, 1 / sqrt((h * h + k * k + l * l) / 5.431 ** 2) AS d FROM i WHERE abs(h + k) % 2 = 0 AND abs(k + l) % 2 = 0)
-    SELECT h, k, l, {r('d')} AS d, {r('degrees(2 * asin(12.398419843320026 / 12.0 / (2 * d)))')} AS two_theta FROM d WHERE 12.398419843320026 / 12.0 / (2 * d) <= 1""")
+CRYSTALS = "crystals AS (SELECT p_partkey, 3 + p_size / 10e0 AS a, 8 + p_partkey % 7 AS energy FROM part WHERE p_size IS NOT NULL)"
+INDICES = "indices AS (SELECT h, k, l FROM range(-2, 3) a(h), range(-2, 3) b(k), range(-2, 3) c(l) WHERE (h <> 0 OR k <> 0 OR l <> 0) AND abs(h + k) % 2 = 0 AND abs(k + l) % 2 = 0)"
+
+
+def crystals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a cubic crystal whose edge follows its size, in a beam whose energy follows its key."""
+    edge = 3 + F.col("p_size") / 10.0
+    right = [F.lit(90.0).alias(x) for x in ("alpha", "beta", "gamma")]
+    energy = (8 + F.col("p_partkey") % 7).cast("double").alias("energy")
+    return t(spark, sf_dir, "part").filter("p_size IS NOT NULL").select("p_partkey", *[edge.alias(x) for x in "abc"], *right, energy)
+
+
+@query(f"""WITH {CRYSTALS}, {INDICES}, d AS (SELECT p_partkey, energy, h, k, l, 1 / sqrt((h * h + k * k + l * l) / a ** 2) AS d FROM crystals CROSS JOIN indices
+    WHERE h > 0 OR (h = 0 AND k > 0) OR (h = 0 AND k = 0 AND l > 0))
+    SELECT p_partkey, h, k, l, {r('d')} AS d, {r('degrees(2 * asin(12.398419843320026 / energy / (2 * d)))')} AS two_theta FROM d WHERE 12.398419843320026 / energy / (2 * d) <= 1""")
 def reflections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allowed reflections of a face-centred cubic cell."""
-    return rounded(physics.reflections(spark, (5.431, 5.431, 5.431, 90.0, 90.0, 90.0), "F", 12.0, 4))
+    """Allowed reflections of a face-centred cubic cell for each part."""
+    return rounded(physics.reflections(crystals(spark, sf_dir), ("p_partkey",), "F", 2))
 
 
 @query(f"""SELECT p_partkey, {r('12.398419843320026 / p_retailprice')} AS wavelength, {r('degrees(2 * asin(12.398419843320026 / 12.0 / (2 * p_size)))')} AS two_theta,
@@ -649,11 +662,12 @@ def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(own, 6, "giga_photons"), 3, "wavelength", "two_theta", "q", "transmission")
 
 
-@query(f"""WITH {DAILY} SELECT x, {r('4 * pi() * sin(radians(x)) / (12.398419843320026 / 10.0)')} AS q, {r('y / 2.0 / least(1.0, sin(radians(x)) * 20 / 0.1)', 4)} AS r FROM daily
-    WHERE event_type = 'click' AND x > 0""")
+@query(f"""WITH {DAILY} SELECT event_type, x, {r('4 * pi() * sin(radians(x)) / (12.398419843320026 / 10.0)')} AS q, {r('y / 2.0 / least(1.0, sin(radians(x)) * 20 / 0.1)', 4)} AS r
+    FROM daily WHERE x > 0""")
 def reflectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = daily(spark, sf_dir).filter("event_type = 'click'")
-    return rounded(rounded(scattering.reflectivity(curve, 10.0, 0.1, 20.0, 2.0, "rectangular"), 4, "q"), 6, "r")
+    """Every daily curve, its day taken as the angle in degrees."""
+    found = scattering.reflectivity(daily(spark, sf_dir), 10.0, 0.1, 20.0, 2.0, "rectangular", ("event_type",))
+    return rounded(rounded(found, 4, "q"), 6, "r")
 
 
 # Event time
@@ -839,13 +853,12 @@ def crystal_optics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(own)
 
 
-@query(f"""WITH i AS (SELECT h, k, l FROM range(-4, 5) a(h), range(-4, 5) b(k), range(-4, 5) c(l) WHERE (h <> 0 OR k <> 0 OR l <> 0) AND abs(h + k) % 2 = 0 AND abs(k + l) % 2 = 0),
-    d AS (SELECT *, round(1 / sqrt((h * h + k * k + l * l) / 5.431e0 ** 2), 6) AS d, 1 / sqrt((h * h + k * k + l * l) / 5.431e0 ** 2) AS e FROM i),
-    n AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY h DESC, k DESC, l DESC) AS o, count(*) OVER (PARTITION BY d) AS multiplicity FROM d)
-    SELECT d, h, k, l, multiplicity, {r('degrees(2 * asin(12.398419843320026 / 12e0 / (2 * e)))')} AS two_theta FROM n WHERE o = 1 AND 12.398419843320026 / 12e0 / (2 * e) <= 1""")
+@query(f"""WITH {CRYSTALS}, {INDICES}, d AS (SELECT p_partkey, energy, h, k, l, 1 / sqrt((h * h + k * k + l * l) / a ** 2) AS e FROM crystals CROSS JOIN indices),
+    n AS (SELECT *, round(e, 6) AS d, row_number() OVER (PARTITION BY p_partkey, round(e, 6) ORDER BY h DESC, k DESC, l DESC) AS o, count(*) OVER (PARTITION BY p_partkey, round(e, 6)) AS multiplicity FROM d)
+    SELECT p_partkey, d, h, k, l, multiplicity, {r('degrees(2 * asin(12.398419843320026 / energy / (2 * e)))')} AS two_theta FROM n WHERE o = 1 AND 12.398419843320026 / energy / (2 * e) <= 1""")
 def reflection_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = physics.reflections(spark, (5.431, 5.431, 5.431, 90.0, 90.0, 90.0), "F", 12.0, 4)
-    return rounded(crystal.families(own))
+    """Each part's reflections by spacing."""
+    return rounded(crystal.families(physics.reflections(crystals(spark, sf_dir), ("p_partkey",), "F", 2), ("p_partkey",)))
 
 
 RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY x) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM daily)"
@@ -954,10 +967,13 @@ def attenuation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t(spark, sf_dir, "part").select("p_partkey", physics.mass_attenuation(e, entries).alias("mass"), physics.attenuation_length(e, entries, 7.874).alias("length")))
 
 
-@query(f"""WITH g AS (SELECT k, 2 * sqrt(2 * ln(2e0)) AS f FROM range(21) t(k)), e AS (SELECT 12 + (k - 10) / 10e0 * 3 * 0.5e0 / f AS energy, exp(-0.5 * ((k - 10) / 10e0 * 3) ** 2) * CASE WHEN k IN (0, 20) THEN 0.5e0 ELSE 1e0 END AS w FROM g)
-    SELECT {r('energy')} AS energy, {r('w / sum(w) OVER ()')} AS weight FROM e""")
+@query(f"""WITH g AS (SELECT k, 2 * sqrt(2 * ln(2e0)) AS f FROM range(21) t(k)), e AS (SELECT p_partkey, 8 + p_partkey % 7 + (k - 10) / 10e0 * 3 * (p_size / 100e0) / f AS energy,
+    exp(-0.5 * ((k - 10) / 10e0 * 3) ** 2) * CASE WHEN k IN (0, 20) THEN 0.5e0 ELSE 1e0 END AS w FROM g CROSS JOIN part WHERE p_size IS NOT NULL)
+    SELECT p_partkey, {r('energy')} AS energy, {r('w / sum(w) OVER (PARTITION BY p_partkey)')} AS weight FROM e""")
 def energy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(physics.energy_grid(spark, 12.0, 0.5))
+    """The spectrum of a beam for each part, whose width follows its size."""
+    beams = crystals(spark, sf_dir).select("p_partkey", F.col("energy").alias("e0"), ((F.col("a") - 3) / 10).alias("fwhm"))
+    return rounded(physics.energy_grid(beams, ("p_partkey",)))
 
 
 @query(f"""SELECT p_partkey, {r('p_size ** 0.3e0')} AS first, {r('p_size ** 0.7e0')} AS second FROM part""")

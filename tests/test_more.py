@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from scanweave import model
+from scanweave.functions import physics
 from scanweave.operators import curves, imaging, omega, scans
 from scanweave.sources import store
 
@@ -141,3 +142,21 @@ def test_slopes_carry_their_uncertainties(spark):
     assert [r["dy_sigma"] for r in got] == pytest.approx([5.0, math.hypot(3, 12) / 3, math.hypot(4, 12) / 2])
     assert [r["integral_sigma"] for r in got] == pytest.approx(list(np.sqrt(np.cumsum([1.5**2, 6.0**2, 12.0**2]))))
     assert curves.derivative(df.filter("x = 0"), ("c",)).first()["dy_sigma"] is None
+
+
+def test_reflections_of_a_triclinic_crystal_equal_those_from_its_vectors(spark):
+    """Against the reciprocal lattice by vectors; a null cell has no reflections."""
+    cell = (4.0, 5.0, 6.0, 80.0, 95.0, 105.0)
+    rows = [("t", *cell, 10.0), ("none", None, *cell[1:], 10.0)]
+    df = spark.createDataFrame(rows, "name string, a double, b double, c double, alpha double, beta double, gamma double, energy double")
+    got = {(r["h"], r["k"], r["l"]): r["d"] for r in physics.reflections(df, ("name",), "P", 2).collect()}
+    a, b, c = cell[:3]
+    ca, cb, cg = np.cos(np.radians(cell[3:]))
+    sg = np.sqrt(1 - cg**2)
+    x = c * (ca - cb * cg) / sg
+    direct = np.array([[a, 0, 0], [b * cg, b * sg, 0], [c * cb, x, np.sqrt(c**2 - (c * cb) ** 2 - x**2)]])
+    recip = np.linalg.inv(direct).T
+    for hkl, d in got.items():
+        assert np.isclose(d, 1 / np.linalg.norm(np.array(hkl) @ recip))
+    assert (0, 0, 0) not in got and all(tuple(-i for i in hkl) not in got for hkl in got)
+    assert len(got) == 62  # all that an energy of 10 keV reaches
