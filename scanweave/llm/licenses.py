@@ -20,6 +20,7 @@ import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -169,7 +170,7 @@ OTHERS = (
     "The domain of the function is open to the public.",
 )
 #: Words of notices; paragraphs with one of them are sampled besides, as the hard cases among ordinary text.
-NOTICE_WORDS = r"(?i)licen[cs]|copyright|\bpermission|\breserved|\bpublic\b|\bdomain\b|\bdistribut|\bcreative\b|\bterms\b|\bgnu\b|\bcc\b|\bapache|\bmozilla|\bbsd\b"
+NOTICE_WORDS = ("licen", "copyright", "permission", "reserved", "public", "domain", "distribut", "creative", "terms", "apache", "mozilla")
 #: A line end inside a sentence: no sentence ends before it, and the next line goes on in lower case, after marks of a comment.
 _WRAP = r"(?<=[^\s.!?:;])[ \t]*\n[ \t]*(?:[#*/;%-]+[ \t]*)?(?=\p{Ll})"
 
@@ -231,16 +232,22 @@ class LicenseModel:
     intercept: float
 
     def helpful(self) -> list[str] | None:
-        """Words of which a paragraph that passes must have one; None if it may pass without."""
-        odds = math.log(sum(map(math.exp, self.offsets)))
-        if self.slope * odds + self.intercept >= math.log(LEAST_PROBABILITY / (1 - LEAST_PROBABILITY)):
+        """Words of which a paragraph that passes must have one; None if it may pass without.
+
+        N-grams of short, frequent words are left out as long as all of them together can't lift a paragraph to the threshold.
+        """
+        least = (math.log(LEAST_PROBABILITY / (1 - LEAST_PROBABILITY)) - self.intercept) / self.slope
+        reach, kept = list(self.offsets), []
+        if math.log(sum(map(math.exp, reach))) >= least:
             return None
-        good = [t for t, ws in self.weights.items() if max(ws) > 0]
-        chosen = {t for t in good if " " not in t}
-        for first, second in sorted(t.split(" ") for t in good if " " in t):
-            if first not in chosen and second not in chosen:
-                chosen.add(max(first, second, key=len))
-        return sorted(chosen)
+        longest = lambda t: max(t.split(" "), key=len)
+        for t in sorted((t for t, ws in self.weights.items() if max(ws) > 0), key=lambda t: (len(longest(t)), t)):
+            lifted = [r + max(w, 0.0) for r, w in zip(reach, self.weights[t], strict=True)]
+            if math.log(sum(map(math.exp, lifted))) < least:
+                reach = lifted
+            else:
+                kept.append(longest(t))
+        return sorted(set(kept))
 
 
 def _sample(own: DataFrame) -> DataFrame:
@@ -251,7 +258,8 @@ def _sample(own: DataFrame) -> DataFrame:
     ids = own.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE_DOCUMENTS).distinct()
     least = [F.xxhash64("paragraph"), "paragraph"]
     some = paragraphs(own.join(F.broadcast(ids), "doc_id", "left_semi")).select("paragraph").distinct().orderBy(*least).limit(SAMPLE_LINES)
-    hard = paragraphs(own.filter(F.col("text").rlike(NOTICE_WORDS))).select("paragraph").filter(F.col("paragraph").rlike(NOTICE_WORDS))
+    told = lambda name: bound(F.lower(name), lambda x: reduce(Column.__or__, [x.contains(w) for w in NOTICE_WORDS]))
+    hard = paragraphs(own.filter(told("text"))).select("paragraph").filter(told("paragraph"))
     hard = hard.distinct().orderBy(*least).limit(SAMPLE_LINES)
     both = some.select("paragraph", F.lit(0.1).alias("weight")).unionByName(hard.select("paragraph", F.lit(0.3).alias("weight")))
     owns = F.from_json(F.lit(json.dumps([r["own"] for r in _templates(own.sparkSession).collect() if len(r["own"]) >= 3])), "array<array<string>>")
