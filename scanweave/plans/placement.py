@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanweave import model
-from scanweave.operators import clusters, curves, fitting, grids, imaging, omega, powder, registration, scans, spots, stitching
+from scanweave.operators import clusters, curves, fitting, grids, imaging, omega, powder, registration, scan_tables, scans, spots, stitching
 from scanweave.plans.queries import CELLS, DAILY, IMAGE, daily, images, pixels, query, r, rounded, t
 from scanweave.sources import formats
 from scanweave.streaming import runs
@@ -501,3 +501,80 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", "l_partkey", (V("l_orderkey").cast("double") * 8 + V("l_linenumber")).alias("motor"), V("l_extendedprice").alias("det"), V("l_quantity").alias("ion"), (V("l_linenumber") + 20).alias("sec"),
     )
     return rounded(scans.counters(own, "motor", ("det", "ion"), ("l_suppkey", "l_partkey"), "ion", 0.437), 5)
+
+
+# Tables of scans that recorded different motors
+
+NAMES = tuple(f"m{k}" for k in range(1, 8))
+#: Another name of m1, a motor that m2 drives, and steps below which a motor only drifts.
+RULES: dict = {"aliases": {"legacy": ("m1",), "m6": ("m7",)}, "followers": {"m2": ("encoder",)}, "least": {"drift": 1e-3, "m3": 1.0}}
+TABLE = """recorded AS (SELECT l_orderkey AS scan, 'm' || l_linenumber AS name, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, 'legacy', l_quantity FROM lineitem WHERE l_linenumber = 1
+    UNION ALL SELECT l_orderkey, 'encoder', l_quantity * 2 FROM lineitem WHERE l_linenumber = 2 UNION ALL SELECT o_orderkey, 'drift', (o_orderkey % 7) * 1e-5 FROM orders UNION ALL SELECT l_orderkey, 'still', 4.0 FROM lineitem),
+    scans AS (SELECT o_orderkey AS scan, CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN 'running' ELSE 'aborted' END AS status, CAST(0 AS INTEGER) AS missing FROM orders),
+    wide AS (SELECT scan, """ + ", ".join(f"max(value) FILTER (name = '{n}') AS {n}" for n in (*NAMES, "legacy", "encoder", "drift", "still")) + """ FROM recorded GROUP BY scan),
+    scan_tab AS (SELECT * FROM scans LEFT JOIN wide USING (scan))"""
+
+
+def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as scans, each with the motors that its line items recorded."""
+    orders, items = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
+    status = F.when(V("o_orderstatus") == "F", "complete").when(V("o_orderstatus") == "O", "running").otherwise("aborted")
+    own = orders.select(V("o_orderkey").alias("scan"), status.alias("status"), F.lit(0).alias("missing"))
+    row = lambda name, value, when=True: F.when(F.lit(True) if when is True else when, F.struct(F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), value.cast("double").alias("value")))
+    number, q = V("l_linenumber"), V("l_quantity")
+    rows = F.array_compact(F.array(row(F.concat(F.lit("m"), number.cast("string")), q), row("legacy", q, number == 1), row("encoder", q * 2, number == 2), row("still", F.lit(4.0))))
+    recorded = items.select(V("l_orderkey").alias("scan"), F.inline(rows))
+    drift = orders.select(V("o_orderkey").alias("scan"), F.lit("drift").alias("name"), (V("o_orderkey") % 7 * 1e-5).alias("value"))
+    return scan_tables.scan_table(own, recorded.unionByName(drift), (*NAMES, "legacy", "encoder", "drift", "still"))
+
+
+@query(f"WITH {TABLE} SELECT * FROM scan_tab")
+def scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each scan, whatever motors it recorded."""
+    return rounded(scan_rows(spark, sf_dir), 9, "drift")
+
+
+#: What each positioner tells, then the rules in their order.
+TOLD = ", ".join(f"('{n}', (SELECT min({n}) FROM scan_tab), (SELECT max({n}) FROM scan_tab))" for n in (*NAMES, "legacy", "encoder", "drift", "still"))
+
+
+@query(f"""WITH {TABLE}, told AS (SELECT * FROM (VALUES {TOLD}) v(name, low, high)), still AS (SELECT name FROM told WHERE low IS NULL OR low = high),
+    twins AS (SELECT 'legacy' AS name WHERE NOT EXISTS (SELECT 1 FROM scan_tab WHERE legacy IS DISTINCT FROM m1) UNION ALL SELECT 'm6' WHERE NOT EXISTS (SELECT 1 FROM scan_tab WHERE m6 IS DISTINCT FROM m7)),
+    led AS (SELECT 'encoder' AS name WHERE 'm2' NOT IN (SELECT name FROM still UNION ALL SELECT name FROM twins)),
+    small AS (SELECT name FROM told WHERE (name = 'drift' AND high - low < 1e-3) OR (name = 'm3' AND high - low < 1)),
+    gone AS (SELECT name FROM still UNION SELECT name FROM twins UNION SELECT name FROM led UNION SELECT name FROM small
+        UNION SELECT 'missing' WHERE NOT EXISTS (SELECT 1 FROM scan_tab WHERE missing > 0) UNION SELECT 'status' WHERE NOT EXISTS (SELECT 1 FROM scan_tab WHERE status <> 'complete')),
+    cells AS (UNPIVOT (SELECT scan, status, {", ".join(f"CAST(CAST({n} AS DOUBLE) AS VARCHAR) AS {n}" for n in NAMES)} FROM scan_tab) ON COLUMNS(* EXCLUDE scan) INTO NAME name VALUE value)
+    SELECT name AS "column", count(*) AS "cells" FROM cells WHERE name NOT IN (SELECT name FROM gone) GROUP BY name""")
+def compact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the table of scans that tell something, with the number of their values."""
+    own = scan_rows(spark, sf_dir)
+    shown = scan_tables.compact(own, (*NAMES, "legacy", "encoder", "drift", "still"), **RULES)
+    counted = shown.agg(*[F.count(c).alias(c) for c in shown.columns if c != "scan"])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), V(c).alias("cells")) for c in counted.columns])))
+
+
+@query(f"""WITH {TABLE}, inner_ AS (SELECT 'price' AS motor, l_extendedprice AS value, 3 AS place FROM lineitem UNION ALL SELECT 'tax', l_tax, 4 FROM lineitem UNION ALL SELECT 'flat', 1.0, 5 FROM lineitem UNION ALL SELECT 'm4', l_discount, 6 FROM lineitem),
+    within_ AS (SELECT motor, count(DISTINCT round(value, 9)) AS "values", 'scan' AS "where", false AS chosen, CAST(any_value(place) AS INTEGER) AS place FROM inner_ GROUP BY motor
+        HAVING max(value) - min(value) >= CASE WHEN motor = 'tax' THEN 0.5 ELSE 1e-9 END),
+    outer_ AS (SELECT unnest([{", ".join(f"{{'motor': '{n}', 'value': {n}, 'place': {k}}}" for k, n in enumerate(("m5", *[m for m in NAMES if m != "m5"], "encoder", "drift", "still"), 7))}], recursive := true) FROM scan_tab),
+    between_ AS (SELECT motor, count(DISTINCT value) AS "values", 'stack' AS "where", motor = 'm5' AS chosen, CAST(any_value(place) AS INTEGER) AS place FROM outer_ GROUP BY motor
+        HAVING count(DISTINCT value) > 1 AND max(value) - min(value) >= CASE WHEN motor = 'drift' THEN 1e-3 WHEN motor = 'm3' THEN 1 ELSE 0 END)
+    SELECT 'slow' AS motor, 10 AS "values", 'scan' AS "where", true AS chosen, 1 AS place UNION ALL SELECT 'fast', 12, 'scan', true, 2
+    UNION ALL SELECT * FROM within_ UNION ALL SELECT * FROM between_ WHERE motor NOT IN (SELECT motor FROM within_)""")
+def motor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The motors that may be axes: the scan's own, channels that moved in it, positioners that differ between scans."""
+    items = t(spark, sf_dir, "lineitem")
+    frames = items.select(V("l_extendedprice").alias("price"), V("l_tax").alias("tax"), F.lit(1.0).alias("flat"), V("l_discount").alias("m4"))
+    least = {"tax": 0.5, **RULES["least"]}
+    return scan_tables.motor_candidates(
+        frames, scan_rows(spark, sf_dir), {"slow": 10, "fast": 12}, ("price", "tax", "flat", "m4"), (*NAMES, "legacy", "encoder", "drift", "still"), ("m5",), {"legacy": ("m1",)}, least
+    )
+
+
+@query(f"""WITH {MOTORS}, {AXES} SELECT frames.scan, frames.frame, slow_index AS index_slow, fast_index AS index_fast, {r('slow', 6)} AS slow, {r('fast', 6)} AS fast
+    FROM frames LEFT JOIN points ON points.scan = frames.scan AND points.frame = frames.frame""")
+def positions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame with its indices on its scan's grid and its readbacks."""
+    found = supplier_grids(spark, sf_dir)
+    return rounded(scan_tables.positions(jittery(spark, sf_dir), found.points, ("slow", "fast"), ("slow", "fast"), "frame", ("scan",)), 6, "slow", "fast")
