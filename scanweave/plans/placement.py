@@ -336,7 +336,7 @@ def fit_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Layouts of folders, and runs
 
 
-RULES = [
+LAYOUTS = [
     formats.Rule("numbered", files=("[0-9]*",)),
     formats.Rule("dated", files=("*?page=*",), only=("*page=*", "*#*", "[0-9]*")),
     formats.Rule("plain", only=("*",)),
@@ -355,7 +355,7 @@ ENTRIES = """whole AS (SELECT split_part(url, '//', 2) AS p FROM pages), entries
     SELECT folder, rule, score, CAST(specificity AS INTEGER) AS specificity, CAST(row_number() OVER (PARTITION BY folder ORDER BY score DESC, specificity DESC, rule DESC) AS INTEGER) AS rank FROM s""")
 def match_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each web folder's score for four layouts, by the names in it and above it."""
-    return formats.scores(web_entries(spark, sf_dir), RULES)
+    return formats.scores(web_entries(spark, sf_dir), LAYOUTS)
 
 
 def web_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,7 +507,7 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = tuple(f"m{k}" for k in range(1, 8))
 #: Another name of m1, a motor that m2 drives, and steps below which a motor only drifts.
-RULES: dict = {"aliases": {"legacy": ("m1",), "m6": ("m7",)}, "followers": {"m2": ("encoder",)}, "least": {"drift": 1e-3, "m3": 1.0}}
+POSITIONERS: dict = {"aliases": {"legacy": ("m1",), "m6": ("m7",)}, "followers": {"m2": ("encoder",)}, "least": {"drift": 1e-3, "m3": 1.0}}
 TABLE = """recorded AS (SELECT l_orderkey AS scan, 'm' || l_linenumber AS name, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, 'legacy', l_quantity FROM lineitem WHERE l_linenumber = 1
     UNION ALL SELECT l_orderkey, 'encoder', l_quantity * 2 FROM lineitem WHERE l_linenumber = 2 UNION ALL SELECT o_orderkey, 'drift', (o_orderkey % 7) * 1e-5 FROM orders UNION ALL SELECT l_orderkey, 'still', 4.0 FROM lineitem),
     scans AS (SELECT o_orderkey AS scan, CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN 'running' ELSE 'aborted' END AS status, CAST(0 AS INTEGER) AS missing FROM orders),
@@ -549,7 +549,7 @@ TOLD = ", ".join(f"('{n}', (SELECT min({n}) FROM scan_tab), (SELECT max({n}) FRO
 def compact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of the table of scans that tell something, with the number of their values."""
     own = scan_rows(spark, sf_dir)
-    shown = scan_tables.compact(own, (*NAMES, "legacy", "encoder", "drift", "still"), **RULES)
+    shown = scan_tables.compact(own, (*NAMES, "legacy", "encoder", "drift", "still"), **POSITIONERS)
     counted = shown.agg(*[F.count(c).alias(c) for c in shown.columns if c != "scan"])
     return counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), V(c).alias("cells")) for c in counted.columns])))
 
@@ -566,7 +566,7 @@ def motor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The motors that may be axes: the scan's own, channels that moved in it, positioners that differ between scans."""
     items = t(spark, sf_dir, "lineitem")
     frames = items.select(V("l_extendedprice").alias("price"), V("l_tax").alias("tax"), F.lit(1.0).alias("flat"), V("l_discount").alias("m4"))
-    least = {"tax": 0.5, **RULES["least"]}
+    least = {"tax": 0.5, **POSITIONERS["least"]}
     return scan_tables.motor_candidates(
         frames, scan_rows(spark, sf_dir), {"slow": 10, "fast": 12}, ("price", "tax", "flat", "m4"), (*NAMES, "legacy", "encoder", "drift", "still"), ("m5",), {"legacy": ("m1",)}, least
     )
