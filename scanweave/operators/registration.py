@@ -143,7 +143,7 @@ def overlapping(positions: DataFrame, mosaic: str, tile: str, height: int, width
     cell = positions.select(mosaic, tile, "y0", "x0", F.floor(V("y0") / height).alias("i"), F.floor(V("x0") / width).alias("j"))
     near = F.explode(F.array(*[F.struct((V("i") + a).alias("i"), (V("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     spread = cell.select(mosaic, V(tile).alias("a"), V("y0").alias("ya"), V("x0").alias("xa"), near.alias("c")).select(mosaic, "a", "ya", "xa", "c.*")
-    met = spread.join(cell.withColumnRenamed(tile, "b"), [mosaic, "i", "j"]).filter("a < b")
+    met = spread.hint("merge").join(cell.withColumnRenamed(tile, "b"), [mosaic, "i", "j"]).filter("a < b")
     way = met.select(mosaic, "a", "b", (V("y0") - V("ya")).cast("int").alias("y"), (V("x0") - V("xa")).cast("int").alias("x"))
     return way.filter((F.abs("y") < height) & (F.abs("x") < width))
 
@@ -176,7 +176,8 @@ def pair_offsets(tiles: DataFrame, pairs: DataFrame, mosaic: str, tile: str, hei
             yield pd.DataFrame(rows, columns=[mosaic, "a", "b", "dy", "dx", "n"])
 
     own = tiles.select(mosaic, tile, "pixels")
-    both = pairs.join(own.select(mosaic, V(tile).alias("a"), V("pixels").alias("pa")), [mosaic, "a"]).join(own.select(mosaic, V(tile).alias("b"), V("pixels").alias("pb")), [mosaic, "b"])
+    one, other = (own.select(mosaic, V(tile).alias(c), V("pixels").alias(f"p{c}")).hint("merge") for c in "ab")  # frames are never broadcast
+    both = pairs.join(one, [mosaic, "a"]).join(other, [mosaic, "b"])
     ordered = both.select(mosaic, "a", "b", "y", "x", "pa", "pb")
     return ordered.mapInPandas(run, f"{_kind(ordered, mosaic, 'a', 'b')}, dy int, dx int, n int")
 
@@ -188,10 +189,7 @@ def _solved(a: np.ndarray, b: np.ndarray, weight: np.ndarray, way: np.ndarray, n
         return spread(weight[:, None] * (c[b] - c[a]))
 
     def spread(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((n, 2))
-        np.add.at(out, b, rows)
-        np.subtract.at(out, a, rows)
-        return out
+        return np.stack([np.bincount(b, r, n) - np.bincount(a, r, n) for r in rows.T], axis=1)
 
     c = np.zeros((n, 2))
     rest = spread(weight[:, None] * way)
@@ -227,5 +225,5 @@ def refined_positions(tiles: DataFrame, positions: DataFrame, mosaic: str, tile:
         return pd.DataFrame({mosaic: rows[mosaic].iloc[0], tile: names, "cy": c[:, 0], "cx": c[:, 1]})
 
     solved = found.groupBy(mosaic).applyInPandas(solve, f"{_kind(positions, mosaic, tile)}, cy double, cx double")
-    joined = positions.join(solved, [mosaic, tile], "left")
+    joined = positions.hint("merge").join(solved, [mosaic, tile], "left")
     return joined.select(mosaic, tile, *[(V(f"{d}0") + F.coalesce(f"c{d}", F.lit(0.0))).alias(f"{d}0") for d in "yx"])

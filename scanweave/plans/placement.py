@@ -274,15 +274,17 @@ def shift_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mosaic_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles cut from one scene a pixel or two beside the stage's positions; their overlaps tell where they were."""
     vectors = t(spark, sf_dir, "embeddings")
-    at = V("vec_id")
-    scene = model.cells(vectors, "embedding", 8, ("vec_id",)).select((F.floor(at / 25) * 8 + V("y")).alias("sy"), (at % 25 * 8 + V("x")).alias("sx"), "v")
     height = vectors.agg(((F.floor((F.max("vec_id") + 1) / 25) * 8 - 44) / 32).cast("int").alias("last"))
     rows = height.select(F.explode(F.sequence(F.lit(0), V("last"))).alias("row"))
     stage = rows.select("row", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("col")).withColumn("tile", V("row") * 5 + V("col"))
     stage = registration.grid_positions(stage, "row", "col", 32, 32).select(F.lit(0).alias("mosaic"), "tile", (V("y0") + 2).alias("y0"), (V("x0") + 2).alias("x0"))
-    cut = stage.select("mosaic", "tile", (V("y0") + V("tile") * 7 % 5 - 2).alias("ty"), (V("x0") + V("tile") * 11 % 13 % 5 - 2).alias("tx"))
-    grid = cut.select("*", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("x"))
-    cells = grid.withColumns({"sy": V("ty").cast("long") + V("y"), "sx": V("tx").cast("long") + V("x")}).join(scene, ["sy", "sx"])
+    cut = stage.select("mosaic", "tile", (V("y0") + V("tile") * 7 % 5 - 2).cast("long").alias("ty"), (V("x0") + V("tile") * 11 % 13 % 5 - 2).cast("long").alias("tx"))
+    # each tile meets the frames of the scene that it touches, not their pixels one by one; its rows are made, so their number is unknown to Spark
+    frames = lambda c: F.explode(F.sequence(F.floor(V(c) / 8), F.floor((V(c) + 39) / 8)))
+    met = cut.withColumn("i", frames("ty")).withColumn("j", frames("tx")).filter("i >= 0 AND j BETWEEN 0 AND 24").withColumn("vec_id", V("i") * 25 + V("j"))
+    touched = met.hint("merge").join(vectors.select("vec_id", "embedding"), "vec_id")
+    seen = model.cells(touched, "embedding", 8, ("mosaic", "tile", "ty", "tx", "i", "j"))
+    cells = seen.withColumns({"y": (V("i") * 8 + V("y") - V("ty")).cast("int"), "x": (V("j") * 8 + V("x") - V("tx")).cast("int")}).filter("y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 39")
     tiles = registration.packed(cells.select("mosaic", "tile", "y", "x", "v"), ("mosaic", "tile"), 40)
     return rounded(registration.refined_positions(tiles, stage, "mosaic", "tile", 40, 40, 4).select("tile", "y0", "x0"))
 

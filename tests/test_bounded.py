@@ -18,3 +18,8 @@ def plan_of(df) -> str:
 def test_crystals_are_searched_without_joins(spark):
     plan = plan_of(QUERIES["omega_offsets"](spark, SF_DIR))
     assert "Broadcast" not in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_tiles_are_not_broadcast(spark):
+    plan = plan_of(QUERIES["mosaic_positions"](spark, SF_DIR))
+    assert "Broadcast" not in plan
