@@ -29,7 +29,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, whose texts are linked by a 5-word Jaccard similarity of 0.8 or more."""
+    """One document of each group stays: SimHash's candidates, and in an exact search what they leave apart, of 5-word Jaccard similarity 0.8 or more."""
     return simhash.representatives(docs)
 
 

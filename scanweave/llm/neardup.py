@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -151,8 +151,10 @@ def _frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.n
         if total > most:
             break
         lowest = row["bin"]
-    rows = table.filter(F.col("bin") >= lowest).toPandas().sort_values("key")
-    return rows["key"].to_numpy(np.int64), rows["bin"].to_numpy(np.int8)
+    rows = table.filter(F.col("bin") >= lowest).toArrow()  # rows as objects would take some hundreds of bytes each
+    keys, bins = rows["key"].to_numpy(), rows["bin"].to_numpy().astype(np.int8)
+    order = np.argsort(keys)
+    return keys[order], bins[order]
 
 
 def _keys(once: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -187,9 +189,9 @@ def _marked(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """
     bit = F.pmod("key", F.lit(MARKS))
     words = groups.select(F.floor(bit / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, int(pmod(key, {MARKS}) % 64))").alias("word"))
-    rows = words.groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    rows = words.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     marks = np.zeros(MARKS >> 6, dtype="<i8")
-    marks[rows["at"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
+    marks[rows["at"].to_numpy()] = rows["word"].to_numpy()
     shared = keyed.sparkSession.sparkContext.broadcast(marks.view(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,24 +239,30 @@ def _meeting(rows: DataFrame) -> DataFrame:
     return a.join(b, "key").filter(near & ~alone).select("key", F.col("a.band").alias("band"), F.col("b.band").alias("other"))
 
 
-def links(once: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], most: int = PAIRS_UP_TO) -> DataFrame:
+def links(once: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], known: DataFrame | None, most: int = PAIRS_UP_TO) -> DataFrame:
     """Links ``u, v`` whose closure is that of all pairs of nodes with the least similarity.
 
-    ``once(th long, text string)`` and ``nodes(node long, th long)`` must hold each node once.
+    ``once(th long, text string)`` and ``nodes(node long, th long)`` must hold each node once. ``known`` are links found
+    before; only nodes that these leave apart are paired, and they are among the links returned.
     """
     keyed = written(_keys(once, frequent), "keys")
     groups = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
     shared = written(dealt_join(_marked(keyed, groups), groups, ["key"], counts=groups), "shared", keyed)
+    if known is None:
+        known, shared = nodes.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v")), shared.withColumn("root", F.col("node"))
+    else:
+        own = dealt_join(shared, connected_components(known), ["node"], "left")
+        shared = written(own.withColumn("root", F.coalesce("root", "node")), "shared", shared)
     small, large = shared.filter(F.col("n") <= most), shared.filter(F.col("n") > most)
 
     def ordered(u: str, v: str) -> list[Column]:
         return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
-    a, b = (small.select("key", F.struct("node", "size", "pos").alias(x)) for x in "ab")
-    near = _possible(F.col("a.size"), F.col("a.pos"), F.col("b.size"), F.col("b.pos"))
+    a, b = (small.select("key", F.struct("node", "size", "pos", "root").alias(x)) for x in "ab")
+    near = _possible(F.col("a.size"), F.col("a.pos"), F.col("b.size"), F.col("b.pos")) & (F.col("a.root") != F.col("b.root"))
     pairs = a.join(b, "key").filter((F.col("a.node") > F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     if large.isEmpty():
-        return written(_verify(written(pairs.distinct(), "pairs"), once, nodes), "links")
+        return known.unionByName(written(_verify(written(pairs.distinct(), "pairs"), once, nodes), "links"))
 
     def stars(rows: DataFrame, turn: int) -> DataFrame:
         """Each node of ``rows(key, node, size, pos, root)`` with the node of its group that comes first in this turn's order: at first the least changed one."""
@@ -265,13 +273,13 @@ def links(once: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndar
         fits = _possible(F.col("size"), F.col("pos"), F.col("c.size"), F.col("c.pos"))
         return met.filter((F.col("root") != F.col("c.root")) & fits).select("node", F.col("c.node").alias("other")).select(*ordered("node", "other"))
 
-    banded = written(_banded(large.select("key", "node", "size", "pos", F.col("node").alias("root"))), "large")
+    banded = written(_banded(large.select("key", "node", "size", "pos", "root")), "large")
     meeting = written(_meeting(banded), "bands")
     live = dealt_join(banded, meeting.select("key", "band").distinct(), ["key", "band"])
     rooted = written(live.select("key", "node", "size", "pos", "root"), "large", banded)
     if rooted.isEmpty():
-        return written(_verify(written(pairs.distinct(), "pairs"), once, nodes), "links")
-    found = pairs.limit(0)
+        return known.unionByName(written(_verify(written(pairs.distinct(), "pairs"), once, nodes), "links"))
+    found = known
     for turn in range(ROUNDS):
         candidates = stars(rooted, turn)
         tried = written((candidates.unionByName(pairs) if turn == 0 else candidates).distinct(), "pairs")
@@ -290,17 +298,17 @@ def links(once: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndar
     apart = rooted.filter("root != main").select("key", "band", F.struct("node", "size", "pos", "root").alias("a"))
     outside = dealt_join(apart, meeting, ["key", "band"]).select("key", F.col("other").alias("band"), "a")
     inside = rooted.select("key", "band", F.struct("node", "size", "pos", "root").alias("b"))
-    near = near & (F.col("a.root") != F.col("b.root"))
     rest = dealt_join(inside, outside, ["key", "band"]).filter(near).select(F.col("a.node").alias("p"), F.col("b.node").alias("q")).select(*ordered("p", "q"))
     return found.unionByName(written(_verify(written(rest.distinct(), "pairs"), once, nodes), "links"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of ``docs`` with one of each group of near duplicates: that of the least doc_id, then of the least text hash.
 
     Rows without a doc_id come after all others. Words are cut at ASCII white
     space and compared without the case of A-Z; null texts are empty, and texts
-    without words are alike. Of rows that are equal in doc_id and text one stays.
+    without words are alike. Of rows that are equal in doc_id and text one stays. ``candidates`` gives pairs ``u, v`` of the
+    nodes of ``(node, text)``, which are verified first; the search is then for links between what they leave apart.
     """
     bounded_batches(docs.sparkSession)
     own = _keyed_docs(docs, id_col, text_col)
@@ -313,7 +321,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dup = written(several.select("th", (F.col("th") == F.col("first")).alias("chosen")).distinct(), "several")
     alone = own.select("th", "text").join(dup, "th", "left_anti")
     first = own.select("th", "text").join(dup.filter("chosen"), "th", "left_semi").dropDuplicates(["th"])
-    comps = connected_components(links(alone.unionByName(first), nodes.select("node", "th"), frequent))
+    texts_of, node_of_text = alone.unionByName(first), nodes.select("node", "th")
+    known = None
+    if candidates is not None:
+        tried = written(candidates(texts_of.join(node_of_text, "th").select("node", "text")), "pairs")
+        known = written(_verify(tried, texts_of, node_of_text), "links")
+    comps = connected_components(links(texts_of, node_of_text, frequent, known))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "n")
     kept = written(
         rows.groupBy("doc_id", "th", "node").agg(F.count("*").alias("n"))

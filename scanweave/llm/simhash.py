@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanweave.llm import neardup
-from scanweave.llm.common import signed, texts, written
+from scanweave.llm.common import dealt_join, signed, texts, written
 from scanweave.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -127,6 +127,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` of ``nodes(node long, text string)``, u the larger, whose closure is that of all with fingerprints within two bits.
+
+    Nodes of one fingerprint meet the least of them; of two linked fingerprints the least nodes meet.
+    """
+    own = written(nodes.select("node", "text").mapInArrow(_fingerprints, "doc_id long, fp long").withColumnRenamed("doc_id", "node"), "fingerprints")
+    least = written(own.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    equal = dealt_join(own, least, ["fp"]).select("node", F.col("least").alias("other"))
+    u, v = (least.select(F.col("fp").alias(c), F.col("least").alias(name)) for c, name in (("u", "node"), ("v", "other")))
+    near = dealt_join(dealt_join(written(links(least.select("fp")), "links"), u, ["u"]), v, ["v"]).select("node", "other")
+    pairs = equal.unionByName(near).filter("node != other")
+    return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one of each group of near duplicates, by 5-word similarity rather than by fingerprint; see ``neardup``."""
-    return neardup.representatives(docs, id_col, text_col)
+    """The rows of ``docs`` with one of each group of near duplicates: texts of 5-word similarity 0.8 or more.
+
+    SimHash gives the first candidates, which are verified exactly. Two bits reach close copies only (texts at 0.8 differ in about ten),
+    so what it leaves apart is searched by ``neardup``'s exact way for the rest: no link is lost.
+    """
+    return neardup.representatives(docs, id_col, text_col, candidates)

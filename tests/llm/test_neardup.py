@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from scanweave.llm import neardup
+import corpus_pipeline
+from scanweave.llm import neardup, simhash
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -97,3 +98,18 @@ def test_bands_that_meet_hold_every_possible_pair(spark):
         for b in banded:
             if a["key"] == b["key"] and a["node"] != b["node"] and 9 * min(a["size"] - a["pos"], b["size"] - b["pos"]) >= 4 * (a["size"] + b["size"]):
                 assert (a["key"], a["band"], b["band"]) in meeting
+
+
+def test_the_pipelines_stage_starts_from_simhash(spark, monkeypatch):
+    """SimHash's pairs are verified before the exact search, which meets only what they leave apart; the rows equal brute force."""
+    called, verified = [], []
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, do=simhash.candidates: called.append(do(nodes)) or called[-1])
+    monkeypatch.setattr(neardup, "_verify", lambda c, once, nodes, do=neardup._verify: verified.append({(r["u"], r["v"]) for r in c.collect()}) or do(c, once, nodes))
+    r = random.Random(3)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(600)] for _ in range(5)]
+    copies = [(100 * k + i, " ".join([*words[:-1], f"x{i}"])) for k, words in enumerate(base) for i in range(6)]
+    rows = [*copies, *((1000 + i, t) for i, t in variants(20, (1, 6)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup_stage(spark, docs, SF_DIR).collect()) == wanted(rows)
+    near = {(x["u"], x["v"]) for x in called[0].collect()}
+    assert near and verified[0] == near and not any(near & later for later in verified[1:])
