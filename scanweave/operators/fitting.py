@@ -59,26 +59,29 @@ def _least_squares(
     cost = ((weights * (y - model(p))) ** 2).sum(axis=1)
     at = np.arange(p.shape[1])
 
-    def linearised() -> tuple[np.ndarray, np.ndarray]:
-        base = model(p)
-        step = math.sqrt(np.finfo(float).eps) * np.maximum(1.0, np.abs(p))
-        slopes = np.stack([weights * (model(p + step * (at == k)) - base) / step[:, k, None] for k in free], axis=2)
-        return np.einsum("nik,nil->nkl", slopes, slopes), np.einsum("nik,ni->nk", slopes, weights * (y - base))
-
+    def linearised(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, w = p[k], weights[k] if isinstance(weights, np.ndarray) else weights
+        base = model(own)
+        step = math.sqrt(np.finfo(float).eps) * np.maximum(1.0, np.abs(own))
+        slopes = np.stack([w * (model(own + step * (at == i)) - base) / step[:, i, None] for i in free], axis=1)
+        return slopes @ slopes.transpose(0, 2, 1), (slopes @ (w * (y[k] - base))[..., None])[..., 0]
+
+    k = np.arange(len(y))  # curves that still move
     for _ in range(iterations):
-        normal, right = linearised()
+        normal, right = linearised(k)
         scale = np.maximum(np.einsum("nkk->nk", normal), 1e-12)
-        move = np.linalg.solve(normal + damping[:, None, None] * np.eye(len(free)) * scale[:, None, :], right[..., None])[..., 0]
-        new = p.copy()
-        new[:, free] = np.clip(p[:, free] + move, low[..., free], high[..., free])
-        trial = ((weights * (y - model(new))) ** 2).sum(axis=1)
-        better = trial < cost
-        settled = np.abs(new - p).max(axis=1) <= 1e-10 * (1 + np.abs(p).max(axis=1))
-        p[better], cost[better] = new[better], trial[better]
-        damping = np.where(better, np.maximum(damping / 3, 1e-12), np.minimum(damping * 4, 1e12))
-        if (settled | ~better & (damping > 1e10)).all():
+        move = np.linalg.solve(normal + damping[k, None, None] * np.eye(len(free)) * scale[:, None, :], right[..., None])[..., 0]
+        new = p[k]
+        new[:, free] = np.clip(new[:, free] + move, low[..., free], high[..., free])
+        trial = (((weights[k] if isinstance(weights, np.ndarray) else weights) * (y[k] - model(new))) ** 2).sum(axis=1)
+        better = trial < cost[k]
+        settled = np.abs(new - p[k]).max(axis=1) <= 1e-10 * (1 + np.abs(p[k]).max(axis=1))
+        p[k[better]], cost[k[better]] = new[better], trial[better]
+        damping[k] = np.where(better, np.maximum(damping[k] / 3, 1e-12), np.minimum(damping[k] * 4, 1e12))
+        k = k[~(settled | ~better & (damping[k] > 1e10))]
+        if not len(k):
             break
-    return p, cost, linearised()[0]
+    return p, cost, linearised(np.arange(len(y)))[0]
 
 
 def fit_batch(x: np.ndarray, y: np.ndarray, shape: str = "gaussian", iterations: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -52,10 +52,11 @@ def solve(frames: np.ndarray, x: np.ndarray, y: np.ndarray, p: np.ndarray, round
             fitted, slopes = _model(p[k], x, y)
             slopes = slopes * known[k][:, :, None]
             off = np.where(known[k], values[k] - fitted, 0.0)
-            normal = np.einsum("fni,fnj->fij", slopes, slopes)
+            across = slopes.transpose(0, 2, 1)
+            normal = across @ slopes
             scale = np.maximum(np.einsum("fii->fi", normal), 1e-12)
             damped = normal + damping[k, None, None] * np.eye(6) * scale[:, None, :]
-            step = np.linalg.solve(damped + 1e-14 * np.eye(6) * scale.max(axis=1)[:, None, None], np.einsum("fni,fn->fi", slopes, off)[..., None])[..., 0]
+            step = np.linalg.solve(damped + 1e-14 * np.eye(6) * scale.max(axis=1)[:, None, None], across @ off[..., None])[..., 0]
             trial = p[k] + step
             new = (rest(trial, k) ** 2).sum(axis=1)
             better = np.isfinite(new) & (new <= error[k])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scanweave import model
 from scanweave.operators import clusters, curves, fitting, grids, imaging, omega, powder, registration, scan_tables, scans, spots, stitching
-from scanweave.plans.queries import CELLS, DAILY, IMAGE, daily, images, pixels, query, r, rounded, t
+from scanweave.plans.queries import CELLS, DAILY, IMAGE, daily, images, parts, pixels, query, r, rounded, t
 from scanweave.sources import formats
 from scanweave.streaming import runs
 
@@ -327,7 +327,7 @@ SPOT = {"amplitude": "5 + p_size / 10.0", "x0": "5 + p_partkey % 7 / 4.0", "y0":
 @query(f"SELECT p_partkey, {', '.join(f'{r(e, 5)} AS {n}' for n, e in SPOT.items())}, true AS success FROM part")
 def fit_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elliptical Gaussians found again in frames that are drawn from each part's numbers."""
-    own = t(spark, sf_dir, "part").select("p_partkey", *[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in SPOT.items()])
+    own = parts(spark, sf_dir).select("p_partkey", *[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in SPOT.items()])
     value = lambda i: V("amplitude") * F.exp(
         -0.5 * (F.pow((i % 14 - V("x0")) / V("sigma_x"), F.lit(2)) + F.pow((F.floor(i / 14) - V("y0")) / V("sigma_y"), F.lit(2)))
     ) + V("offset")
@@ -411,7 +411,7 @@ def fit_on_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lambda i: i / 2.0
     bell = lambda i: (50 + 10 * s) * F.exp(-4 * math.log(2) * F.pow((x(i) - (16 + 2 * s)) / (3 + k), F.lit(2)))
     y = F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.when((i < 8) | (i > 72), 999.0).otherwise(bell(i) + 5 + s + (4 + 2 * k) * F.exp(-(x(i) - 20) / 11.0)))
-    drawn = t(spark, sf_dir, "part").select("p_partkey", y.alias("y"))
+    drawn = parts(spark, sf_dir).select("p_partkey", y.alias("y"))
     fitted = fitting.fit_models(drawn, "p_partkey", [i / 2 for i in range(81)], ("gaussian",), "exponential", x_range=(4.0, 36.0), bounds={"p0_fwhm": (0.5, 12.0), "decay": (1.0, 200.0)})
     return rounded(fitted.select([c for c in fitted.columns if not c.endswith("_err") and c != "r2"]), 3)
 
@@ -446,7 +446,7 @@ HITS = f"""{{name}} AS (SELECT *, degrees(turn) + 180 - 360 * floor((degrees(tur
     SELECT p_partkey, CAST(rank AS INTEGER) AS rank, {r('omega', 4)} AS omega, {r('gap', 5)} AS gap FROM ranked WHERE rank <= 3""")
 def omega_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part's crystal the rotations at which two of its six reflections come closest in mu."""
-    own = t(spark, sf_dir, "part").select("p_partkey", (4 * math.pi / (3.6 + V("p_size") / 40.0)).alias("g"), (0.3 + V("p_partkey") % 100 / 1000.0).alias("t"))
+    own = parts(spark, sf_dir).select("p_partkey", (4 * math.pi / (3.6 + V("p_size") / 40.0)).alias("g"), (0.3 + V("p_partkey") % 100 / 1000.0).alias("t"))
     six = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(5))))
     x, y, z = (V("g") * ((V("j") == 2 * d).cast("int") - (V("j") == 2 * d + 1).cast("int")) for d in range(3))
     up = y * F.sin("t") + z * F.cos("t")

@@ -17,6 +17,7 @@ from scanweave import model
 from scanweave.functions import crystal, physics
 from scanweave.operators import combine, curves, fitting, imaging, processing, pumpprobe, reductions, scans, scattering
 from scanweave.streaming import sessions, windowed
+from scanweave.tables import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,11 @@ def rounded(df: DataFrame, digits: int = 6, *but: str) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" and c not in but else F.col(c) for c, kind in df.dtypes])
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, each of which stands for a curve, a frame or a crystal: rows of some bytes that make much work, so they are dealt over tasks."""
+    return dealt(t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey")
+
+
 def pixels(spark: SparkSession, sf_dir: str, square: bool = False) -> DataFrame:
     out = model.cells(t(spark, sf_dir, "embeddings"), "embedding", 8, ("vec_id", "label"))
     return out.withColumn("v", F.col("v") * F.col("v")) if square else out
@@ -638,7 +644,7 @@ def crystals(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = 3 + F.col("p_size") / 10.0
     right = [F.lit(90.0).alias(x) for x in ("alpha", "beta", "gamma")]
     energy = (8 + F.col("p_partkey") % 7).cast("double").alias("energy")
-    return t(spark, sf_dir, "part").filter("p_size IS NOT NULL").select("p_partkey", *[edge.alias(x) for x in "abc"], *right, energy)
+    return parts(spark, sf_dir).filter("p_size IS NOT NULL").select("p_partkey", *[edge.alias(x) for x in "abc"], *right, energy)
 
 
 @query(f"""WITH {CRYSTALS}, {INDICES}, d AS (SELECT p_partkey, energy, h, k, l, 1 / sqrt((h * h + k * k + l * l) / a ** 2) AS d FROM crystals CROSS JOIN indices
@@ -992,7 +998,7 @@ def two_peaks(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     a, b = peak(10 + 2 * size, 3 + key, 50 + 10 * size), peak(26 + 2 * key, 4 + size, 30 + 10 * key)
     x = F.sequence(F.lit(0), F.lit(80))
     y = F.transform(x, lambda i: a(i / 2.0) + b(i / 2.0) + 5 + 0.1 * (i / 2.0 - 20))
-    return t(spark, sf_dir, "part").select("p_partkey", y.alias("y"))
+    return parts(spark, sf_dir).select("p_partkey", y.alias("y"))
 
 
 TWO_PEAKS = """WITH p AS (SELECT p_partkey, p_size / 50e0 AS s, (p_partkey % 20) / 20e0 AS k FROM part)

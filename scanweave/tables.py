@@ -1,4 +1,4 @@
-"""Tables written in the shared folder, and joins on keys of which some may have very many rows."""
+"""Tables written in the shared folder, rows dealt over tasks, and joins on keys of which some may have very many rows."""
 
 from __future__ import annotations
 
@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that one task may join; the rows of a key beyond them are dealt over as many tasks as that takes.
 ROWS_PER_KEY = 1 << 20
+#: Rows that make much work, such as a fit each, of one task.
+ROWS_PER_TASK = 1 << 13
+
+
+def dealt(rows: DataFrame, *keys: str, most: int = ROWS_PER_TASK) -> DataFrame:
+    """``rows`` dealt over a task for every ``most`` of them, and one for each core at least; rows of equal ``keys`` meet, if any are given.
+
+    For narrow rows of which each makes much work or many rows: however large the table, a task's share stays the same.
+    ``rows`` are counted, so they should be a table.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+    return rows.repartition(tasks, *keys)
 
 
 def shared_folder(spark: SparkSession) -> str:

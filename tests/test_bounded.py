@@ -3,6 +3,9 @@
 import contextlib
 import io
 
+import pytest
+
+from scanweave import tables
 from scanweave.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -23,3 +26,17 @@ def test_crystals_are_searched_without_joins(spark):
 def test_tiles_are_not_broadcast(spark):
     plan = plan_of(QUERIES["mosaic_positions"](spark, SF_DIR))
     assert "Broadcast" not in plan
+
+
+def test_rows_that_make_much_work_are_dealt_over_tasks(spark):
+    rows = spark.range(1000).coalesce(1)
+    assert tables.dealt(rows, most=100).rdd.getNumPartitions() == 10
+    assert tables.dealt(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    met = tables.dealt(rows.withColumn("k", rows["id"] % 7), "k", most=100).groupBy("k").count()
+    assert plan_of(met).count("Exchange") == 1 and met.count() == 7
+
+
+@pytest.mark.parametrize("name", ["reflections", "reflection_families", "fit_spots", "fit_on_decay", "fit_two_gaussians", "fit_two_lorentzians"])
+def test_parts_are_dealt_before_they_are_drawn(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
