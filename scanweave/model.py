@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanweave.tables import dealt_groups
+
 PIXEL_DIMS = ("y", "x")
 
 
@@ -112,7 +114,7 @@ def contiguous_runs(ids: DataFrame, column: str, by: tuple[str, ...] = ()) -> Da
     from pyspark.sql import Window
 
     order = Window.partitionBy(*by).orderBy(column)
-    island = ids.select(*by, column).distinct().withColumn("__i", F.col(column) - F.row_number().over(order))
+    island = dealt_groups(ids.select(*by, column), *by)[0].distinct().withColumn("__i", F.col(column) - F.row_number().over(order))
     runs = island.groupBy(*by, "__i").agg(F.min(column).alias("start"), (F.max(column) + 1).alias("stop"))
     return runs.drop("__i")
 

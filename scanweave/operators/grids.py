@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanweave.tables import dealt_groups
+
 V = F.col
 #: Values within this part of a motor's range are the same by default, and within ``CONSTANT`` if the motor stands still. Fixed values.
 SHARE, CONSTANT = 1e-3, 1e-6
@@ -35,6 +37,7 @@ class Grid:
     motors: tuple[str, ...]
     frame: str
     by: tuple[str, ...]
+    tasks: int | None = None  # in which whole scans were placed
 
     @property
     def indices(self) -> list[str]:
@@ -50,8 +53,11 @@ class Grid:
         full = sizes
         for m in self.motors:
             full = full.withColumn(f"{m}_index", F.explode(F.sequence(F.lit(0), V(f"__{m}") - 1)))
-        full = full.select(*self.by, *self.indices)
-        return full.join(self.points.select(*self.by, *self.indices).distinct(), [*self.by, *self.indices], "left_anti")
+        at = [*self.by, *self.indices]
+        full, taken = full.select(*at), self.points.select(*at).distinct()
+        if self.tasks:
+            full, taken = full.repartition(self.tasks, *at), taken.repartition(self.tasks, *at)
+        return full.join(taken, at, "left_anti")
 
     def summary(self) -> DataFrame:
         """``size, occupied, missing, duplicates`` of each grid."""
@@ -122,13 +128,19 @@ def detect(
 
     ``frame`` numbers a scan's frames and is distinct within it. Axes run from the motor that changes least often between
     consecutive frames to the one that changes most, motors alike in the order given, or in ``order``. Frames that lack a motor's value are left out.
-    Changes are counted in blocks of frame numbers, and between blocks by their ends.
+    Changes are counted in blocks of frame numbers, and between blocks by their ends. Unless a scan is very long, whole scans are
+    dealt over tasks once, by their number of frames, and nothing is shuffled or joined to place their frames.
     """
-    axes, lookup = value_groups(frames, motors, tolerance, by)
-    long = _long(frames, motors, by, frame)
-    tols = lookup.select(*by, "motor", "tol").distinct()
-    found = long.join(F.broadcast(tols) if not by else tols, [*by, "motor"]).withColumn("cell", F.floor(V("value") / (V("tol") / 2)))
-    found = found.join(lookup.drop("tol"), [*by, "motor", "cell"])
+    own, tasks = dealt_groups(frames.select(*by, frame, *motors), *by)
+    if tasks:
+        found = _placed(own, motors, tolerance, by, frame)
+        axes = found.groupBy(*by, "motor", "index").agg((F.sum("value") / F.count("*")).alias("centre"), F.count("*").alias("n"))
+    else:
+        axes, lookup = value_groups(frames, motors, tolerance, by)
+        long = _long(frames, motors, by, frame)
+        tols = lookup.select(*by, "motor", "tol").distinct()
+        found = long.join(F.broadcast(tols) if not by else tols, [*by, "motor"]).withColumn("cell", F.floor(V("value") / (V("tol") / 2)))
+        found = found.join(lookup.drop("tol"), [*by, "motor", "cell"])
     wide = found.groupBy(*by, frame).agg(
         *[F.max(F.when(V("motor") == m, V("index"))).alias(f"{m}_index") for m in motors], *[F.max(F.when(V("motor") == m, V("value"))).alias(m) for m in motors]
     )
@@ -141,7 +153,19 @@ def detect(
         given = F.array_position(F.lit(list(motors)), V("motor"))
         joined = sizes.join(changes(points, motors, frame, by, block), [*by, "motor"])
         dims = joined.withColumn("dim", F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy("changes", given)) - 1)  # one row a motor
-    return Grid(points, axes, dims.select(*by, "motor", "dim", "size", "changes"), motors, frame, by)
+    return Grid(points, axes, dims.select(*by, "motor", "dim", "size", "changes"), motors, frame, by, tasks)
+
+
+def _placed(frames: DataFrame, motors: tuple[str, ...], tolerance: float | dict[str, float] | None, by: tuple[str, ...], frame: str) -> DataFrame:
+    """``by, frame, motor, value, index`` of each value of scans that are whole in their tasks: a scan's values in order, as in ``value_groups``."""
+    whole = Window.partitionBy(*by, "motor")
+    span = F.max("value").over(whole) - F.min("value").over(whole)
+    tol = F.coalesce(_given({} if tolerance is None else tolerance, motors), F.when(span > 0, span * SHARE).otherwise(CONSTANT))
+    long = _long(frames, motors, by, frame).withColumn("tol", tol)
+    order = whole.orderBy("value")
+    new = F.when(V("value") - F.lag("value").over(order) > V("tol"), 1).otherwise(0)
+    index = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return long.withColumn("__new", new).withColumn("index", index).drop("__new", "tol")
 
 
 def changes(points: DataFrame, motors: tuple[str, ...], frame: str, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:

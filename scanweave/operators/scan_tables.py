@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanweave.tables import tasks_for
+
 #: Positioners that a table may have as columns; a beamline has some hundreds.
 MOST_COLUMNS = 4096
 #: Channels whose values differ by less have not moved, whatever their own least step. Fixed value.
@@ -149,4 +151,6 @@ def positions(frames: DataFrame, points: DataFrame, motors: tuple[str, ...], cha
     """
     at = points.select(*map(col, by), col(frame), *[col(f"{m}_index").alias(f"index_{m}") for m in motors])
     own = frames.select(*map(col, by), col(frame), *map(col, channels))
+    keys, tasks = [col(c) for c in (*by, frame)], tasks_for(own, own.count())
+    own, at = own.repartition(tasks, *keys), at.repartition(tasks, *keys)
     return own.join(at, [*by, frame], "left").select(*map(col, by), col(frame), *[col(f"index_{m}") for m in motors], *map(col, channels))

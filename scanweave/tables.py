@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 ROWS_PER_KEY = 1 << 20
 #: Rows that make much work, such as a fit each, of one task.
 ROWS_PER_TASK = 1 << 13
+#: Rows of whole groups of one task.
+ROWS_PER_GROUP = 1 << 19
 
 
 def dealt(rows: DataFrame, *keys: str, most: int = ROWS_PER_TASK) -> DataFrame:
@@ -21,8 +23,26 @@ def dealt(rows: DataFrame, *keys: str, most: int = ROWS_PER_TASK) -> DataFrame:
     For narrow rows of which each makes much work or many rows: however large the table, a task's share stays the same.
     ``rows`` are counted, so they should be a table.
     """
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
-    return rows.repartition(tasks, *keys)
+    return rows.repartition(tasks_for(rows, rows.count(), most), *keys)
+
+
+def dealt_groups(rows: DataFrame, *keys: str, most: int = ROWS_PER_GROUP) -> tuple[DataFrame, int | None]:
+    """``rows`` with those of equal ``keys`` in one task, about ``most`` of them a task, and the number of tasks.
+
+    If some key has more than ``most`` rows itself they stay as they are, and the number is None: such a group is no work for one task.
+    """
+    if not keys:
+        return rows, None
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
+    if not sizes["total"] or sizes["largest"] > most:
+        return rows, None
+    tasks = tasks_for(rows, sizes["total"], most)
+    return rows.repartition(tasks, *keys), tasks
+
+
+def tasks_for(rows: DataFrame, n: int, most: int = ROWS_PER_GROUP) -> int:
+    """A task for every ``most`` of ``n`` rows, and one for each core at least."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // most))
 
 
 def shared_folder(spark: SparkSession) -> str:
