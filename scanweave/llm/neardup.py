@@ -302,13 +302,13 @@ def links(once: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndar
     return found.unionByName(written(_verify(written(rest.distinct(), "pairs"), once, nodes), "links"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", candidates: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of ``docs`` with one of each group of near duplicates: that of the least doc_id, then of the least text hash.
 
     Rows without a doc_id come after all others. Words are cut at ASCII white
     space and compared without the case of A-Z; null texts are empty, and texts
-    without words are alike. Of rows that are equal in doc_id and text one stays. ``candidates`` gives pairs ``u, v`` of the
-    nodes of ``(node, text)``, which are verified first; the search is then for links between what they leave apart.
+    without words are alike. Of rows that are equal in doc_id and text one stays. ``candidates`` gives pairs ``u, v`` of
+    nodes from ``(th, text)`` and ``(node, th)``, which are verified first; the search is then for links between what they leave apart.
     """
     bounded_batches(docs.sparkSession)
     own = _keyed_docs(docs, id_col, text_col)
@@ -324,7 +324,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts_of, node_of_text = alone.unionByName(first), nodes.select("node", "th")
     known = None
     if candidates is not None:
-        tried = written(candidates(texts_of.join(node_of_text, "th").select("node", "text")), "pairs")
+        tried = written(candidates(own.select("th", "text"), node_of_text), "pairs")
         known = written(_verify(tried, texts_of, node_of_text), "links")
     comps = connected_components(links(texts_of, node_of_text, frequent, known))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "n")

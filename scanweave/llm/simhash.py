@@ -127,12 +127,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs ``u, v`` of ``nodes(node long, text string)``, u the larger, whose closure is that of all with fingerprints within two bits.
+def candidates(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` of ``nodes(node long, th long)``, u the larger, by the texts of ``rows(th long, text string)``, whose closure is that of all with fingerprints within two bits.
 
-    Nodes of one fingerprint meet the least of them; of two linked fingerprints the least nodes meet.
+    Nodes of one fingerprint meet the least of them; of two linked fingerprints the least nodes meet. Texts stay where they are.
     """
-    own = written(nodes.select("node", "text").mapInArrow(_fingerprints, "doc_id long, fp long").withColumnRenamed("doc_id", "node"), "fingerprints")
+    found = rows.select("th", "text").mapInArrow(_fingerprints, "doc_id long, fp long").withColumnRenamed("doc_id", "th")
+    own = written(written(found, "texts").join(nodes, "th").select("node", "fp").distinct(), "fingerprints")
     least = written(own.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
     equal = dealt_join(own, least, ["fp"]).select("node", F.col("least").alias("other"))
     u, v = (least.select(F.col("fp").alias(c), F.col("least").alias(name)) for c, name in (("u", "node"), ("v", "other")))

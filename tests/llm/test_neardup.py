@@ -103,7 +103,7 @@ def test_bands_that_meet_hold_every_possible_pair(spark):
 def test_the_pipelines_stage_starts_from_simhash(spark, monkeypatch):
     """SimHash's pairs are verified before the exact search, which meets only what they leave apart; the rows equal brute force."""
     called, verified = [], []
-    monkeypatch.setattr(simhash, "candidates", lambda nodes, do=simhash.candidates: called.append(do(nodes)) or called[-1])
+    monkeypatch.setattr(simhash, "candidates", lambda *tables, do=simhash.candidates: called.append(do(*tables)) or called[-1])
     monkeypatch.setattr(neardup, "_verify", lambda c, once, nodes, do=neardup._verify: verified.append({(r["u"], r["v"]) for r in c.collect()}) or do(c, once, nodes))
     r = random.Random(3)
     base = [[f"w{r.randrange(10**6)}" for _ in range(600)] for _ in range(5)]
