@@ -2,7 +2,7 @@
 
 Rules are declared by the caller, a handful of patterns each. Every folder is aggregated once, with
 a flag for each distinct pattern, so no file is compared with rules by a join;
-what a folder's parents hold comes by a join of its ancestors.
+what a folder's parents hold, all of them, comes by a join of its ancestors with the places that hold it.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 V = F.col
-#: Parents of a folder that are looked into as well.
-PARENTS = 3
 
 
 @dataclass(frozen=True)
@@ -23,7 +21,7 @@ class Rule:
     """A layout's name and its checks; each kind of check that has patterns counts once.
 
     ``files``: every pattern has a file in the folder. ``folders``: every pattern has a folder in it. ``around``: every
-    pattern has an entry in one and the same of the folder and its parents. ``only``: every file of the folder fits one
+    pattern has an entry in one and the same of the folder and all its parents. ``only``: every file of the folder fits one
     of the patterns.
     """
 
@@ -95,11 +93,11 @@ def scores(entries: DataFrame, rules: list[Rule]) -> DataFrame:
         own.append(F.struct(F.lit(r.name).alias("rule"), share.cast("double").alias("score"), F.lit(size).alias("specificity")))
     folders = entries.groupBy("folder").agg(*flags.aggregates(), F.count("*").alias("__n"))
     if around:
-        here = folders.select("folder", *[c.alias(f"__near{k}") for k, c in enumerate(near.values())])
-        parts = F.split("folder", "/")
-        up = F.transform(F.sequence(F.lit(0), F.least(F.lit(PARENTS), F.size(parts) - 1)), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/"))
-        chain = folders.select("folder", F.explode(up).alias("place"))
-        held = chain.join(here.withColumnRenamed("folder", "place"), "place").groupBy("folder").agg(*[F.bool_or(f"__near{k}").alias(f"__near{k}") for k in range(len(around))])
+        seen = {f"__near{k}": c for k, c in enumerate(near.values())}
+        here = folders.select(V("folder").alias("place"), *[c.alias(n) for n, c in seen.items()]).filter(F.array_contains(F.array(*seen), True))
+        depths = folders.select("folder", F.explode(F.sequence(F.lit(1), F.size(F.split("folder", "/")))).alias("__depth"))
+        chain = depths.select("folder", F.call_function("substring_index", V("folder"), F.lit("/"), V("__depth")).alias("place"))
+        held = chain.join(here, "place").groupBy("folder").agg(*[F.bool_or(n).alias(n) for n in seen])
         folders = folders.join(held, "folder", "left")
     spread = folders.select("folder", F.inline(F.array(*own)))
     best = Window.partitionBy("folder").orderBy(F.desc("score"), F.desc("specificity"), F.desc("rule"))
